@@ -427,7 +427,10 @@ def url_allowlist(spark, d):
     return table(spark, d, "pages").select("page_id", readers.allowed_url(url).alias("allowed"))
 
 
-@query(f"SELECT doc_id, list_filter([{', '.join(f'CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END' for n, p in [*readers.SECRETS.items(), ('email', readers.EMAIL)])}], lambda x: x IS NOT NULL) AS findings FROM documents")
+_FOUND = ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN '{n}' END" for n, p in [*readers.SECRETS.items(), ("email", readers.EMAIL)])
+
+
+@query(f"SELECT doc_id, list_filter([{_FOUND}], lambda x: x IS NOT NULL) AS findings FROM documents")
 def audit_scan(spark, d):
     return readers.audit(table(spark, d, "documents"), F.col("text")).select("doc_id", "findings")
 
