@@ -14,7 +14,7 @@ from .vectors import distinct_vectors, matrix, stream_blocks, top
 def neighbours(x: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
     """Rows of the k + 1 largest inner products of each query (a query that is a row finds itself as well)."""
     k = min(k + 1, len(x))
-    return np.concatenate([np.argpartition(-(queries[i : i + 512] @ x.T), k - 1, axis=1)[:, :k] for i in range(0, len(queries), 512)])
+    return np.concatenate([np.argpartition(-(queries[i : i + 128] @ x.T), k - 1, axis=1)[:, :k] for i in range(0, len(queries), 128)])
 
 
 def balanced_parts(x: np.ndarray, graph: np.ndarray, parts: int, rounds: int = 12, slack: float = 1.1) -> np.ndarray:
@@ -127,7 +127,7 @@ def nearest(block: np.ndarray, lows: np.ndarray, query: np.ndarray, rough: np.nd
     return rows[best], scores[best]
 
 
-def search(rows: DataFrame, is_query, k: int = 20, sample: int = 8192, rows_a_part: int = 512, recall: float = 0.95, block_rows: int = 16384) -> DataFrame:
+def search(rows: DataFrame, is_query, k: int = 20, sample: int = 4096, rows_a_part: int = 512, recall: float = 0.95, block_rows: int = 16384) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found by inner product for each query row.
 
     rows: id, vector (array<double>, finite, not all zero). is_query: a condition on id. Queries look for every
@@ -145,8 +145,7 @@ def search(rows: DataFrame, is_query, k: int = 20, sample: int = 8192, rows_a_pa
     found = None
     for (length, count) in groups.groupBy(F.size("vector")).count().collect():
         of_length = groups.where(F.size("vector") == length)
-        picked = of_length.orderBy("gid", "vector").limit(sample).select("vector").collect()
-        x = np.array([r[0] for r in picked], np.float64)
+        x = matrix(of_length.orderBy("gid", "vector").limit(sample).select("vector").toArrow().column("vector").combine_chunks())
         router, probes = fit(x, min(max(1, count // rows_a_part), max(1, sample // 128), max(1, len(x) // 16)), k, recall)
 
         def route(batches, router=router, probes=probes):
