@@ -15,6 +15,9 @@ BYTE_CHUNK = re.compile(f"[{SPACE}]+(?![^{SPACE}])| ?[^{SPACE}]+|[{SPACE}]+")
 #: Texts that a split at single spaces and line ends would cut otherwise than BYTE_CHUNK does.
 BYTE_SLOW = "[\\x1f\\x0b\\x0c\\r\\t\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|[ \\n][ \\n]|[ \\n]$"
 CUT = "\x1f"
+#: Chunks of the word kind that are one word, or one and a mark: each of the two is encoded on its own.
+WORD_CHUNK = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
+WORD_END = "</w>"
 
 _open: dict[tuple[str, str], "Encoder"] = {}
 
@@ -33,6 +36,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.kind, self.room, self.known = kind, room, {}
+        if kind == "word":
+            vocab = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocab.values()) + 1, bool)
+            self.ends[[i for token, i in vocab.items() if token.endswith(WORD_END)]] = True
 
     def chunks(self, texts: pa.Array) -> pa.Array:
         """A list of chunks for each text."""
@@ -46,6 +53,44 @@ class Encoder:
         own = pa.array([BYTE_CHUNK.findall(t.as_py()) if s.as_py() else None for t, s in zip(texts, slow)], pa.list_(pa.large_string()))
         return pc.if_else(slow, own, fast)
 
+    def learn(self, new: list[str]) -> None:
+        """Encode chunks one by one."""
+        for i in range(0, len(new), 4096):
+            part = new[i : i + 4096]
+            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.known[chunk] = np.asarray(e.ids, dtype="<u4").tobytes()
+
+    def learn_words(self, new: list[str], together: int = 512) -> None:
+        """Encode chunks; plain words many at a time, as one text that is cut after each id that ends a word."""
+        known, other, words, marked = self.known, [], {}, []
+        for chunk in new:
+            if not (m := WORD_CHUNK.fullmatch(chunk)):
+                other.append(chunk)
+                continue
+            word, mark = m.groups()
+            if mark:
+                marked.append((chunk, word, mark))
+                if mark not in known:
+                    self.learn([mark])
+            if word not in known:
+                words[word] = None
+        short = [w for w in words if len(w) <= 48]
+        other += [w for w in words if len(w) > 48]
+        parts = [short[i : i + together] for i in range(0, len(short), together)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.asarray(e.ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(part):  # never less than one end a word: equal counts mean one end each
+                other += part
+                continue
+            data, a = ids.tobytes(), 0
+            for word, b in zip(part, (4 * stops).tolist()):
+                known[word] = data[a:b]
+                a = b
+        self.learn(other)
+        for chunk, word, mark in marked:
+            known[chunk] = known[word] + known[mark]
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(offsets, ids): text i has ids[offsets[i] : offsets[i + 1]]; a null text has none."""
         lists = self.chunks(pc.fill_null(texts.cast(pa.large_string()), ""))
@@ -55,14 +100,15 @@ class Encoder:
         if len(self.known) + len(new) > self.room:
             self.known, new = {}, distinct
         known = self.known
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for chunk, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[chunk] = np.asarray(e.ids, dtype="<u4").tobytes()
+        if self.kind == "word":
+            self.learn_words(new)
+        else:
+            self.learn(new)
         each = [known[c] for c in distinct]
         for chunk in new:
             if len(chunk) > 48:
-                del known[chunk]
+                known.pop(chunk, None)
+                known.pop(chunk[:-1], None)
         starts = np.zeros(len(each) + 1, np.int64)
         np.cumsum([len(x) // 4 for x in each], out=starts[1:])
         table = pa.LargeListArray.from_arrays(pa.array(starts), pa.array(np.frombuffer(b"".join(each), "<u4")))
