@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import key_of, settle, table
 
 PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
+SENTENCE = re.compile(r"[.!?\u2026][\"'\u201d\u00bb)\]]*\s+")
 
 
-def units(text: str, by: str, min_words: int) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of the lines or paragraphs of a text, as code points, that have min_words words or more.
+def units(text: str, by: str, min_words: int, min_run: int) -> list[tuple[int, int, int, int, bool, bytes]]:
+    """(line, start, end, words, whole, digest) of the units of a text; positions are code points.
 
-    A unit is normalised by case folding and joining its words with single spaces. end takes in the separator.
+    Whole units are the lines or paragraphs of min_words words or more; end takes in the separator. Those of over
+    min_run words are also cut into parts, each of which ends with a sentence of min_words words or more (shorter
+    sentences belong to the next one, so where parts begin does not depend on what stands before a passage).
+    line is the start of the line or paragraph. A unit is normalised by case folding and joining its words with
+    single spaces; equal parts and whole units have equal digests.
     """
+    from xxhash import xxh3_128_digest
+
     out, start = [], 0
     while start < len(text):
         if by == "line":
@@ -28,47 +36,73 @@ def units(text: str, by: str, min_words: int) -> list[tuple[int, int, bytes]]:
         else:
             m = PARAGRAPH.search(text, start)
             stop, end = (m.start(), m.end()) if m else (len(text), len(text))
-        words = text[start:stop].casefold().split()
+        body = text[start:stop]
+        words = body.casefold().split()
         if len(words) >= min_words:
-            out.append((start, end, hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()))
+            out.append((start, start, end, len(words), True, xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))))
+        if len(words) > min_run:
+            at, held, held_at = 0, [], 0
+            for to in [m.end() for m in SENTENCE.finditer(body)] + [len(body)]:
+                sentence = body[at:to].casefold().split()
+                held += sentence
+                if len(sentence) >= min_words or to == len(body) and len(held) >= min_words:
+                    if to - held_at < len(body):
+                        out.append((start, start + held_at, start + to, len(held), False, xxh3_128_digest(" ".join(held).encode("utf-8", "surrogatepass"))))
+                    held, held_at = [], to
+                at = to
         start = end
     return out
 
 
-def repeated_spans(docs: DataFrame, by: str = "line", min_words: int = 5) -> DataFrame:
+def repeated_spans(docs: DataFrame, by: str = "line", min_words: int = 5, min_run: int = 25) -> DataFrame:
     """(__q_id, __q_text, spans): for each document that repeats units of earlier ones, where they lie.
 
-    spans: array of struct<start, end, kept_id, kept_start>, in order: code points of the original text, and the
-    occurrence that stays. Occurrences are ranked by doc_id (null last), text hash and start. Counts and first
-    places are aggregated before the shuffle, so a unit that a third of all rows holds is one row a task; the join
-    back carries 16-byte digests and offsets only and splits hot digests.
+    spans: array of struct<start, end, kept_id, kept_start>, in order and without overlaps: code points of the
+    original text, and the occurrence that stays. Occurrences are ranked by doc_id (null last), text hash and
+    start. Of a line that is not repeated as a whole, repeated parts go where parts in a row have min_run words or
+    more between them, so a passage is found in the midst of another line and a lone short sentence stays.
+
+    Counts are aggregated before the shuffle, so a unit that a third of all rows holds is one row a task; the join
+    back carries 16-byte digests and offsets only (adaptive execution splits hot digests), and only units that
+    occur more than once go on from there.
     """
 
     def run(batches):
         for batch in batches:
-            cols = [[], [], [], [], []]
-            for i, t, k in zip(batch.column("__q_id").to_pylist(), batch.column("text"), batch.column("__q_text").to_pylist()):
-                for start, end, digest in units(t.as_py() or "", by, min_words):
-                    for c, x in zip(cols, (i, k, start, end, digest)):
-                        c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["__q_id", "__q_text", "start", "end", "digest"])
-
+            found = [units(t.as_py() or "", by, min_words, min_run) for t in batch.column("text")]
+            owner = pa.array(np.repeat(np.arange(len(found)), [len(u) for u in found]))
+            line, start, end, words, whole, digest = zip(*[u for us in found for u in us]) if len(owner) else ((),) * 6
+            h = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
+            ints = [pa.array(x, pa.int32()) for x in (line, start, end, words)]
+            yield pa.RecordBatch.from_arrays([batch.column("__q_id").take(owner), batch.column("__q_text").take(owner), *ints, pa.array(whole, pa.bool_()), pa.array(h[:, 0]), pa.array(h[:, 1])], ["__q_id", "__q_text", "line", "start", "end", "words", "whole", "h1", "h2"])
+
+    schema = "__q_id long, __q_text long, line int, start int, end int, words int, whole boolean, h1 long, h2 long"
+    rows = settle(docs.select(F.col("text").cast("string").alias("text"), *key_of()).mapInArrow(run, schema))
+    digest = ["h1", "h2"]
+    twice = rows.groupBy(*digest).agg(F.count("*").alias("n")).where("n > 1").select(*digest)
+    rows = settle(rows.join(twice, digest))
     rank = F.struct((F.col("__q_id") == -(2**63)).alias("no_id"), "__q_id", "__q_text", "start")
-    rows = settle(docs.select(F.col("text").cast("string").alias("text"), *key_of()).mapInArrow(run, "__q_id long, __q_text long, start long, end long, digest binary"))
-    first = rows.groupBy("digest").agg(F.min(rank).alias("keep"), F.count("*").alias("n")).where("n > 1").select("digest", "keep")
-    again = rows.join(first, "digest").where(rank != F.col("keep"))
-    span = F.struct("start", "end", F.when(~F.col("keep.no_id"), F.col("keep.__q_id")).alias("kept_id"), F.col("keep.start").alias("kept_start"))
-    return again.groupBy("__q_id", "__q_text").agg(F.array_sort(F.collect_set(span)).alias("spans"))
-
-
-def deduplicated(docs: DataFrame, by: str = "line", min_words: int = 5) -> DataFrame:
+    first = rows.groupBy(*digest).agg(F.min(rank).alias("keep"))
+    doc = ["__q_id", "__q_text"]
+    # repeated rows of one document say the same twice
+    again = rows.join(first, digest).where(rank != F.col("keep")).repartition(*doc).dropDuplicates([*doc, "start", "end"])
+    line = W.partitionBy(*doc, "line")
+    again = again.withColumn("gone", F.max("whole").over(line)).where("whole or not gone")
+    again = again.withColumn("new", F.coalesce(F.col("start") != F.lag("end").over(line.orderBy("start")), F.lit(True)).cast("int"))
+    again = again.withColumn("run", F.sum("new").over(line.orderBy("start")))
+    again = again.withColumn("together", F.sum("words").over(W.partitionBy(*doc, "line", "run"))).where(F.col("whole") | (F.col("together") >= min_run))
+    span = F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.when(~F.col("keep.no_id"), F.col("keep.__q_id")).alias("kept_id"), F.col("keep.start").cast("long").alias("kept_start"))
+    return again.groupBy(*doc).agg(F.array_sort(F.collect_list(span)).alias("spans"))
+
+
+def deduplicated(docs: DataFrame, by: str = "line", min_words: int = 5, min_run: int = 25) -> DataFrame:
     """docs with repeated units cut out of text, and the column spans of repeated_spans (empty where nothing goes).
 
     Null texts stay null, empty ones empty; a text may become empty. Repeated rows (same doc_id and text) are one
     document and get one result each. Null doc_ids rank last. An empty table gives no rows. An input column named
     spans is replaced.
     """
-    found = repeated_spans(docs, by, min_words).withColumnRenamed("spans", "__q_spans")
+    found = repeated_spans(docs, by, min_words, min_run).withColumnRenamed("spans", "__q_spans")
     keyed = docs.select("*", *key_of()).join(found, ["__q_id", "__q_text"], "left")
     none = F.array().cast("array<struct<start:bigint,end:bigint,kept_id:bigint,kept_start:bigint>>")
     # what lies between the removed spans: from each end (or 0) to the next start (or the text's end)

@@ -253,6 +253,47 @@ def test_lines_stay_where_they_come_first(spark, odd, none):
     assert {r.doc_id: r.text for r in unit_dedup.deduplicated(two, by="paragraph").collect()}[2] == "head\n\ntail"
 
 
+def test_passages_within_lines_go_and_lone_sentences_stay(spark):
+    sentence = lambda n, k: " ".join(f"w{n}x{i}" for i in range(k)) + "."
+    passage = " ".join([sentence(1, 3), sentence(2, 14), sentence(3, 20), sentence(4, 2), sentence(5, 16)])
+    docs = docs_of(spark, [
+        (4, f"Own words of four stand here. {passage} And so it ends with more.\nlast", "s"),
+        (2, f"{sentence(6, 8)} {passage} {sentence(7, 9)}", "s"), (9, passage, "s"),
+        (5, f"{sentence(8, 20)} {sentence(2, 14)} {sentence(9, 12)}", "s"),
+        (7, f"{sentence(10, 30)} {sentence(3, 20)} Short. {sentence(5, 16)}", "s"), (8, f"x\n{sentence(3, 20)}\ny", "s"),
+    ])
+    got = {r.doc_id: r for r in unit_dedup.deduplicated(docs).collect()}
+    assert got[2].spans == [] and got[5].spans == [] and got[7].spans == []
+    assert got[4].text == "Own words of four stand here. And so it ends with more.\nlast" and {s.kept_id for s in got[4].spans} == {2}
+    assert got[9].text == "" and got[8].text == "x\ny"
+
+
+def test_units_by_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r for r in unit_dedup.deduplicated(docs).collect()}
+    first, want = set(), {}
+    for r in docs.orderBy("doc_id").collect():
+        spans, line, run = [], None, []
+        for u in sorted(unit_dedup.units(r.text or "", "line", 5, 25), key=lambda u: (u[0], not u[4], u[1])):
+            if u[4] or u[0] != line[0]:
+                spans += [x for one in run if sum(x[3] for x in one) >= 25 for x in one]
+                line, run = (u[0], u[4] and u[5] in first), []
+                spans += [u] if line[1] else []
+            elif not line[1] and u[5] in first:
+                if run and run[-1][-1][2] == u[1]:
+                    run[-1].append(u)
+                else:
+                    run.append([u])
+            first.add(u[5])
+        spans += [x for one in run if sum(x[3] for x in one) >= 25 for x in one]
+        want[r.doc_id] = sorted((x[1], x[2]) for x in spans)
+        out, at = "", 0
+        for a, b in want[r.doc_id]:
+            out, at = out + r.text[at:a], b
+        assert got[r.doc_id].text == (None if r.text is None else out + r.text[at:])
+    assert {i: [(s.start, s.end) for s in r.spans] for i, r in got.items()} == want and any(want.values())
+
+
 # ------------------------------------------------------------------ op10
 def test_recall_of_learned_partitions(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
