@@ -64,11 +64,12 @@ def global_row_number(df: DataFrame, order: list, out: str) -> DataFrame:
     return placed.withColumn("__q_part", part).join(base, "__q_part").withColumn(out, F.col("__q_base") + inside).drop("__q_part", "__q_base", "__q_at")
 
 
-def exclusive_sum(df: DataFrame, groups: list[str], bucket, order: list, value: str, out: str) -> DataFrame:
+def exclusive_sum(df: DataFrame, groups: list[str], bucket, order: list, value: str, out: str, most: int | None = None) -> DataFrame:
     """Add the sum of value over the rows before each row of its group, in the given order.
 
     bucket: a column that never falls in that order. Each (group, bucket) is summed on its own, so a hot group is
     spread over all its buckets; the buckets' totals are few and are summed per group.
+    most: buckets before which the sum has reached it are left out.
     """
     keys = [*groups, "__q_b"]
     cut = df.withColumn("__q_b", bucket)
@@ -76,7 +77,8 @@ def exclusive_sum(df: DataFrame, groups: list[str], bucket, order: list, value:
     wide = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
     base = totals.select(*keys, F.coalesce(F.sum("__q_s").over(wide.orderBy("__q_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__q_base"))
     inner = F.coalesce(F.sum(value).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return cut.withColumn("__q_in", inner).join(base, keys).withColumn(out, F.col("__q_base") + F.col("__q_in")).drop("__q_b", "__q_base", "__q_in")
+    placed = cut.join(base, keys) if most is None else cut.join(base.where(F.col("__q_base") < most), keys)
+    return placed.withColumn("__q_in", inner).withColumn(out, F.col("__q_base") + F.col("__q_in")).drop("__q_b", "__q_base", "__q_in")
 
 
 def components(edges: DataFrame) -> DataFrame:

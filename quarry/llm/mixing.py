@@ -64,9 +64,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3,
     end = F.col("copy") * F.col("source_size") + F.col("before") + F.col("size")
     copies = copies.where("target > 0").withColumn("finish", end.cast("double") / F.col("target"))
     order = ["finish", "ordinal", "copy", "h", "doc_id", "size", "row"]
-    copies = exclusive_sum(copies, [], F.floor(F.least(F.col("finish"), F.lit(2.0)) * BUCKETS), order, "size", "used")
-    budget = by_source.agg(F.coalesce(F.sum("source_size"), F.lit(0)).cast("long").alias("budget"))
-    total = budget.first()[0]
+    total = by_source.agg(F.coalesce(F.sum("source_size"), F.lit(0)).cast("long")).first()[0]
+    # buckets that begin after the budget is used up take nothing; few copies finish late within it
+    copies = exclusive_sum(copies, [], F.floor(F.least(F.col("finish"), F.lit(2.0)) * BUCKETS), order, "size", "used", total)
     got = copies.withColumn("got", F.greatest(F.lit(0), F.least(F.col("size"), F.lit(total) - F.col("used")))).groupBy("row").agg(F.sum("got").alias("taken"))
     return rows.join(got, "row", "left").select("doc_id", "__q_text", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
