@@ -120,12 +120,12 @@ class Encoder:
         return upto[at - at[0]], ids
 
 
-def encoder(name: str, kind: str) -> Encoder:
-    """The worker's encoder for a file of the public tokenizers, or for a path."""
+def encoder(name: str, kind: str, room: int = 1_200_000) -> Encoder:
+    """The worker's encoder for a file of the public tokenizers, or for a path; room: chunks whose ids it keeps."""
     if (name, kind) not in _open:
         import public_tokenizers
 
-        _open[name, kind] = Encoder(name if "/" in name else public_tokenizers.path(name), kind)
+        _open[name, kind] = Encoder(name if "/" in name else public_tokenizers.path(name), kind, room)
     return _open[name, kind]
 
 

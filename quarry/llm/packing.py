@@ -28,9 +28,10 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     return pieces
 
 
-def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", kind: str = "byte", end_id: int = 0, capacity: int = 1024) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", kind: str = "byte", end_id: int = 0, capacity: int = 1024, room: int = 500_000) -> DataFrame:
     """Pack all documents' ids into sequences of at most capacity (a power of two) tokens.
 
+    room: distinct chunks whose ids a worker keeps for later texts; it bounds memory and changes no result.
     Returns a row for each piece: doc_id, start (ids of its document before it), length, ids_crc32, doc_tokens,
     sequence_id, offset (its place in the sequence).
 
@@ -49,10 +50,10 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", kind: str = "byt
     def pieces(batches):
         from pyspark import TaskContext
 
-        part, enc, count = TaskContext.get().partitionId(), encoder(tokenizer, kind), [0] * (top + 1)
+        part, enc, count = TaskContext.get().partitionId(), encoder(tokenizer, kind, room), [0] * (top + 1)
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text")
-            for a, b in slices(texts):
+            for a, b in slices(texts, 2_000_000):
                 offsets, tokens = enc.encode(texts.slice(a, b - a))
                 tokens = np.insert(tokens.astype("<u4"), offsets[1:], end_id)
                 data, out = memoryview(tokens.tobytes()), []
