@@ -69,7 +69,8 @@ def exclusive_sum(df: DataFrame, groups: list[str], bucket, order: list, value:
 
     bucket: a column that never falls in that order. Each (group, bucket) is summed on its own, so a hot group is
     spread over all its buckets; the buckets' totals are few and are summed per group.
-    most: buckets before which the sum has reached it are left out.
+    most: buckets before which the sum has reached it are left out, before the rows are shuffled; for few groups,
+    as the totals, one row for each group and bucket, are broadcast.
     """
     keys = [*groups, "__q_b"]
     cut = df.withColumn("__q_b", bucket)
@@ -77,7 +78,7 @@ def exclusive_sum(df: DataFrame, groups: list[str], bucket, order: list, value:
     wide = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
     base = totals.select(*keys, F.coalesce(F.sum("__q_s").over(wide.orderBy("__q_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__q_base"))
     inner = F.coalesce(F.sum(value).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    placed = cut.join(base, keys) if most is None else cut.join(base.where(F.col("__q_base") < most), keys)
+    placed = cut.join(base, keys) if most is None else cut.join(F.broadcast(base.where(F.col("__q_base") < most)), keys)
     return placed.withColumn("__q_in", inner).withColumn(out, F.col("__q_base") + F.col("__q_in")).drop("__q_b", "__q_base", "__q_in")
 
 
