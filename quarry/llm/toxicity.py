@@ -19,6 +19,8 @@ OPENING, CLOSING, PLAIN = "“„«‹", "”»›", "\""
 YOU = frozenset("you your yours youre du dich dir dein deine ihr euch tu te toi vous votre vos usted ustedes tus vosotros".split())
 SAID = frozenset("said says wrote writes quoted quote called calls word words term sagte schrieb nannte wort dit écrit appelé mot dijo escribió llamó palabra".split())
 WINDOW = 6
+#: Longer terms are told from others by their pieces, as the ways to leave two letters out grow with the square.
+LONG = 24
 
 
 class Trie:
@@ -27,19 +29,25 @@ class Trie:
     def __init__(self, terms):
         self.root: dict = {}
         self.heads, self.middles, self.tails = set(), set(), set()
+        self.cuts, self.lengths = (set(), set(), set()), (set(), set(), set())
         for term in terms:
             node = self.root
             for c in term:
                 node = node.setdefault(c, {})
             node[""] = term
+            e, n = _errors(term), len(term)
+            if n <= LONG:
+                # what is within e errors has a string in common with the term after e or fewer letters are left out of each
+                self.cuts[e].update(_cuts(term, e))
+                self.lengths[e].update(range(n - e, n + e + 1))
+                continue
             # e errors leave one of e + 1 pieces of a term whole
-            k, n = _errors(term) + 1, len(term)
+            k = e + 1
             pieces = [term[n * i // k : n * (i + 1) // k] for i in range(k)]
             self.heads.add(pieces[0])
             self.middles.update(pieces[1:-1])
             self.tails.add(pieces[-1])
-        self.sizes = [sorted({len(x) for x in p}) for p in (self.heads, self.tails)]
-        self.inner = re.compile("|".join(sorted(self.middles))) if self.middles else None
+        self.sizes = [sorted({len(x) for x in p}) for p in (self.heads, self.tails, self.middles)]
 
     def near(self, word: str) -> tuple[str, int] | None:
         """The term of fewest errors within its budget, ties to the smaller term; None if there is none.
@@ -73,13 +81,27 @@ class Trie:
 
     def maybe(self, word: str) -> bool:
         """False only if no term can be near."""
+        n = len(word)
+        for e in range(3):
+            if n in self.lengths[e] and not self.cuts[e].isdisjoint(_cuts(word, e)):
+                return True
         for k in self.sizes[0]:
             if word[:k] in self.heads:
                 return True
         for k in self.sizes[1]:
             if word[-k:] in self.tails:
                 return True
-        return bool(self.inner and self.inner.search(word))
+        for k in self.sizes[2]:
+            for i in range(len(word) - k + 1):
+                if word[i : i + k] in self.middles:
+                    return True
+        return False
+
+
+def _cuts(word: str, errors: int) -> list[str]:
+    """The word with at most so many letters left out."""
+    one = [word[:i] + word[i + 1 :] for i in range(len(word))] if errors else []
+    return [word, *one, *[x[:i] + x[i + 1 :] for j, x in enumerate(one if errors > 1 else []) for i in range(j, len(x))]]
 
 
 def _errors(term: str) -> int:
@@ -90,12 +112,12 @@ def _errors(term: str) -> int:
 class Lexicon(dict):
     """word -> (weight, term, errors) or None; answers are kept for words seen before, up to a bound."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float], often: tuple[str, ...] = (), fine: frozenset[str] = frozenset(), room: int = 400_000):
-        self.words, self.stems, self.often, self.fine, self.room = words, stems, often, fine, room
-        self.trie = Trie(w for w in often if len(w) >= 5)
+    def __init__(self, words: dict[str, float], stems: dict[str, float], inexact: tuple[str, ...] = (), fine: frozenset[str] = frozenset(), room: int = 400_000):
+        self.words, self.stems, self.inexact, self.fine, self.room = words, stems, inexact, fine, room
+        self.trie = Trie(w for w in inexact if _errors(w))
 
     def __reduce__(self):
-        return Lexicon, (self.words, self.stems, self.often, self.fine, self.room)
+        return Lexicon, (self.words, self.stems, self.inexact, self.fine, self.room)
 
     def __missing__(self, word: str):
         if len(self) >= self.room:
@@ -177,12 +199,12 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: int = 4_000, max_near: int = 64) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: int = 4_000) -> Model:
     """Fit on at most max_rows labelled documents that are not held out, the smallest hashes of doc_id.
 
     Terms are words and word beginnings that toxic rows hold far more often than others: the log ratio, less one
     standard error, is at least 2.5, in three rows and 1 % of the toxic ones at least. At most max_terms words and as many beginnings stay, the surest.
-    Misspelt forms are looked for of max_near words at most, those in 3 % of the toxic rows. The classifier
+    Misspelt forms are looked for of every such word that is long enough to allow an error. The classifier
     is fitted crosswise: each half of the rows is scored with the other half's lexicon. Several labels of one
     doc_id count as toxic if one is; null labels and null doc_ids teach nothing. Without both classes every score
     is the toxic share.
@@ -216,13 +238,12 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms:
     def lexicon(b, g, toxic: int, other: int) -> Lexicon:
         ratio = F.log((b + 0.5) / (toxic + 1)) - F.log((g + 0.5) / (other + 1))
         sure = ratio - F.sqrt(1 / (b + 0.5) + 1 / (g + 0.5))
-        kept = terms.where((b >= max(3, 0.01 * toxic)) & (sure >= 2.5)).select("term", sure.alias("sure"), (b >= max(3, 0.03 * toxic)).alias("often"))
+        kept = terms.where((b >= max(3, 0.01 * toxic)) & (sure >= 2.5)).select("term", sure.alias("sure"))
         pick = lambda is_stem: kept.where(F.col("term").endswith("*") == is_stem).orderBy(F.desc("sure"), "term").limit(max_terms).collect()
-        picked, stems = pick(False), {r.term.rstrip("*"): r.sure for r in pick(True)}
-        words, often = {r.term: r.sure for r in picked}, tuple([r.term for r in picked if r.often][:max_near])
+        words, stems = {r.term: r.sure for r in pick(False)}, {r.term.rstrip("*"): r.sure for r in pick(True)}
         # a beginning makes up for longer ones under it only if it is about as sure as they are
         stems = {s: v for s, v in stems.items() if not any(s[:k] in stems and stems[s[:k]] >= v - 0.5 for k in STEMS if k < len(s))}
-        first = Lexicon(words, stems, often)
+        first = Lexicon(words, stems, tuple(words))
 
         def near(batches):
             for batch in batches:
@@ -230,7 +251,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms:
 
         # words of clean rows that lie near a term mean themselves
         fine = terms.where((g > 0) & ~F.col("term").endswith("*")).select("term").mapInArrow(near, "term string").limit(50 * max_terms).collect()
-        return Lexicon(words, stems, often, frozenset(r.term for r in fine))
+        return Lexicon(words, stems, tuple(words), frozenset(r.term for r in fine))
 
     c = F.col
     halves = {h: lexicon(c(f"bad{h}"), c(f"good{h}"), *size[h]) for h in (0, 1)} if all(min(size[h]) for h in (0, 1)) else None
