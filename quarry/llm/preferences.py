@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import global_row_number, table
+from .common import global_row_number, settle, table
 
 
 def pair_conversations(turns: DataFrame) -> DataFrame:
     """(pair_id, conv_id, side) for every conversation; for tables that name no pairs themselves.
 
-    Conversations stand in the order of a digest of their first turn, then conv_id, and are paired two by two, so
-    those that open alike meet; the smaller place is the chosen one. An odd last one has no partner.
+    Conversations that open alike, by a digest of their first turn, are paired two by two in order of conv_id; those
+    left over, the last of each opening of odd size, follow in order of digest and are paired likewise. The smaller
+    place is the chosen one. An odd last one has no partner.
     """
     first = turns.groupBy("conv_id").agg(F.min(F.struct("turn", "role", "text")).alias("t"))
     opening = F.md5(F.concat_ws(":", F.coalesce("t.role", F.lit("")), F.coalesce("t.text", F.lit(""))))
-    placed = global_row_number(first.select("conv_id", opening.alias("opening")), ["opening", "conv_id"], "n")
+    first = settle(first.select("conv_id", opening.alias("opening")))
+    # one row for each opening, counted before the shuffle; a null conv_id is never the largest unless it is alone
+    odd = first.groupBy("opening").agg(F.count("*").alias("size"), F.max("conv_id").alias("last")).where("size % 2 = 1").select("last")
+    is_last = first.conv_id.eqNullSafe(odd["last"])
+    alike, left = settle(first.join(odd, is_last, "left_anti")), first.join(odd, is_last, "left_semi")
+    number = lambda rows: global_row_number(rows, ["opening", "conv_id"], "n")
+    placed = number(alike).unionByName(number(left).withColumn("n", F.col("n") + alike.count()))
     return placed.select(F.expr("n div 2").alias("pair_id"), "conv_id", F.when(F.col("n") % 2 == 0, "chosen").otherwise("rejected").alias("side"))
 
 
