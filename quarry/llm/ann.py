@@ -90,19 +90,22 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(x: np.ndarray, parts: int, k: int, recall: float, probe_rows: int = 1024) -> tuple[Router, int]:
-    """A router fitted on the rows of x, and the number of parts to search for this recall of the k nearest.
+    """A router fitted on rows of x, and the number of parts to search for this recall of the k nearest.
 
-    The classifier learns from each row its own part and those of its graph neighbours. The number of parts is
-    measured on rows of x, each row in the part that the router gives it.
+    The classifier learns from each row its own part and those of its graph neighbours. The last rows, an eighth and
+    probe_rows at most, are kept from it: the number of parts is measured on them, against all rows of x, each row
+    in the part that the router gives it.
     """
-    graph = neighbours(x, x, 10)
-    part = balanced_parts(x, graph, parts)
-    goal = np.zeros((len(x), parts))
-    np.add.at(goal, (np.repeat(np.arange(len(x)), graph.shape[1]), part[graph].ravel()), 1 / graph.shape[1])
-    goal[np.arange(len(x)), part] += 1
-    router = Router(x, goal / 2 if parts > 1 else goal / goal.sum(1, keepdims=True))
+    held = min(probe_rows, len(x) // 8)
+    own = x[: len(x) - held]
+    graph = neighbours(own, own, 10)
+    part = balanced_parts(own, graph, parts)
+    goal = np.zeros((len(own), parts))
+    np.add.at(goal, (np.repeat(np.arange(len(own)), graph.shape[1]), part[graph].ravel()), 1 / graph.shape[1])
+    goal[np.arange(len(own)), part] += 1
+    router = Router(own, goal / 2 if parts > 1 else goal / goal.sum(1, keepdims=True))
     ranks = router.ranked(x)
-    probes = np.linspace(0, len(x) - 1, min(probe_rows, len(x))).astype(int)
+    probes = np.arange(len(x) - held, len(x)) if held else np.arange(len(x))
     near = neighbours(x, x[probes], k)
     place = np.argsort(ranks[probes], axis=1)  # of each part in a probe's ranking
     own = near == probes[:, None]
@@ -127,17 +130,17 @@ def nearest(block: np.ndarray, lows: np.ndarray, query: np.ndarray, rough: np.nd
     return rows[best], scores[best]
 
 
-def search(rows: DataFrame, is_query, k: int = 20, sample: int = 4096, rows_a_part: int = 512, recall: float = 0.95, block_rows: int = 16384) -> DataFrame:
+def search(rows: DataFrame, is_query, k: int = 20, sample: int = 12288, rows_a_part: int = 512, recall: float = 0.93, block_rows: int = 16384) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found by inner product for each query row.
 
     rows: id, vector (array<double>, finite, not all zero). is_query: a condition on id. Queries look for every
     row but those of their own id; ties go to the smaller id. Rows whose id or vector is null take no part; a
     vector meets only those of its own length; repeated rows are one; an empty table gives no rows.
 
-    Partitions are learned on a sample of at most `sample` distinct vectors (the smallest hashes), sample / 128
-    parts at most and one for each rows_a_part vectors; the number of parts to search is the smallest that finds
-    the share `recall` of true neighbours within the sample. Every row is indexed by the router. A part of any
-    size is searched in blocks of about block_rows vectors.
+    Partitions are learned on a sample of at most `sample` distinct vectors (the smallest digests): one for each
+    rows_a_part vectors of the table, and at least 48 of the sample to each. The number of parts to search is the
+    smallest that finds the share `recall` of true neighbours of sampled rows that the router has not seen. Every
+    row is indexed by the router. A part of any size is searched in blocks of about block_rows vectors.
     """
     groups = distinct_vectors(rows.where("id is not null and vector is not null and size(vector) > 0"), k)
     members = groups.select("gid", "vector").join(rows.where(is_query).where("vector is not null").distinct(), "vector").select(F.col("gid").alias("qid"), F.col("id").alias("query_id"))
@@ -146,7 +149,7 @@ def search(rows: DataFrame, is_query, k: int = 20, sample: int = 4096, rows_a_pa
     for (length, count) in groups.groupBy(F.size("vector")).count().collect():
         of_length = groups.where(F.size("vector") == length)
         x = matrix(of_length.orderBy("gid", "vector").limit(sample).select("vector").toArrow().column("vector").combine_chunks())
-        router, probes = fit(x, min(max(1, count // rows_a_part), max(1, sample // 128), max(1, len(x) // 16)), k, recall)
+        router, probes = fit(x, max(1, min(count // rows_a_part, len(x) // 48)), k, recall)
 
         def route(batches, router=router, probes=probes):
             for batch in batches:
@@ -154,12 +157,12 @@ def search(rows: DataFrame, is_query, k: int = 20, sample: int = 4096, rows_a_pa
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(parts) + 1, dtype=np.int32) * parts.shape[1]), pa.array(parts.ravel()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "parts"])
 
-        placed = settle(of_length.mapInArrow(route, "vector array<double>, ids array<long>, gid long, parts array<int>"))
+        placed = settle(of_length.mapInArrow(route, "vector array<double>, ids array<long>, gid string, parts array<int>"))
         sizes = placed.groupBy(F.col("parts")[0].alias("part")).count().collect()  # a row for each part
         cut = F.create_map(*[F.lit(v) for r in sizes for v in (r[0], max(1, -(-r[1] // block_rows)))])
         name = lambda part, i: F.concat_ws(":", part, i)
         own = F.col("parts")[0]
-        candidates = placed.select("vector", "ids", name(own, F.pmod("gid", cut[own])).alias("block"))
+        candidates = placed.select("vector", "ids", name(own, F.pmod(F.xxhash64("gid"), cut[own])).alias("block"))
         asked = placed.join(wanted, placed.gid == wanted.qid, "left_semi").select("vector", F.col("gid").alias("qid"), F.explode("parts").alias("part")).where(cut[F.col("part")].isNotNull())
         queries = asked.withColumn("i", F.explode(F.sequence(F.lit(0), cut[F.col("part")] - 1))).select("vector", "qid", name(F.col("part"), F.col("i")).alias("block"))
 
@@ -177,6 +180,7 @@ def search(rows: DataFrame, is_query, k: int = 20, sample: int = 4096, rows_a_pa
 
 
 def op10_learned_partitions(spark, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every query; vectors that are null, zero or not finite take no part."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     return search(rows.where(finite), F.col("id") % 20 == 0)

@@ -18,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only in a local session."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not (sc.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="quarry-checkpoint-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
@@ -47,6 +49,20 @@ def key_of(doc_id: str = "doc_id", text: str = "text") -> list:
     return [F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("__q_id"), F.xxhash64(F.col(text)).alias("__q_text")]
 
 
+def join_hot(rows: DataFrame, right: DataFrame, keys: list[str], count: str, parts: int = 1000) -> DataFrame:
+    """rows joined with right, which has one row for each of keys and, as `count`, how many rows hold it.
+
+    Keys that hold more than one in `parts` of all counted rows are fewer than `parts`: they are broadcast and their
+    rows stay where they are. The others are shuffled, and none of them fills a task. Both inputs should be settled,
+    as they are read twice. The column `count` is left out.
+    """
+    total = right.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    hot = right.where(F.col(count) > max(1, total // parts))
+    cold = right.where(F.col(count) <= max(1, total // parts)).drop(count)
+    few = F.broadcast(hot.drop(count))  # fewer than `parts` rows
+    return rows.join(few, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+
+
 def global_row_number(df: DataFrame, order: list, out: str) -> DataFrame:
     """Number all rows from 0 in the given order: a range shuffle, then offsets from one count a partition.
 

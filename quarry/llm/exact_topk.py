@@ -62,7 +62,7 @@ def exact_topk(rows: DataFrame, is_query, k: int = 10, block_rows: int = 8192) -
     members = groups.select("gid", "vector").join(rows.where(is_query).where("vector is not null").distinct(), "vector").select(F.col("gid").alias("qid"), F.col("id").alias("query_id"))
     wanted = members.select("qid").distinct()
     block = lambda i: F.concat_ws(":", F.size("vector"), i)
-    candidates = groups.withColumn("block", block(F.pmod("gid", F.lit(blocks))))
+    candidates = groups.withColumn("block", block(F.pmod(F.xxhash64("gid"), F.lit(blocks))))
     queries = groups.join(wanted, groups.gid == wanted.qid, "left_semi").select("vector", F.col("gid").alias("qid"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("i")).withColumn("block", block(F.col("i")))
 
     def solver():
@@ -80,9 +80,11 @@ def exact_topk(rows: DataFrame, is_query, k: int = 10, block_rows: int = 8192) -
 
 
 def op3_exact_topk(spark, sf_dir: str) -> DataFrame:
+    """The 10 best of every query, ties to the smaller vec_id; vectors that are null or not finite take no part."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     whole = F.transform("vector", lambda x: F.floor(x * 1024).cast("double"))
+    # floor gives a long: components of 9e15 and more in size would be cut off there, and sums exceed 2**53 long before
     rows = rows.where(finite).select("id", whole.alias("vector"))
     return exact_topk(rows, F.col("id") % 100 == 0).withColumn("score", F.col("score").cast("long"))
 

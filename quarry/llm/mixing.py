@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from .common import NO_ID, exclusive_sum, global_row_number, key_of, settle, table
 
-#: Buckets of the shuffled order and of finish times; each is summed on its own.
-BUCKETS = 4096
+#: Buckets of the shuffled order and of finish times, each of them summed on its own: one for so many rows, within bounds,
+#: so that no task has many and the buckets' totals, which are broadcast once, stay below some 50 MB.
+ROWS_A_BUCKET, BUCKETS = 50_000, (4096, 1 << 20)
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...], repeats: int) -> DataFrame:
@@ -58,7 +59,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3,
     by_source = settle(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, repeats))
     same = rows.source.eqNullSafe(by_source.source)
     rows = rows.join(by_source, same).select(rows["*"], "source_size", "ordinal", "target")
-    step = (1 << 60) // BUCKETS
+    buckets = max(BUCKETS[0], min(BUCKETS[1], 1 << (rows.count() // ROWS_A_BUCKET).bit_length()))
+    step = (1 << 60) // buckets
     rows = exclusive_sum(rows, ["ordinal"], F.floor(F.col("h") / step), ["h", "doc_id", "size", "row"], "size", "before")
     copies = rows.select("row", "ordinal", "h", "size", "doc_id", "target", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("copy"), "before", "source_size")
     end = F.col("copy") * F.col("source_size") + F.col("before") + F.col("size")
@@ -66,7 +68,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), repeats: int = 3,
     order = ["finish", "ordinal", "copy", "h", "doc_id", "size", "row"]
     total = by_source.agg(F.coalesce(F.sum("source_size"), F.lit(0)).cast("long")).first()[0]
     # buckets that begin after the budget is used up take nothing; few copies finish late within it
-    copies = exclusive_sum(copies, [], F.floor(F.least(F.col("finish"), F.lit(2.0)) * BUCKETS), order, "size", "used", total)
+    copies = exclusive_sum(copies, [], F.floor(F.least(F.col("finish"), F.lit(2.0)) * buckets), order, "size", "used", total)
     got = copies.withColumn("got", F.greatest(F.lit(0), F.least(F.col("size"), F.lit(total) - F.col("used")))).groupBy("row").agg(F.sum("got").alias("taken"))
     return rows.join(got, "row", "left").select("doc_id", "__q_text", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
@@ -95,6 +97,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 
 
 def op2_source_mixing(spark, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document; nulls, ties and repeats as in mix()."""
     return mix(table(spark, sf_dir, "documents")).drop("__q_text")
 
 
@@ -102,7 +105,7 @@ OP2_SQL = r"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h
-  FROM documents),
+  , row_number() OVER () AS rid FROM documents),
 sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
 ranked AS (
   SELECT *, 3 * source_size AS cap, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS ordinal FROM sums),
@@ -129,7 +132,7 @@ queued AS (
   SELECT *, coalesce(sum(size) OVER (ORDER BY finish, ordinal, copy, h, doc_id, size
                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM copies),
 got AS (
-  SELECT doc_id, sum(greatest(0, least(size, (SELECT sum(size) FROM docs) - used))) AS taken FROM queued GROUP BY doc_id)
+  SELECT rid, sum(greatest(0, least(size, (SELECT sum(size) FROM docs) - used))) AS taken FROM queued GROUP BY rid)
 SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(g.taken, 0)::BIGINT AS taken
-FROM placed p LEFT JOIN got g USING (doc_id)
+FROM placed p LEFT JOIN got g USING (rid)
 """

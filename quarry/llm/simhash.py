@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, key_of, settle, table
+from .common import components, join_hot, key_of, settle, table
 
 ONE = np.uint64(1)
 
@@ -128,7 +128,7 @@ def links(fps: DataFrame, budget: int = 3, hot: int = 200_000) -> DataFrame:
     rows = rows.select("fp", F.concat_ws(":", "i", "v").alias("key"))
     done = []
     spans = {str(i): [x for x in range(64) if not edge[i] <= x < edge[i + 1]] for i in range(parts)}
-    for _ in range(3):
+    while min(map(len, spans.values())) >= parts:  # until no trie is too large, or no bits are left to tell its members apart
         big = settle(rows.groupBy("key").count().where(F.col("count") > hot).select("key"))
         if big.isEmpty():
             break
@@ -203,13 +203,17 @@ def near_duplicates(docs: DataFrame, budget: int = 3) -> DataFrame:
     found = components(links(each, budget))
     roots = each.join(found, each.fp == found.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = roots.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows.join(roots.join(lows, "root").select("fp", "root", "component_id"), "fp")
+    # one row for each fingerprint; those that very many documents have are few and broadcast
+    named = settle(roots.join(lows, "root").join(rows.groupBy("fp").agg(F.count("*").alias("__q_n")), "fp").select("fp", "root", "component_id", "__q_n"))
+    return join_hot(rows, named, ["fp"], "__q_n")
 
 
 def keep_one(docs: DataFrame, budget: int = 3) -> DataFrame:
     """docs with one document of each near-duplicate group: that of the smallest doc_id, then text hash.
 
-    Of repeated rows one stays. Columns are those of docs.
+    Of repeated rows one stays, any of them, as they are equal in id and text; null texts are one group with blank
+    ones; a null doc_id ranks before all others, and a document without one stays if it is in no other group. An
+    empty table gives no rows. Columns are those of docs.
     """
     rows = near_duplicates(docs, budget)
     best = rows.groupBy("root").agg(F.min(F.struct("__q_id", "__q_text")).alias("k")).select("k.*")
@@ -219,5 +223,6 @@ def keep_one(docs: DataFrame, budget: int = 3) -> DataFrame:
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; nulls, blanks and repeats as in near_duplicates()."""
     rows = near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

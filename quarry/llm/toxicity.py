@@ -19,6 +19,8 @@ OPENING, CLOSING, PLAIN = "“„«‹", "”»›", "\""
 YOU = frozenset("you your yours youre du dich dir dein deine ihr euch tu te toi vous votre vos usted ustedes tus vosotros".split())
 SAID = frozenset("said says wrote writes quoted quote called calls word words term sagte schrieb nannte wort dit écrit appelé mot dijo escribió llamó palabra".split())
 WINDOW = 6
+#: Contexts in which a term is named rather than said.
+ASIDE = ("quoted", "reported")
 #: Longer terms are told from others by their pieces, as the ways to leave two letters out grow with the square.
 LONG = 24
 
@@ -137,11 +139,11 @@ class Lexicon(dict):
         return None
 
 
-def found(text: str, lexicon: Lexicon) -> tuple[int, list[tuple[int, int, str, int, float, bool]]]:
-    """(words, hits); a hit is (start, end, term, errors, weight in context, whether it is quoted).
+def found(text: str, lexicon: Lexicon) -> tuple[int, list[tuple[int, int, str, int, float, str]]]:
+    """(words, hits); a hit is (start, end, term, errors, weight, context).
 
-    A hit within quotation marks of its line weighs 0.3 and one near a word of reporting 0.6 of its weight; one
-    near a word that speaks to somebody 1.2.
+    Its context is `quoted` within quotation marks of its line, `reported` with a word of reporting within WINDOW
+    words, `addressed` with a word that speaks to somebody there, else `plain`. What each is worth is learned.
     """
     words = WORD.findall(text.lower())
     marked = {w: got for w in set(words) if (got := lexicon[w])}
@@ -154,17 +156,18 @@ def found(text: str, lexicon: Lexicon) -> tuple[int, list[tuple[int, int, str, i
             near = {w for _, _, w in spans[max(0, i - WINDOW) : i] + spans[i + 1 : i + 1 + WINDOW]}
             line = text[text.rfind("\n", 0, start) + 1 : start]
             quoted = line.count(PLAIN) % 2 == 1 or sum(map(line.count, OPENING)) > sum(map(line.count, CLOSING))
-            scale = 0.3 if quoted else 0.6 if near & SAID else 1.2 if near & YOU else 1.0
-            hits.append((start, end, got[1], got[2], got[0] * scale, quoted or scale == 0.6))
+            context = "quoted" if quoted else "reported" if near & SAID else "addressed" if near & YOU else "plain"
+            hits.append((start, end, got[1], got[2], got[0], context))
     return len(words), hits
 
 
 def features(n_words: int, hits: list) -> list[float]:
-    direct = [h for h in hits if not h[5]]
-    plain = sum(h[4] for h in direct if not h[3])
-    misspelt = sum(h[4] for h in direct if h[3])
-    quoted = sum(h[4] for h in hits if h[5])
-    return [math.log1p(plain), math.log1p(misspelt), math.log1p(quoted), math.log1p(len({h[2] for h in direct if not h[3]})), math.log1p(100 * (plain + misspelt) / max(n_words, 20)), max([h[4] for h in direct], default=0.0)]
+    """What the classifier sees: weights by context, exact and misspelt ones apart, so that it learns each one's worth."""
+    direct = [h for h in hits if h[5] not in ASIDE]
+    total = lambda some: math.log1p(sum(h[4] for h in some))
+    by_context = [total(h for h in hits if h[5] == c) for c in ("quoted", "reported", "addressed")]
+    dense = math.log1p(100 * sum(h[4] for h in direct) / max(n_words, 20))
+    return [total(h for h in direct if not h[3]), total(h for h in direct if h[3]), *by_context, math.log1p(len({h[2] for h in direct if not h[3]})), dense, max([h[4] for h in direct], default=0.0)]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -199,21 +202,23 @@ def held_out():
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == 0
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms: int = 4_000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
     """Fit on at most max_rows labelled documents that are not held out, the smallest hashes of doc_id.
 
     Terms are words and word beginnings that toxic rows hold far more often than others: the log ratio, less one
-    standard error, is at least 2.5, in three rows and 1 % of the toxic ones at least. At most max_terms words and as many beginnings stay, the surest.
-    Misspelt forms are looked for of every such word that is long enough to allow an error. The classifier
-    is fitted crosswise: each half of the rows is scored with the other half's lexicon. Several labels of one
-    doc_id count as toxic if one is; null labels and null doc_ids teach nothing. Without both classes every score
-    is the toxic share.
+    standard error, is at least 2.5, in three rows and 1 % of the toxic ones at least. So there are at most 100 times
+    as many as a toxic row has of them on average; none is cut off. Misspelt forms are looked for of every such word
+    that is long enough to allow an error. The classifier is fitted crosswise: each half of the rows is scored with
+    the other half's lexicon. Several labels of one doc_id count as toxic if one is, of several texts of one doc_id
+    the smallest teaches; null labels and null doc_ids teach nothing. Without both classes every score is the toxic
+    share.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # max_rows rows of two numbers: the broadcast's size is bounded
-    rows = rows.join(F.broadcast(known), "doc_id").select("text", "toxic", (F.xxhash64("doc_id") % 2 != 0).cast("int").alias("half"))
+    rows = rows.join(F.broadcast(known), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = rows.select("text", "toxic", (F.xxhash64("doc_id") % 2 != 0).cast("int").alias("half"))
     rows = settle(rows)
 
     def count(batches):
@@ -239,7 +244,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms:
         ratio = F.log((b + 0.5) / (toxic + 1)) - F.log((g + 0.5) / (other + 1))
         sure = ratio - F.sqrt(1 / (b + 0.5) + 1 / (g + 0.5))
         kept = terms.where((b >= max(3, 0.01 * toxic)) & (sure >= 2.5)).select("term", sure.alias("sure"))
-        pick = lambda is_stem: kept.where(F.col("term").endswith("*") == is_stem).orderBy(F.desc("sure"), "term").limit(max_terms).collect()
+        pick = lambda is_stem: kept.where(F.col("term").endswith("*") == is_stem).orderBy(F.desc("sure"), "term").collect()
         words, stems = {r.term: r.sure for r in pick(False)}, {r.term.rstrip("*"): r.sure for r in pick(True)}
         # a beginning makes up for longer ones under it only if it is about as sure as they are
         stems = {s: v for s, v in stems.items() if not any(s[:k] in stems and stems[s[:k]] >= v - 0.5 for k in STEMS if k < len(s))}
@@ -250,7 +255,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms:
                 yield pa.RecordBatch.from_arrays([pa.array([t for t in batch.column("term").to_pylist() if (x := first.look(t)) and x[2]], pa.string())], ["term"])
 
         # words of clean rows that lie near a term mean themselves
-        fine = terms.where((g > 0) & ~F.col("term").endswith("*")).select("term").mapInArrow(near, "term string").limit(50 * max_terms).collect()
+        fine = terms.where((g > 0) & ~F.col("term").endswith("*")).select("term").mapInArrow(near, "term string").collect()
         return Lexicon(words, stems, tuple(words), frozenset(r.term for r in fine))
 
     c = F.col
@@ -273,25 +278,29 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, max_terms:
 def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     """docs' rows as doc_id, __q_id, __q_text, score, hits of the whole texts.
 
-    hits: array of struct<start, end, term, errors, weight, quoted>. A null or empty text has no hits and the
+    hits: array of struct<start, end, term, errors, weight, context>. A null or empty text has no hits and the
     score of a text without any; null doc_ids and repeated rows are scored like others; other columns are left
     out; an empty table gives no rows.
     """
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("term", pa.string()), ("errors", pa.int32()), ("weight", pa.float64()), ("quoted", pa.bool_())]))
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("term", pa.string()), ("errors", pa.int32()), ("weight", pa.float64()), ("context", pa.string())]))
 
     def run(batches):
         for batch in batches:
             got = [model.score(t.as_py() or "") for t in batch.column("text")]
-            hits = [[dict(zip(("start", "end", "term", "errors", "weight", "quoted"), h)) for h in x] for _, x in got]
+            hits = [[dict(zip(("start", "end", "term", "errors", "weight", "context"), h)) for h in x] for _, x in got]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__q_id"), batch.column("__q_text"), pa.array([s for s, _ in got], pa.float64()), pa.array(hits, kind)], ["doc_id", "__q_id", "__q_text", "score", "hits"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    schema = "doc_id long, __q_id long, __q_text long, score double, hits array<struct<start:int,end:int,term:string,errors:int,weight:double,quoted:boolean>>"
+    schema = "doc_id long, __q_id long, __q_text long, score double, hits array<struct<start:int,end:int,term:string,errors:int,weight:double,context:string>>"
     return rows.select("doc_id", "text", *key_of()).mapInArrow(run, schema)
 
 
 def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """docs without the rows that score threshold or more; columns are those of docs, texts are read once."""
+    """docs without the rows that score threshold or more; columns are those of docs, texts are read once.
+
+    Null and empty texts score as texts without hits; null doc_ids and repeated rows are judged like others; an empty
+    table gives no rows.
+    """
 
     def run(batches):
         for batch in batches:
@@ -302,7 +311,8 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
+    """The score of every document, learned from those that are not held out; nulls and repeats as in toxicity()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity(docs, learn(docs, table(spark, sf_dir, "labels")))
     count = lambda test: F.size(F.filter("hits", test)).cast("long")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), count(lambda h: ~h["quoted"]).alias("direct_hits"), count(lambda h: h["quoted"]).alias("quoted_hits"), count(lambda h: h["errors"] > 0).alias("misspelt_hits"))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), count(lambda h: ~h["context"].isin(*ASIDE)).alias("direct_hits"), count(lambda h: h["context"].isin(*ASIDE)).alias("quoted_hits"), count(lambda h: h["errors"] > 0).alias("misspelt_hits"))

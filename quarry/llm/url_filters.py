@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle, table
@@ -11,14 +13,21 @@ from .common import settle, table
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 HOST = r"://([^/?#]*)"
 PATH = r"://[^/?#]*([^?#]*)"
-#: A page names another host by a link, or by a copyright line.
-MENTION = r"(?:(?:href|src|action)=[\"']?(?:[Hh][Tt][Tt][Pp][Ss]?:)?//|&copy; )([A-Za-z0-9.-]+\.[A-Za-z]+)"
+#: What a page names: where its links, pictures and forms lead, and the host in its copyright line.
+LINK = r"""(?i)(?:href|src|action)\s*=\s*["']?([^"'\s>]+)"""
+OWNER = r"(?:&copy;|©)\s*([A-Za-z0-9.-]+\.[A-Za-z0-9-]+(?::\d+)?)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 UNITS = 10**15
+#: Weights are whole numbers, so that their sums do not depend on order.
+WEIGHT = 10**6
 
 
 def judged(pages: DataFrame, rules=RULES) -> DataFrame:
-    """Adds host, path, rule and ruled (the rule's verdict); both of the latter are null where no rule fits."""
+    """Adds host, path, rule and ruled (the rule's verdict); both of the latter are null where no rule fits.
+
+    A null url, or one without ://, has an empty host and path. Repeated rows stay; an empty table gives no rows;
+    columns of these names are replaced.
+    """
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     out = pages.withColumn("host", F.translate(F.regexp_extract(url, HOST, 1), UPPER, LOWER)).withColumn("path", F.regexp_extract(url, PATH, 1))
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -28,45 +37,76 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     return out.withColumn("rule", rule).withColumn("ruled", verdict)
 
 
-def host_edges(pages: DataFrame) -> DataFrame:
-    """(a, b, p, q): pages of host a name host b; p its share of a's mentions, q of those that b gets.
+def target(link: Column) -> Column:
+    """What a link leads to: `//` and a host, or the path of a link within the page's own host; null for neither."""
+    host = F.translate(F.regexp_extract(link, "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1), UPPER, LOWER)
+    inner = F.regexp_extract(link, "^([^?#]*)", 1)
+    other = link.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | link.startswith("//")
+    return F.when(host != "", F.concat(F.lit("//"), host)).when(~other & (inner != ""), inner)
 
-    A page's mentions of one host count once; a host's of itself do not. Rows are summed before the shuffle, so a
-    host with a third of all pages is a row a task.
-    """
-    named = F.array_distinct(F.transform(F.regexp_extract_all(F.col("html"), F.lit(MENTION), F.lit(1)), lambda h: F.translate(h, UPPER, LOWER)))
-    edges = pages.where("host != ''").select(F.col("host").alias("a"), F.explode(named).alias("b")).where("a != b").groupBy("a", "b").agg(F.count("*").alias("n"))
-    edges = settle(edges)
-    out = edges.groupBy("a").agg(F.sum("n").alias("na"))
-    into = edges.groupBy("b").agg(F.sum("n").alias("nb"))
-    return settle(edges.join(out, "a").join(into, "b").select("a", "b", (F.col("n").cast("double") / F.col("na")).alias("p"), (F.col("n").cast("double") / F.col("nb")).alias("q")))
 
+def host_edges(pages: DataFrame) -> DataFrame:
+    """Edges between hosts by way of what their pages name: (host, target, ahead_1, ahead_2, back_1, back_2).
+
+    A host that pages link to is a target of those pages' hosts that leads to it alone. Where pages link within their
+    own host, the path is a target: it joins all hosts that have a link of that path, each by its pages that do, over
+    the number of these hosts, so what all sites share weighs little. No two hosts are ever crossed; a target's rows
+    are as many as its hosts. Paths of one host join nothing; a page's mentions of a target count once, and those of
+    its own host not at all. Rows are summed before the shuffle, so a host with a third of all pages is a row a task.
 
-def host_scores(pages: DataFrame, rounds: int = 8, damping: float = 0.85) -> DataFrame:
+    ahead_1 is the share of a host's naming that goes to the target, ahead_2 the share of the target that leads on to
+    the host; back_1 and back_2 are the same against the edges.
+    """
+    links = F.transform(F.regexp_extract_all(F.col("html"), F.lit(LINK), F.lit(1)), target)
+    owners = F.transform(F.regexp_extract_all(F.col("html"), F.lit(OWNER), F.lit(1)), lambda h: F.concat(F.lit("//"), F.translate(h, UPPER, LOWER)))
+    named = F.array_distinct(F.concat(links, owners))
+    n = pages.where("host != ''").select("host", F.explode(named).alias("target")).where("target is not null and target != concat('//', host)").groupBy("host", "target").agg(F.count("*").alias("n"))
+    n = settle(n)
+    inner = ~F.col("target").startswith("//")
+    shared = n.where(inner).groupBy("target").agg(F.count("*").alias("hosts")).where("hosts > 1")
+    weight = F.floor(F.col("n") * F.lit(float(WEIGHT)) / F.col("hosts"))
+    within = n.join(shared, "target").select("host", "target", weight.alias("out"), weight.alias("into"))
+    straight = n.where(~inner)
+    zero = F.lit(0).cast("long")
+    ahead = straight.select("host", "target", (F.col("n") * WEIGHT).alias("out"), zero.alias("into"))
+    reached = straight.select(F.expr("substring(target, 3)").alias("host"), "target").distinct().select("host", "target", zero.alias("out"), F.lit(1).cast("long").alias("into"))
+    edges = settle(within.unionByName(ahead).unionByName(reached))
+    by_host = edges.groupBy("host").agg(F.sum("out").alias("host_out"), F.sum("into").alias("host_in"))
+    by_target = edges.groupBy("target").agg(F.sum("out").alias("target_out"), F.sum("into").alias("target_in"))
+    share = lambda part, whole: F.when(F.col(whole) > 0, F.col(part).cast("double") / F.col(whole)).otherwise(F.lit(0.0))
+    return settle(edges.join(by_host, "host").join(by_target, "target").select("host", "target", share("out", "host_out").alias("ahead_1"), share("into", "target_in").alias("ahead_2"), share("into", "host_in").alias("back_1"), share("out", "target_out").alias("back_2")))
+
+
+def rounds_for(tolerance: float, damping: float) -> int:
+    """Rounds after which less than tolerance of all trust is still to be handed on, whatever the graph."""
+    return math.ceil(math.log(tolerance) / math.log(damping))
+
+
+def host_scores(pages: DataFrame, tolerance: float = 0.05, damping: float = 0.85) -> DataFrame:
     """(host, trust, distrust) by propagation over host edges; pages as judged() returns them, with html.
 
     Trust is a PageRank that jumps to hosts by their number of pages that rules allow and goes along the edges;
     distrust jumps by blocked pages and goes against them. Scores are whole numbers out of 10**15, so sums do not
-    depend on their order; rounds are fixed, and each is settled.
+    depend on their order. The number of rounds follows from the tolerance; each round is settled.
     """
     pages = pages.where("host != ''")
     counts = settle(pages.groupBy("host").agg(F.count(F.when(F.col("ruled") == "allow", 1)).alias("good"), F.count(F.when(F.col("ruled") == "block", 1)).alias("bad")).where("good + bad > 0"))
     good, bad = counts.agg(F.coalesce(F.sum("good"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
-    jump = counts.select("host", F.floor(F.col("good") * float(UNITS) / max(good, 1)).alias("trust"), F.floor(F.col("bad") * float(UNITS) / max(bad, 1)).alias("distrust"))
-    edges = host_edges(pages)
-    now = settle(jump)
+    now = settle(counts.select("host", F.floor(F.col("good") * float(UNITS) / max(good, 1)).alias("trust"), F.floor(F.col("bad") * float(UNITS) / max(bad, 1)).alias("distrust")))
     stay = now.select("host", F.floor(F.col("trust") * (1 - damping)).alias("trust"), F.floor(F.col("distrust") * (1 - damping)).alias("distrust"))
-    none = F.lit(0).cast("long")
+    edges = host_edges(pages)
     if edges.isEmpty():  # every round gives the same
         return stay
-    for _ in range(rounds):
-        ahead = edges.join(now.where("trust > 0"), edges.a == now.host).select(F.col("b").alias("host"), F.floor(F.col("trust") * damping * F.col("p")).alias("trust"), none.alias("distrust"))
-        back = edges.join(now.where("distrust > 0"), edges.b == now.host).select(F.col("a").alias("host"), none.alias("trust"), F.floor(F.col("distrust") * damping * F.col("q")).alias("distrust"))
-        now = settle(stay.unionByName(ahead).unionByName(back).groupBy("host").agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")))
+    both = [F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")]
+    for _ in range(rounds_for(tolerance, damping)):
+        on = edges.join(now, "host").select("target", F.floor(F.col("trust") * damping * F.col("ahead_1")).alias("trust"), F.floor(F.col("distrust") * damping * F.col("back_1")).alias("distrust"))
+        on = on.groupBy("target").agg(*both).where("trust > 0 or distrust > 0")
+        to = edges.join(on, "target").select("host", F.floor(F.col("trust") * F.col("ahead_2")).alias("trust"), F.floor(F.col("distrust") * F.col("back_2")).alias("distrust"))
+        now = settle(stay.unionByName(to).groupBy("host").agg(*both))
     return now
 
 
-def filter_urls(pages: DataFrame, rules=RULES, rounds: int = 8, damping: float = 0.85) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, tolerance: float = 0.05, damping: float = 0.85) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every row of pages.
 
     The longest fitting rule decides; where none fits, a host is blocked if its distrust is above its trust. A
@@ -75,7 +115,7 @@ def filter_urls(pages: DataFrame, rules=RULES, rounds: int = 8, damping: float =
     other columns are left out.
     """
     rows = judged(pages.select("page_id", "url", "html"), rules)
-    scores = host_scores(rows, rounds, damping)
+    scores = host_scores(rows, tolerance, damping)
     at = rows.drop("html", "url").join(scores, "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0)), F.coalesce("distrust", F.lit(0))
     verdict = F.coalesce("ruled", F.when(distrust > trust, "block").otherwise("allow"))
@@ -83,34 +123,54 @@ def filter_urls(pages: DataFrame, rules=RULES, rounds: int = 8, damping: float =
 
 
 def op1_url_filters(spark, sf_dir: str) -> DataFrame:
+    """All pages' verdicts; nulls, ties and repeats as in filter_urls()."""
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
-def op1_sql(rules=RULES, rounds: int = 8, damping: float = 0.85) -> str:
+def op1_sql(rules=RULES, tolerance: float = 0.05, damping: float = 0.85) -> str:
     fits = [(h + p, f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", v) for h, p, v in sorted(rules, key=lambda r: -len(r[0] + r[1]))]
     rule = " ".join(f"WHEN {c} THEN '{r}'" for r, c, _ in fits)
     ruled = " ".join(f"WHEN {c} THEN '{v}'" for _, c, v in fits)
-    mention = MENTION.replace("'", "''")
-    step = """r{n} AS (SELECT host, sum(trust)::BIGINT AS trust, sum(distrust)::BIGINT AS distrust FROM (
+    link, owner = LINK.replace("'", "''"), OWNER.replace("'", "''")
+    step = """t{n} AS MATERIALIZED (
+  SELECT target, sum(floor(trust * {damping} * ahead_1)::BIGINT)::BIGINT AS trust, sum(floor(distrust * {damping} * back_1)::BIGINT)::BIGINT AS distrust
+  FROM edges JOIN r{m} USING (host) GROUP BY target),
+r{n} AS MATERIALIZED (SELECT host, sum(trust)::BIGINT AS trust, sum(distrust)::BIGINT AS distrust FROM (
       SELECT host, floor(trust * {stay})::BIGINT AS trust, floor(distrust * {stay})::BIGINT AS distrust FROM r0
-      UNION ALL SELECT b, floor(trust * {damping} * p)::BIGINT, 0 FROM edges JOIN r{m} ON a = host WHERE trust > 0
-      UNION ALL SELECT a, 0, floor(distrust * {damping} * q)::BIGINT FROM edges JOIN r{m} ON b = host WHERE distrust > 0) GROUP BY host)"""
+      UNION ALL SELECT host, floor(trust * ahead_2)::BIGINT, floor(distrust * back_2)::BIGINT FROM edges JOIN t{n} USING (target)) GROUP BY host)"""
+    rounds = rounds_for(tolerance, damping)
     steps = ",\n".join(step.format(n=i + 1, m=i, stay=repr(1 - damping) + "::DOUBLE", damping=repr(damping) + "::DOUBLE") for i in range(rounds))
     return f"""
-WITH parsed AS (
+WITH parsed AS MATERIALIZED (
   SELECT page_id, html, translate(regexp_extract(coalesce(url, ''), '{HOST}', 1), '{UPPER}', '{LOWER}') AS host,
          regexp_extract(coalesce(url, ''), '{PATH}', 1) AS path FROM pages),
-rows AS (SELECT *, CASE {rule} END AS rule, CASE {ruled} END AS ruled FROM parsed),
+rows AS MATERIALIZED (SELECT * EXCLUDE (html), CASE {rule} END AS rule, CASE {ruled} END AS ruled FROM parsed),
+links AS (SELECT host, page_id, unnest(regexp_extract_all(html, '{link}', 1)) AS link FROM parsed WHERE host != ''),
+reached AS (
+  SELECT *, translate(regexp_extract(link, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS other,
+         regexp_extract(link, '^([^?#]*)', 1) AS inner_path FROM links),
 named AS (
-  SELECT host AS a, unnest(list_distinct(list_transform(regexp_extract_all(html, '{mention}', 1),
-         lambda h: translate(h, '{UPPER}', '{LOWER}')))) AS b FROM rows WHERE host != ''),
-counted AS (SELECT a, b, count(*) AS n FROM named WHERE a != b GROUP BY a, b),
-edges AS (
-  SELECT a, b, n::DOUBLE / sum(n) OVER (PARTITION BY a) AS p, n::DOUBLE / sum(n) OVER (PARTITION BY b) AS q FROM counted),
+  SELECT host, page_id, CASE WHEN other != '' THEN '//' || other
+    WHEN NOT regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') AND NOT starts_with(link, '//') AND inner_path != '' THEN inner_path END AS target
+  FROM reached
+  UNION ALL SELECT host, page_id, '//' || translate(unnest(regexp_extract_all(html, '{owner}', 1)), '{UPPER}', '{LOWER}') FROM parsed WHERE host != ''),
+counted AS MATERIALIZED (
+  SELECT host, target, count(DISTINCT page_id) AS n FROM named WHERE target IS NOT NULL AND target != '//' || host GROUP BY host, target),
+weighed AS (
+  SELECT host, target, n, count(*) OVER (PARTITION BY target) AS hosts FROM counted WHERE NOT starts_with(target, '//')),
+drawn AS MATERIALIZED (
+  SELECT host, target, floor(n * {WEIGHT}::DOUBLE / hosts)::BIGINT AS "out", floor(n * {WEIGHT}::DOUBLE / hosts)::BIGINT AS "into" FROM weighed WHERE hosts > 1
+  UNION ALL SELECT host, target, n * {WEIGHT}, 0 FROM counted WHERE starts_with(target, '//')
+  UNION ALL SELECT DISTINCT substr(target, 3), target, 0, 1 FROM counted WHERE starts_with(target, '//')),
+edges AS MATERIALIZED (
+  SELECT host, target, CASE WHEN ho > 0 THEN "out"::DOUBLE / ho ELSE 0 END AS ahead_1, CASE WHEN ti > 0 THEN "into"::DOUBLE / ti ELSE 0 END AS ahead_2,
+         CASE WHEN hi > 0 THEN "into"::DOUBLE / hi ELSE 0 END AS back_1, CASE WHEN "to" > 0 THEN "out"::DOUBLE / "to" ELSE 0 END AS back_2
+  FROM (SELECT *, sum("out") OVER (PARTITION BY host)::DOUBLE AS ho, sum("into") OVER (PARTITION BY host)::DOUBLE AS hi,
+               sum("out") OVER (PARTITION BY target)::DOUBLE AS "to", sum("into") OVER (PARTITION BY target)::DOUBLE AS ti FROM drawn)),
 seeds AS (
   SELECT host, count(*) FILTER (ruled = 'allow') AS good, count(*) FILTER (ruled = 'block') AS bad
   FROM rows WHERE host != '' GROUP BY host HAVING count(ruled) > 0),
-r0 AS (
+r0 AS MATERIALIZED (
   SELECT host, floor(good * 1e15 / greatest((SELECT sum(good) FROM seeds), 1)::DOUBLE)::BIGINT AS trust,
          floor(bad * 1e15 / greatest((SELECT sum(bad) FROM seeds), 1)::DOUBLE)::BIGINT AS distrust FROM seeds),
 {steps}

@@ -12,7 +12,7 @@ from .common import settle
 
 
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
-    """(vector, ids, gid): equal vectors once, with their k + 1 smallest distinct ids, ascending.
+    """(vector, ids, gid): equal vectors once, with their k + 1 smallest distinct ids, ascending; gid is a 128-bit digest.
 
     Larger ids can be in nobody's k best. The limit applies before the shuffle too, so a vector that a third of
     all rows share is k + 1 rows a task. Settled.
@@ -20,7 +20,7 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("vector").orderBy("id")
     few = rows.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     out = few.groupBy("vector").agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    return settle(out.withColumn("gid", F.xxhash64("vector")))
+    return settle(out.withColumn("gid", F.md5(F.concat_ws(",", F.col("vector").cast("array<string>")))))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -36,7 +36,7 @@ def stream_blocks(candidates: DataFrame, queries: DataFrame, solve, k: int) -> D
     candidates first; a task holds one block's matrix and one batch of queries at a time.
     solve(M, lows, Q) yields (query index, row indexes, scores).
     """
-    left = candidates.select("block", F.lit(None).cast("long").alias("qid"), "vector", "ids")
+    left = candidates.select("block", F.lit(None).cast("string").alias("qid"), "vector", "ids")
     right = queries.select("block", "qid", "vector", F.array().cast("array<bigint>").alias("ids"))
     n = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = left.unionByName(right).withColumn("isq", F.col("qid").isNotNull()).repartition(n, "block").sortWithinPartitions("block", "isq")
@@ -64,9 +64,9 @@ def stream_blocks(candidates: DataFrame, queries: DataFrame, solve, k: int) -> D
                 out = [(qids[i], s, ids[r]) for i, rows, scores in solve(*state, queries) for r, s in zip(rows, scores)]
                 if out:
                     q, s, x = zip(*out)
-                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array([float(y) for y in s]), pa.array(x, pa.list_(pa.int64()))], ["qid", "score", "ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.string()), pa.array([float(y) for y in s]), pa.array(x, pa.list_(pa.int64()))], ["qid", "score", "ids"])
 
-    return both.mapInArrow(run, "qid long, score double, ids array<long>")
+    return both.mapInArrow(run, "qid string, score double, ids array<long>")
 
 
 def top(found: DataFrame, members: DataFrame, k: int) -> DataFrame:

@@ -78,6 +78,13 @@ def test_urls_by_rule_and_by_links(spark):
     assert got[4].rule is None and got[4].verdict == "block" and got[4].distrust > 0  # it names a blocked host
     assert got[6].verdict == "allow" and got[6].trust > 0  # a trusted host names it
     assert (got[5].host, got[5].path, got[7].host, got[8].path, got[7].verdict) == ("a.org", "", "", "", "allow")
+    tied = [(1, "http://good.org/a", '<a href="/menu/x">'), (2, "http://one.net/a", "<A HREF=/menu/x?y>"), (3, "http://bad.com/de/", "<a href='/shop'>"), (4, "http://two.net/a", '<form action="/shop#top">'), (5, "http://alone.net/", '<a href="/own"><a href="mailto:x@y"><a href="#z">' * 2000), (6, "http://10.0.0.1:80/", '<a href="HTTP://Two.net/">')]
+    judged = url_filters.judged(spark.createDataFrame(tied, "page_id long, url string, html string"))
+    edges = url_filters.host_edges(judged).collect()
+    assert {(e.host, e.target) for e in edges} == {("good.org", "/menu/x"), ("one.net", "/menu/x"), ("bad.com", "/shop"), ("two.net", "/shop"), ("10.0.0.1:80", "//two.net"), ("two.net", "//two.net")}
+    by = {r.page_id: r for r in url_filters.filter_urls(judged).collect()}
+    assert by[2].trust > 0 == by[2].distrust and by[4].distrust > 0 and by[6].verdict == "block" and by[5].verdict == "allow"
+    assert url_filters.host_edges(url_filters.judged(spark.read.parquet(f"{SF}/pages.parquet"))).count() > 0
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert url_filters.filter_urls(empty).count() == 0
 
@@ -141,8 +148,8 @@ def test_automaton_finds_what_brute_force_finds():
 def test_quotation_weighs_less_and_misspelling_is_found(spark, odd):
     lex = toxicity.Lexicon({"moron": 5.0}, {}, ("moron",))
     spoken = toxicity.found("you are a morron", lex)[1]
-    assert spoken[0][2:4] == ("moron", 1) and not spoken[0][5]
-    assert toxicity.found('they wrote "moron" there', lex)[1][0][5]
+    assert spoken[0][2:4] == ("moron", 1) and spoken[0][5] == "addressed"
+    assert [toxicity.found(t, lex)[1][0][5] for t in ('they wrote "moron" there', 'he wrote moron there', 'a moron there')] == ["quoted", "reported", "plain"]
     rng = random.Random(6)
     words = ["tree", "house", "river", "stone", "cloud"]
     rows = [(i, " ".join([rng.choice(words) for _ in range(30)] + (["scumbag", "idiotic"] if i % 4 == 0 else [])), "s") for i in range(400)]
@@ -158,25 +165,61 @@ def test_quotation_weighs_less_and_misspelling_is_found(spark, odd):
 
 
 # ------------------------------------------------------------------ op5, op7
+def test_stripes_and_row_groups_are_pruned(spark, tmp_path):
+    """One stripe can be read alone, and statistics and the Bloom filter skip what cannot hold a doc_id."""
+    import glob
+
+    from pyarrow import orc
+
+    docs = docs_of(spark, [(2 * i, f"word{i} " * 40, "s") for i in range(6000)])
+    token_files.write_token_files(docs, str(tmp_path / "t"), stripe_bytes=1 << 16, index_stride=1000, files=2)
+    parts = sorted(glob.glob(str(tmp_path / "t" / "*.orc")))
+    ends = []
+    for p in parts:
+        f = orc.ORCFile(p)
+        assert f.nrows and f.nstripes >= 1
+        ids = [x for i in range(f.nstripes) for x in f.read_stripe(i, ["doc_id"]).column("doc_id").to_pylist()]
+        assert ids == sorted(ids) and len(ids) == f.nrows
+        ends.append((ids[0], ids[-1]))
+    assert ends == sorted(ends)  # file numbers follow doc_id
+
+    def scanned(where):
+        got = token_files.read_token_files(spark, str(tmp_path / "t")).where(where)
+        assert got.collect() is not None
+        metrics = got._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics()
+        return metrics.apply("numOutputRows").value()
+
+    whole, some, absent = scanned("doc_id >= 0"), scanned("doc_id = 10"), scanned("doc_id = 4001")
+    assert whole == 6000 and some <= 2048 and absent < whole  # an odd doc_id is within the ranges: the Bloom filter tells
+
+
 def test_token_files_come_back(spark, odd, none):
     path = scratch(spark, "t")
     token_files.write_token_files(odd, path)
     rows = token_files.digests(token_files.read_token_files(spark, path)).orderBy("start").collect()
     texts = sorted(odd.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or ""))
-    tok, at = encoder("word_bpe_49k.json", "word").tokenizer, 0
+    tok, at, rows_by = encoder("word_bpe_49k.json", "word").tokenizer, 0, {r.doc_id: r for r in rows}
     for r, t in zip(rows, texts, strict=True):
         ids = np.array(tok.encode(t.text or "", add_special_tokens=False).ids + [1], "<u4")
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (t.doc_id, at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
+    one = token_files.read_token_files(spark, path).where("doc_id = 2")
+    assert "EqualTo(doc_id,2)" in one._jdf.queryExecution().executedPlan().toString()  # reaches the ORC reader
+    assert [len(r.ids) for r in one.collect()] == [rows_by[2].n_tokens]
     path = scratch(spark, "t")
     token_files.write_token_files(none, path)
     assert token_files.digests(token_files.read_token_files(spark, path)).count() == 0
 
 
+packing_columns = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32"]
+
+
 def test_packing_places_each_id_once(spark, odd, none):
     tok = encoder("byte_bpe_50k.json", "byte").tokenizer
     many = odd.unionByName(docs_of(spark, [(100 + i, "word " * (i * 13 % 700), "s") for i in range(120)]))
-    got = packing.pack(many).toPandas()
+    got = packing.pack(many).withColumn('ids_crc32', F.crc32('ids')).toPandas()
+    same = packing.pack(many, digest=True).toPandas()
+    assert same[[*packing_columns]].equals(got[[*packing_columns]])
     seqs = got.sort_values(["sequence_id", "offset"]).groupby("sequence_id")
     for _, s in seqs:
         assert (s.offset == s.length.cumsum() - s.length).all() and s.length.sum() <= 1024
@@ -189,6 +232,38 @@ def test_packing_places_each_id_once(spark, odd, none):
     assert packing.pack(none).count() == 0
 
 
+@pytest.mark.parametrize("most, least", [(900, 1), (1024, 600), (6000, 1), (3, 1)])
+def test_harmonic_bins_hold_whole_documents(most, least):
+    rng = np.random.default_rng(most)
+    packer, seen, numbers = packing.Packer(1024), collections.defaultdict(list), {}
+    for w in range(5):
+        lengths = rng.integers(least, most + 1, 1500)
+        offsets = np.concatenate([[0], np.cumsum(lengths)])
+        ids = rng.integers(0, 50_000, offsets[-1]).astype("<u4")
+        numbers |= {(w, i): ids[offsets[i] : offsets[i + 1]] for i in range(1500)}
+        for piece in packer.window([(w, i) for i in range(1500)], offsets, ids):
+            seen[piece[0]].append(piece)
+    for piece in packer.window([], np.zeros(1, np.int64), np.zeros(0, "<u4"), last=True):
+        seen[piece[0]].append(piece)
+    bins = collections.defaultdict(list)
+    for d, ids in numbers.items():
+        own = sorted(seen[d], key=lambda p: p[2])
+        assert b"".join(p[5] for p in own) == ids.tobytes() and all(p[1] == len(ids) for p in own)
+        assert [p[2] for p in own] == [0, *np.cumsum([len(p[5]) // 4 for p in own])[:-1]]
+        for p in own:
+            bins[p[3]].append((p[4], len(p[5]) // 4))
+    totals = []
+    for parts in bins.values():
+        ends = np.cumsum([n for _, n in sorted(parts)])
+        assert [o for o, _ in sorted(parts)] == [0, *ends[:-1]]
+        totals.append(int(ends[-1]))
+    assert sorted(bins) == list(range(len(bins))) and all(t & (t - 1) == 0 and t <= 1024 for t in totals)
+    assert sum(t < 1024 for t in totals) <= 10  # the last ones only
+    short = [d for d, ids in numbers.items() if len(ids) <= 1024]
+    whole = sum(len(seen[d]) == 1 for d in short) / len(short)
+    assert whole >= {900: 0.6, 1024: 0.6, 6000: 0.97, 3: 0.99}[most], whole
+
+
 # ------------------------------------------------------------------ op6
 def brute_components(fps):
     parent = list(range(len(fps)))
@@ -236,21 +311,50 @@ def test_common_turns_are_the_prompt(spark):
     turns = [(1, 0, "user", "q"), (1, 1, "assistant", "good"), (2, 0, "user", "q"), (2, 1, "assistant", "bad"), (2, 2, "user", None), (2, 2, "user", None), (3, 0, "user", "only"), (4, None, None, "x")]
     t = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     pairs = spark.createDataFrame([(0, 1, "chosen"), (0, 2, "rejected"), (1, 3, "chosen")], "pair_id long, conv_id long, side string")
-    got = [(r.pair_id, r.segment, r.turn, r.text[r.mask_start : r.mask_start + r.mask_length], r.prompt_turns) for r in preferences.format_preferences(t, pairs).orderBy("pair_id", "turn", "segment").collect()]
+    got = [(r.pair_id, r.segment, r.turn, r.text[r.mask_start : r.mask_start + r.mask_length], r.prompt_turns) for r in preferences.segments(t, pairs).orderBy("pair_id", "turn", "segment").collect()]
     assert got == [(0, "prompt", 0, "", 1), (0, "chosen", 1, "good<|im_end|>", 1), (0, "rejected", 1, "bad<|im_end|>", 1), (0, "rejected", 2, "", 1), (1, "chosen", 0, "", 0)]
-    assert preferences.pair_conversations(t).count() == 4
+    whole = {r.pair_id: r for r in preferences.records(preferences.segments(t, pairs)).collect()}
+    one = whole[0]
+    assert one.prompt == "<|im_start|>user\nq<|im_end|>\n" and one.usable and not whole[1].usable
+    cut = lambda text, starts, sizes: [text[a : a + n] for a, n in zip(starts, sizes)]
+    assert cut(one.chosen, one.chosen_starts, one.chosen_lengths) == ["good<|im_end|>"]
+    assert cut(one.rejected, one.rejected_starts, one.rejected_lengths) == ["bad<|im_end|>"]
     assert preferences.pair_conversations(t.limit(0)).count() == 0
+    empty = preferences.records(preferences.segments(t.limit(0), pairs.limit(0)))
+    assert empty.count() == 0
+    clash = t.withColumn("side", F.lit("x")).withColumn("pair_id", F.lit(1)).withColumn("segment", F.lit("y"))
+    assert preferences.segments(clash, pairs).count() == 5
+
+
+def test_conversations_left_over_get_anothers_answer(spark):
+    turns = [(1, 0, "user", "a"), (1, 1, "assistant", "x"), (1, 2, "user", "c"), (1, 3, "assistant", "y"), (2, 0, "user", "b"), (2, 1, "assistant", "z"), (3, 0, "user", "no answer"), (4, 0, "system", "s"), (4, 1, "assistant", "z"), (4, 1, "assistant", "z")]
+    t = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    pairs = preferences.pair_conversations(t).collect()
+    assert sorted((r.conv_id, r.side) for r in pairs) == [(1, "chosen"), (1, "rejected"), (2, "chosen"), (2, "rejected"), (3, "chosen"), (4, "chosen"), (4, "rejected")]
+    by_conv = {r.conv_id: r.pair_id for r in pairs}
+    got = {r.pair_id: r for r in preferences.records(preferences.segments(t, preferences.pair_conversations(t))).collect()}
+    first = got[by_conv[1]]
+    assert first.prompt_turns == 3 and first.usable and first.chosen == "<|im_start|>assistant\ny<|im_end|>\n" and first.rejected == "<|im_start|>assistant\nz<|im_end|>\n"
+    assert not got[by_conv[3]].usable
+    said = {c: {r.answer for r in pairs if r.conv_id == c and r.side == "rejected"} for c in (2, 4)}
+    assert {None} in said.values()  # 2 and 4 say the same: where one follows the other, its rejected side has no answer
+    data = spark.read.parquet(f"{SF}/conversations.parquet")
+    real = preferences.records(preferences.segments(data, preferences.pair_conversations(data))).collect()
+    answered = {r.conv_id for r in data.where("role = 'assistant'").collect()}
+    assert sum(r.usable for r in real) == len(answered) and all(r.prompt for r in real if r.usable)
 
 
 # ------------------------------------------------------------------ op9
 def test_lines_stay_where_they_come_first(spark, odd, none):
-    got = {r.doc_id: r for r in unit_dedup.deduplicated(odd).collect()}
+    own = unit_dedup.deduplicated(docs_of(spark, [(1, "one\n\ntwo words\none", "s"), (2, "Two  WORDS\nx", "s")])).collect()
+    assert {r.doc_id: r.text for r in own} == {1: "one\n\ntwo words\n", 2: "x"}  # every line with a word is a unit
+    got = {r.doc_id: r for r in unit_dedup.deduplicated(odd, **unit_dedup.PRODUCTION).collect()}
     assert got[1].text == "a b c d e f\nsame line of five words" and got[1].spans == []
     assert got[2].text == "x" and [(s.start, s.end, s.kept_id, s.kept_start) for s in got[2].spans] == [(0, 24, 1, 12)]
     assert got[6].text == "" and got[3].text is None and got[4].text == "" and got[None].text == "lost one"
-    assert unit_dedup.deduplicated(odd).count() == 9 and unit_dedup.deduplicated(none).count() == 0
+    assert unit_dedup.deduplicated(odd, min_words=5).count() == 9 and unit_dedup.deduplicated(none).count() == 0
     two = docs_of(spark, [(1, "One two three\nfour five\n\nother", "s"), (2, "head\n\none  two three four FIVE\n \ntail", "s")])
-    assert {r.doc_id: r.text for r in unit_dedup.deduplicated(two, by="paragraph").collect()}[2] == "head\n\ntail"
+    assert {r.doc_id: r.text for r in unit_dedup.deduplicated(two, by="paragraph", min_words=5).collect()}[2] == "head\n\ntail"
 
 
 def test_passages_within_lines_go_and_lone_sentences_stay(spark):
@@ -262,7 +366,7 @@ def test_passages_within_lines_go_and_lone_sentences_stay(spark):
         (5, f"{sentence(8, 20)} {sentence(2, 14)} {sentence(9, 12)}", "s"),
         (7, f"{sentence(10, 30)} {sentence(3, 20)} Short. {sentence(5, 16)}", "s"), (8, f"x\n{sentence(3, 20)}\ny", "s"),
     ])
-    got = {r.doc_id: r for r in unit_dedup.deduplicated(docs).collect()}
+    got = {r.doc_id: r for r in unit_dedup.deduplicated(docs, **unit_dedup.PRODUCTION).collect()}
     assert got[2].spans == [] and got[5].spans == [] and got[7].spans == []
     assert got[4].text == "Own words of four stand here. And so it ends with more.\nlast" and {s.kept_id for s in got[4].spans} == {2}
     assert got[9].text == "" and got[8].text == "x\ny"
@@ -270,7 +374,7 @@ def test_passages_within_lines_go_and_lone_sentences_stay(spark):
 
 def test_units_by_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = {r.doc_id: r for r in unit_dedup.deduplicated(docs).collect()}
+    got = {r.doc_id: r for r in unit_dedup.deduplicated(docs, **unit_dedup.PRODUCTION).collect()}
     first, want = set(), {}
     for r in docs.orderBy("doc_id").collect():
         spans, line, run = [], None, []

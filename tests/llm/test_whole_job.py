@@ -43,8 +43,8 @@ def test_conversations_that_open_alike_meet(spark):
     got: dict = {}
     for r in pairs.collect():
         got.setdefault(r.pair_id, {})[r.side] = r.conv_id
-    assert sorted(got) == list(range(7)) and sum(map(len, got.values())) == len(opens)
-    same = [p for p in got.values() if len(p) == 2 and opens[p["chosen"] or 0] == opens[p["rejected"] or 0]]
-    assert len(same) == 1 + 2 + 2 and all(p["chosen"] < p["rejected"] for p in same)
-    prompts = {r.pair_id for r in preferences.format_preferences(t, pairs).where("prompt_turns = 1").collect()}
-    assert len(prompts) == 5
+    alike = [p for p in got.values() if p["chosen"] != p.get("rejected")]
+    assert len(alike) == 1 + 2 + 2 and all(opens[p["chosen"] or 0] == opens[p["rejected"] or 0] and (p["chosen"] or -1) < p["rejected"] for p in alike)
+    assert sorted(got) == list(range(5 + 3)) and len({c for p in got.values() for c in p.values()}) == len(opens)
+    prompts = {r.pair_id for r in preferences.segments(t, pairs).where("prompt_turns = 1").collect()}
+    assert len(prompts) == 5 + 3
