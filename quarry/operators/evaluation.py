@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .retrieval import NATIONAL
+
 
 def case_violations(cases: DataFrame, sources: DataFrame) -> DataFrame:
     """(query_id, rule) of cases that repeat an id, lack a query, or name unknown sources."""
@@ -24,7 +26,7 @@ def case_metrics(cases: DataFrame, hits: DataFrame, evidence: DataFrame) -> Data
     """
     found = hits.join(cases.select("query_id", "relevant", F.col("jurisdiction").alias("region")), "query_id")
     good = F.array_contains("relevant", F.col("source_id"))
-    leak = F.col("region").isNotNull() & ~F.coalesce(F.col("jurisdiction").isin("national") | (F.col("jurisdiction") == F.col("region")), F.lit(False))
+    leak = F.col("region").isNotNull() & ~F.coalesce(F.col("jurisdiction").isin(*NATIONAL) | (F.col("jurisdiction") == F.col("region")), F.lit(False))
     per = found.groupBy("query_id").agg(F.count_distinct(F.when(good, F.col("source_id"))).alias("right"), F.count_distinct("source_id").alias("found"), F.min(F.when(good, F.col("rank"))).alias("first"), F.count(F.when(leak, 1)).alias("leaks"))
     given = evidence.groupBy("query_id").agg(F.array_sort(F.collect_set("source_id")).alias("given"))
     at = cases.join(per, "query_id", "left").join(given, "query_id", "left")
@@ -38,7 +40,7 @@ def case_metrics(cases: DataFrame, hits: DataFrame, evidence: DataFrame) -> Data
         labelled(F.coalesce(right / F.nullif(F.col("found"), F.lit(0)), F.lit(0.0))).alias("source_precision"),
         emitted.alias("emitted_evidence"), (emitted == F.col("expect_evidence")).alias("evidence_policy_passed"),
         F.array_except(F.coalesce("given", F.array().cast("array<string>")), "relevant").alias("unlabeled_sources"),
-        F.coalesce("leaks", F.lit(0)).alias("jurisdiction_leaks"),
+        F.coalesce("leaks", F.lit(0)).alias("jurisdiction_leaks"), "relevant",
     )
 
 

@@ -8,74 +8,128 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import dot
+from .shared import sent, settle
+
 K1, B = 1.5, 0.75
+# Jurisdictions whose chunks count in every region.
+NATIONAL = ("全国",)
+KEYS = ["query_id", "chunk_id"]
 
 
-def ranked(scored: DataFrame, k: int | None = None, digits: int = 9) -> DataFrame:
+def ranked(scored: DataFrame, k: int | None = None, digits: int = 9, tie: str = "ord") -> DataFrame:
     """Adds rank by score, ties by ord; sums in another order must not break a tie, so scores are rounded for it."""
-    order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", digits)), "ord")
+    order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", digits)), tie)
     out = scored.withColumn("rank", F.row_number().over(order))
     return out.where(F.col("rank") <= k) if k else out
 
 
-def postings(chunks: DataFrame, scope: list[str] | None = None) -> DataFrame:
-    """(*scope, chunk_id, ord, len, term, tf): term frequencies, aggregated where the chunk is read."""
+def scoped(chunks: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(chunks, queries) with the column scope: each query meets only the chunks of its own, before anything is counted.
+
+    Queries may carry instrument (null or `all`: any) and region (null: any; else that jurisdiction and national
+    ones). A chunk is repeated for each asked scope it lies in. A query that names an unknown instrument is an error.
+    """
+    one = lambda c: F.col(c).cast("string") if c in queries.columns else F.lit(None).cast("string")
+    asked = queries.withColumn("__i", F.coalesce(one("instrument"), F.lit("all"))).withColumn("__r", F.coalesce(one("region"), F.lit("")))
+    asked = asked.withColumn("scope", F.concat_ws("|", "__i", "__r"))
+    named = asked.where("__i != 'all'").select("__i").distinct()
+    strange = named.join(chunks.select(F.col("instrument_id").alias("__i")).distinct(), "__i", "left_anti").first()
+    if strange:
+        raise ValueError(f"unknown instrument {strange[0]}")
+    scopes = sent(settle(asked.select("scope", "__i", "__r").distinct()))
+    inside = (F.col("__r") == "") | F.col("jurisdiction").isin(*NATIONAL) | (F.col("jurisdiction") == F.col("__r"))
+    both = F.array_distinct(F.array_compact(F.array(F.lit("all"), F.col("instrument_id"))))
+    out = chunks.withColumn("__i", F.explode(both)).join(scopes, "__i").where(inside)
+    return out.drop("__i", "__r"), asked.drop("__i", "__r")
+
+
+def postings(chunks: DataFrame, scope: list[str] | None = None, terms: DataFrame | None = None) -> DataFrame:
+    """(*scope, chunk_id, ord, len, term, tf): term frequencies, aggregated where the chunk is read; of terms only."""
     keys = [*(scope or []), "chunk_id", "ord"]
     rows = chunks.select(*keys, F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
+    if terms is not None:
+        rows = rows.join(terms, [*(scope or []), "term"], "left_semi")
     return rows.groupBy(*keys, "len", "term").agg(F.count("*").alias("tf"))
 
 
+def asked_terms(queries: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """(query_id, *scope, term): each query's distinct terms, settled."""
+    return settle(queries.select("query_id", *(scope or []), F.explode(F.array_distinct("terms")).alias("term")))
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, scope: list[str] | None = None) -> DataFrame:
     """(query_id, chunk_id, ord, score) of every chunk that holds a term of a query.
 
     Counts and the mean length (chunks without tokens too) are taken within each value of scope, which queries
-    must then carry as well. Only postings of asked terms are counted, so the index is read once for both.
+    must then carry as well. Chunks are read once for the asked terms; where these and the queries' terms are few
+    enough to be sent, hot terms are not shuffled at all, else adaptive execution splits them.
     """
     by = scope or []
+    asked = asked_terms(queries, by)
+    found = settle(postings(chunks, by, sent(asked.select(*by, "term").distinct())))
     stats = chunks.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.size("tokens").cast("double")).alias("mean"))
-    asked = queries.select("query_id", *by, F.explode(F.array_distinct("terms")).alias("term"))
-    found = postings(chunks, by).join(asked.select("term").distinct(), "term", "left_semi")
     df = found.groupBy(*by, "term").agg(F.count("*").alias("df"))
-    each = found.join(df, [*by, "term"])
-    each = each.join(stats, by) if by else each.join(F.broadcast(stats))  # one row
+    known = settle(df.join(stats, by) if by else df.join(F.broadcast(stats)))  # without scope: one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * ((1 - B) + B * F.col("len") / F.greatest(F.col("mean"), F.lit(1.0))))
-    weighed = each.select(*by, "term", "chunk_id", "ord", weight.alias("w"))
-    return weighed.join(asked, [*by, "term"]).groupBy("query_id", "chunk_id", "ord").agg(F.sum("w").alias("score"))
+    weighed = found.join(sent(known), [*by, "term"]).select(*by, "term", "chunk_id", "ord", weight.alias("w"))
+    return weighed.join(sent(asked), [*by, "term"]).groupBy(*KEYS).agg(F.min("ord").alias("ord"), F.sum("w").alias("score"))
 
 
-def dense(chunks: DataFrame, queries: DataFrame, k: int | None = None, batch: int = 4096) -> DataFrame:
-    """(query_id, chunk_id, ord, score) by inner product of unit vectors; k best of each task, or all if k is None.
+def dense(chunks: DataFrame, queries: DataFrame, k: int, scope: list[str] | None = None, block_rows: int = 8192) -> DataFrame:
+    """(query_id, chunk_id, ord, score): the k best inner products of unit vectors for each query in each block.
 
-    Queries go to the tasks in batches of bounded size; each task multiplies its blocks with a batch at once.
+    Chunks are dealt into blocks of about block_rows by hash, and each query goes to every block of its scope; a task
+    holds one block's matrix and one batch of queries at a time, so neither side is ever whole in one place. Rows
+    without a vector take no part. The k best of all are among the blocks' bests: rank them.
     """
-    total = queries.count()
-    parts = max(1, -(-total // batch))
-    out = None
-    for i in range(parts):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i).select("query_id", F.col("vector").cast("array<double>").alias("vector")).collect()
-        if not rows:
-            continue
-        ids, q = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
-
-        def score(batches, ids=ids, q=q):
-            for b in batches:
-                if not b.num_rows:
+    name = F.concat_ws("|", *scope) if scope else F.lit("")
+    have = chunks.where("vector is not null")
+    blocks = max(1, -(-have.count() // block_rows))
+    kind = queries.schema["query_id"].dataType
+    vector = F.col("vector").cast("array<double>").alias("vector")
+    left = have.select(F.concat_ws("#", name, F.pmod(F.xxhash64("chunk_id"), F.lit(blocks))).alias("block"), F.lit(None).cast(kind).alias("query_id"), F.col("chunk_id").cast("string").alias("chunk_id"), F.col("ord").cast("long").alias("ord"), vector)
+    each = queries.where("vector is not null").withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    right = each.select(F.concat_ws("#", name, "__b").alias("block"), "query_id", F.lit(None).cast("string").alias("chunk_id"), F.lit(None).cast("long").alias("ord"), vector)
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = left.unionByName(right).withColumn("asks", F.col("query_id").isNotNull()).repartition(n, "block").sortWithinPartitions("block", "asks")
+
+    def matrix(column):
+        return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            keys, asks = np.array(batch.column("block").to_pylist(), object), batch.column("asks").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(keys)]):
+                if b == a:
                     continue
-                x = b.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-                order = b.column("ord").to_numpy(zero_copy_only=False)
-                s = q @ x.T
-                for j, qid in enumerate(ids):
-                    at = np.arange(len(order)) if k is None or k >= len(order) else np.lexsort((order, -np.round(s[j], 9)))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array([qid] * len(at), pa.int64()), b.column("chunk_id").take(pa.array(at)), b.column("ord").take(pa.array(at)), pa.array(s[j][at])], ["query_id", "chunk_id", "ord", "score"])
-
-        some = chunks.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.col("ord").cast("long").alias("ord"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(score, "query_id long, chunk_id string, ord long, score double")
-        out = some if out is None else out.unionByName(some)
-    return out if out is not None else chunks.select(F.lit(0).cast("long").alias("query_id"), "chunk_id", "ord", F.lit(0.0).alias("score")).limit(0)
+                if keys[a] != at:
+                    at, held, table = keys[a], [], None
+                part = batch.slice(a, b - a)
+                if not asks[a]:
+                    held.append(part.select(["chunk_id", "ord", "vector"]))
+                elif held:
+                    if table is None:
+                        t = pa.Table.from_batches(held).combine_chunks()
+                        table = (matrix(t.column("vector").chunk(0)), t.column("chunk_id").chunk(0), t.column("ord").to_numpy())
+                    x, ids, order = table
+                    s = matrix(part.column("vector")) @ x.T
+                    rough, rows = np.round(s, 9), []
+                    for r in rough:
+                        some = np.flatnonzero(r >= np.partition(r, len(r) - k)[len(r) - k]) if len(r) > k else np.arange(len(r))
+                        rows.append(some[np.lexsort((order[some], -r[some]))[:k]])
+                    q = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+                    take = np.concatenate(rows)
+                    yield pa.RecordBatch.from_arrays([part.column("query_id").take(pa.array(q)), ids.take(pa.array(take)), pa.array(order[take]), pa.array(s[q, take])], ["query_id", "chunk_id", "ord", "score"])
+
+    return both.mapInArrow(run, f"query_id {kind.simpleString()}, chunk_id string, ord long, score double")
 
 
 def fuse(*rankings: DataFrame, k: int = 60) -> DataFrame:
@@ -87,42 +141,72 @@ def fuse(*rankings: DataFrame, k: int = 60) -> DataFrame:
     return both.groupBy("query_id", "chunk_id", "ord").agg(F.sum("s").alias("score"))
 
 
-def search(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", top_k: int = 5, depth: int = 20) -> DataFrame:
+def cosines(pairs: DataFrame, chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, cosine_similarity) of the named pairs, by a join on each side; null without a vector."""
+    at = sent(pairs.select(*KEYS)).join(chunks.select("chunk_id", F.col("vector").alias("__c")), "chunk_id")
+    return at.join(queries.select("query_id", F.col("vector").alias("__q")), "query_id").select(*KEYS, dot(F.col("__c"), F.col("__q")).alias("cosine_similarity"))
+
+
+def _attach(got: DataFrame, keyword: DataFrame, near: DataFrame | None, chunks: DataFrame, queries: DataFrame, method: str, scope) -> DataFrame:
+    got = settle(got)
+    lexical = keyword.join(sent(got.select(*KEYS)), KEYS, "left_semi").select(*KEYS, F.col("score").alias("keyword_score"))
+    one = chunks.dropDuplicates(["chunk_id"]) if scope else chunks
+    out = got.join(lexical, KEYS, "left").join(cosines(got, one, queries), KEYS, "left")
+    return out.select(*KEYS, "ord", "rank", "rrf_score", F.coalesce("keyword_score", F.lit(0.0)).alias("keyword_score"), "cosine_similarity", F.lit(method).alias("retrieval_method"))
+
+
+def search(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", top_k: int = 5, depth: int = 20, scope: list[str] | None = None) -> DataFrame:
     """query_id, chunk_id, ord, rank, rrf_score, keyword_score, cosine_similarity, retrieval_method.
 
     keyword needs no vectors and has no cosine; dense and hybrid give every hit both scores; hybrid fuses the
-    first `depth` of each ranking. Scores rank; they are no probabilities.
+    first `depth` of each ranking. scope names columns that chunks and queries share, as scoped() gives them. A hit
+    without a vector has no cosine. Scores rank; they are no probabilities.
     """
-    keyword = bm25(chunks, queries)
+    if not 1 <= top_k <= 2 * depth:
+        raise ValueError(f"top_k lies between 1 and {2 * depth}")
     none = F.lit(None).cast("double")
+    keyword = bm25(chunks, queries, scope)
     if mode == "keyword":
-        return ranked(keyword, top_k).select("query_id", "chunk_id", "ord", "rank", none.alias("rrf_score"), F.col("score").alias("keyword_score"), none.alias("cosine_similarity"), F.lit(mode).alias("retrieval_method"))
-    near = dense(chunks, queries)
+        return ranked(keyword, top_k).select(*KEYS, "ord", "rank", none.alias("rrf_score"), F.col("score").alias("keyword_score"), none.alias("cosine_similarity"), F.lit(mode).alias("retrieval_method"))
+    keyword = settle(keyword)
+    near = ranked(dense(chunks, queries, depth if mode == "hybrid" else top_k, scope), depth if mode == "hybrid" else top_k)
     if mode == "hybrid":
-        got = ranked(fuse(ranked(keyword, depth), ranked(near, depth)), top_k, digits=12).select("query_id", "chunk_id", "ord", "rank", F.col("score").alias("rrf_score"))
+        got = ranked(fuse(ranked(keyword, depth), near), top_k, digits=12).select(*KEYS, "ord", "rank", F.col("score").alias("rrf_score"))
     else:
-        got = ranked(near, top_k).select("query_id", "chunk_id", "ord", "rank", none.alias("rrf_score"))
-    lexical = keyword.select("query_id", "chunk_id", F.col("score").alias("keyword_score"))
-    cosine = near.select("query_id", "chunk_id", F.col("score").alias("cosine_similarity"))
-    keys = ["query_id", "chunk_id"]
-    return got.join(lexical, keys, "left").join(cosine, keys, "left").select(*keys, "ord", "rank", "rrf_score", F.coalesce("keyword_score", F.lit(0.0)).alias("keyword_score"), "cosine_similarity", F.lit(mode).alias("retrieval_method"))
+        got = near.select(*KEYS, "ord", "rank", none.alias("rrf_score"))
+    return _attach(got, keyword, near, chunks, queries, mode, scope)
 
 
-def fulltext(chunks: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
+def fulltext(chunks: DataFrame, queries: DataFrame, k: int | None = 20) -> DataFrame:
     """Chunks that hold any term of a query, by 0.1 for each occurrence, ties by chunk_id.
 
     An approximation of cover density for queries of alternatives, not BM25.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    scored = postings(chunks).join(asked, "term").groupBy("query_id", "chunk_id", "ord").agg(F.sum("tf").alias("n"))
+    asked = asked_terms(queries)
+    scored = postings(chunks, terms=sent(asked.select("term").distinct())).join(sent(asked), "term").groupBy(*KEYS).agg(F.min("ord").alias("ord"), F.sum("tf").alias("n"))
     order = W.partitionBy("query_id").orderBy(F.desc("n"), "chunk_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "chunk_id", "rank", (F.col("n") * 0.1).alias("score"))
+    out = scored.withColumn("rank", F.row_number().over(order))
+    return (out.where(F.col("rank") <= k) if k else out).select(*KEYS, "ord", "rank", (F.col("n") * 0.1).alias("score"))
+
+
+def search_fulltext(chunks: DataFrame, queries: DataFrame, top_k: int = 5, depth: int = 20) -> DataFrame:
+    """search() in the manner of a database: the fulltext ranking in BM25's place, all ties by chunk_id."""
+    keyword = settle(fulltext(chunks, queries, None))
+    near = ranked(dense(chunks.withColumn("ord", F.xxhash64("chunk_id") * 0), queries, depth), depth, tie="chunk_id")
+    zero = lambda r: r.withColumn("ord", F.lit(0).cast("long"))
+    got = ranked(fuse(zero(keyword.where(F.col("rank") <= depth)), zero(near)), top_k, digits=12, tie="chunk_id").select(*KEYS, "ord", "rank", F.col("score").alias("rrf_score"))
+    return _attach(got, keyword, near, chunks, queries, "fulltext-rrf", None)
 
 
-def inverted_index(chunks: DataFrame) -> DataFrame:
-    """(token, chunk_ids): the chunks of each token, in their order."""
-    rows = chunks.select("chunk_id", "ord", F.explode(F.array_distinct("tokens")).alias("token"))
-    return rows.groupBy("token").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunk_ids"))
+def inverted_index(chunks: DataFrame, rows_a_list: int = 100_000) -> DataFrame:
+    """(token, shard, chunk_ids): the chunks of each token, in their order, in lists of at most so many.
+
+    A chunk's shard is its place in ord's order divided by the size of a list, so a token's shards follow each other,
+    and a token of most chunks is many rows, none of which is long.
+    """
+    low = chunks.agg(F.coalesce(F.min("ord"), F.lit(0))).first()[0]
+    rows = chunks.select("chunk_id", "ord", F.explode(F.array_distinct("tokens")).alias("token")).withColumn("shard", F.floor((F.col("ord") - low) / rows_a_list))
+    return rows.groupBy("token", "shard").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunk_ids"))
 
 
 def token_norms(chunks: DataFrame) -> DataFrame:
@@ -131,11 +215,19 @@ def token_norms(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", "ord").join(squares, ["chunk_id", "ord"], "left").withColumn("token_norm", F.coalesce("token_norm", F.lit(0.0)))
 
 
+def count_norm(tokens: Column) -> Column:
+    """token_norms() of one row's tokens, without a shuffle."""
+    counts = F.transform(F.array_distinct(tokens), lambda t: F.size(F.filter(tokens, lambda x: x == t)).cast("double"))
+    return F.round(F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, n: s + n * n)), 6)
+
+
 def overlap(chunks: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
     """Top k by the smaller counts of common tokens over both lengths; queries' repeats count."""
-    asked = queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    asked = settle(queries.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")))
     length = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qtf") * F.col("qtf")).cast("double")).alias("qnorm"))
     norm = F.when(F.col("token_norm") == 0, F.lit(1.0)).otherwise(F.col("token_norm"))
-    both = postings(chunks).join(asked, "term").groupBy("query_id", "chunk_id", "ord").agg(F.sum(F.least("tf", "qtf")).alias("common"))
-    scored = both.join(length, "query_id").join(token_norms(chunks), ["chunk_id", "ord"]).withColumn("score", F.col("common") / (F.col("qnorm") * norm))
-    return ranked(scored.select("query_id", "chunk_id", "ord", "score"), k)
+    tf = settle(postings(chunks))
+    norms = tf.groupBy("chunk_id").agg(F.round(F.sqrt(F.sum(F.col("tf") * F.col("tf")).cast("double")), 6).alias("token_norm"))
+    both = tf.join(sent(asked), "term").groupBy(*KEYS).agg(F.min("ord").alias("ord"), F.sum(F.least("tf", "qtf")).alias("common"))
+    scored = both.join(sent(length), "query_id").join(norms, "chunk_id").withColumn("score", F.col("common") / (F.col("qnorm") * norm))
+    return ranked(scored.select(*KEYS, "ord", "score"), k)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 from ..operators import chunking, evaluation, prepare, retrieval, review
+from ..operators.shared import sent, settle
 from ..sources import readers, writers
 from . import views
 from .views import table
@@ -31,39 +32,39 @@ SRC = """src AS (
   SELECT d.doc_id, 'doc-' || d.doc_id AS source_id, source || ' document ' || d.doc_id AS source_title, text, lang, source AS instrument_id,
          CASE WHEN quality = 0 THEN 'pending' WHEN toxic = 1 THEN 'fictional' WHEN quality = 1 THEN 'reviewed' ELSE 'source_verified' END AS review_status
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
-DOCS = f"{SRC},\ndocs AS (SELECT *, {_tokens('text')} AS tokens FROM src)"
-VEC = f"{DOCS},\nvecs AS (SELECT docs.*, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM docs JOIN embeddings ON vec_id = doc_id)"
-QS = f"qs AS (SELECT item_id AS query_id, text AS query, {_tokens('text')} AS terms FROM benchmark JOIN embeddings ON vec_id = item_id)"
+DOCS = f"{SRC},\ndocs AS MATERIALIZED (SELECT *, {_tokens('text')} AS tokens FROM src)"
+VEC = f"{DOCS},\nvecs AS MATERIALIZED (SELECT docs.*, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM docs JOIN embeddings ON vec_id = doc_id)"
+QS = f"qs AS MATERIALIZED (SELECT item_id AS query_id, text AS query, {_tokens('text')} AS terms FROM benchmark)"
 QV = f"{QS},\nqv AS (SELECT query_id, embedding::DOUBLE[] AS e, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS norm FROM qs JOIN embeddings ON vec_id = query_id)"
 
 
-def _bm25(of: str, scope: bool = False) -> str:
-    s, on = ("instrument_id, ", " AND {a}.instrument_id = {b}.instrument_id") if scope else ("", "")
+def _bm25(of: str, scope: str = "") -> str:
+    s, on = (f"{scope}, ", f" AND {{a}}.{scope} = {{b}}.{scope}") if scope else ("", "")
     eq = lambda a, b: on.format(a=a, b=b)
     return f"""
-stats AS (SELECT {s}count(*) AS n, avg(len(tokens)::DOUBLE) AS mean FROM {of} {"GROUP BY instrument_id" if scope else ""}),
-posts AS (SELECT {s}doc_id, len(tokens) AS l, term, count(*) AS tf FROM (SELECT {s}doc_id, tokens, unnest(tokens) AS term FROM {of}) GROUP BY ALL),
+stats AS (SELECT {s}count(*) AS n, avg(len(tokens)::DOUBLE) AS mean FROM {of} {f"GROUP BY {scope}" if scope else ""}),
+posts AS MATERIALIZED (SELECT {s}doc_id, len(tokens) AS l, term, count(*) AS tf FROM (SELECT {s}doc_id, tokens, unnest(tokens) AS term FROM {of}) GROUP BY ALL),
 dfs AS (SELECT {s}term, count(*) AS df FROM posts GROUP BY ALL),
 asked AS (SELECT query_id, {s}unnest(list_distinct(terms)) AS term FROM qs),
-bm AS (
+bm AS MATERIALIZED (
   SELECT query_id, p.doc_id, sum(ln(1e0 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * l / greatest(mean, 1e0)))) AS score
-  FROM asked a JOIN posts p ON a.term = p.term{eq('a', 'p')} JOIN dfs d ON d.term = p.term{eq('d', 'p')} {"JOIN stats s ON s.instrument_id = p.instrument_id" if scope else "CROSS JOIN stats"}
+  FROM asked a JOIN posts p ON a.term = p.term{eq('a', 'p')} JOIN dfs d ON d.term = p.term{eq('d', 'p')} {f"JOIN stats s ON s.{scope} = p.{scope}" if scope else "CROSS JOIN stats"}
   GROUP BY ALL)"""
 
 
 DENSE = """
-near AS (SELECT q.query_id, v.doc_id, list_dot_product(q.e, v.e) / (q.norm * v.norm) AS score FROM qv q CROSS JOIN vecs v)"""
+near AS MATERIALIZED (SELECT q.query_id, v.doc_id, list_dot_product(q.e, v.e) / (q.norm * v.norm) AS score FROM qv q CROSS JOIN vecs v)"""
 HYBRID = f"""WITH {VEC},
-{QV},{_bm25("vecs")},{DENSE},
+{QV},{_bm25("docs")},{DENSE},
 kr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm),
 dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM near),
 fused AS (SELECT query_id, doc_id, sum(1e0 / (60 + rank)) AS score FROM (SELECT * FROM kr WHERE rank <= 20 UNION ALL SELECT * FROM dr WHERE rank <= 20) GROUP BY ALL),
 fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM fused),
-hits AS (
-  SELECT f.query_id, f.doc_id, f.rank, f.score AS rrf, coalesce(k.score, 0) AS kw, n.score AS cosine, v.source_id, v.review_status, v.tokens, v.text, v.lang, qs.terms
-  FROM fr f LEFT JOIN bm k USING (query_id, doc_id) JOIN near n USING (query_id, doc_id) JOIN vecs v USING (doc_id) JOIN qs USING (query_id) WHERE f.rank <= 12)"""
+hits AS MATERIALIZED (
+  SELECT f.query_id, f.doc_id, f.rank, f.score AS rrf, coalesce(k.score, 0) AS kw, n.score AS cosine, v.source_id, v.source_title, v.review_status, v.tokens, v.text, v.lang, qs.terms
+  FROM fr f LEFT JOIN bm k USING (query_id, doc_id) LEFT JOIN near n USING (query_id, doc_id) JOIN docs v USING (doc_id) JOIN qs USING (query_id) WHERE f.rank <= 12)"""
 GATE = """list_contains(['reviewed', 'fictional', 'source_verified'], review_status) AND kw > 0 AND (review_status != 'source_verified'
-   OR (len(list_intersect(list_distinct(terms), list_distinct(tokens))) >= CASE WHEN len(list_distinct(terms)) >= 3 THEN 2 ELSE 1 END AND round(cosine, 9) >= 0.6))"""
+   OR (len(list_intersect(list_distinct(terms), list_distinct(tokens))) >= CASE WHEN len(list_distinct(terms)) >= 3 THEN 2 ELSE 1 END AND (cosine IS NULL OR round(cosine, 9) >= 0.6)))"""
 REVIEW = f"""{HYBRID},
 spread AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM hits) WHERE place <= 5),
 gated AS (SELECT *, {GATE} AS supported FROM spread),
@@ -104,11 +105,11 @@ def tokenize_legacy(spark, d):
     return table(spark, d, "documents").select("doc_id", fx.plain_tokens(c).alias("tokens"), fx.plain_tokens(c, query=True).alias("query_tokens"))
 
 
-@query("""WITH t AS (SELECT doc_id, translate(substr(text, 1, 64), 'aeinorst', '一丁七万丈三上下') AS text FROM documents)
+@query("""WITH t AS (SELECT doc_id, translate(text, 'aeinorst', '一丁七万丈三上下') AS text FROM documents)
 SELECT doc_id, flatten(list_transform(regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}]+'), lambda r: list_transform(range(1, greatest(length(r) - 1, 1) + 1), lambda i: substr(r, i, 2)))) AS pairs FROM t""")
 def cjk_bigrams(spark, d):
-    """The head of each text with eight letters written as CJK ones: the table itself has none."""
-    text = F.translate(F.substring("text", 1, 64), "aeinorst", "一丁七万丈三上下")
+    """Whole texts with eight letters written as CJK ones: the table itself has none."""
+    text = F.translate("text", "aeinorst", "一丁七万丈三上下")
     pairs = F.filter(fx.tokens(text), lambda w: w.rlike("[\\x{4e00}-\\x{9fff}]"))
     return table(spark, d, "documents").select("doc_id", pairs.alias("pairs"))
 
@@ -207,7 +208,7 @@ def corpus_stats(spark, d):
 _PLAIN_DOCS = f"pdocs AS (SELECT doc_id, {_plain_tokens('text', _plain)} AS tokens FROM documents)"
 
 
-@query(f"WITH {_PLAIN_DOCS} SELECT token, list('doc-' || doc_id ORDER BY doc_id) AS chunk_ids FROM (SELECT DISTINCT doc_id, unnest(tokens) AS token FROM pdocs) GROUP BY 1")
+@query(f"WITH {_PLAIN_DOCS} SELECT token, (doc_id - (SELECT min(doc_id) FROM pdocs)) // 100000 AS shard, list('doc-' || doc_id ORDER BY doc_id) AS chunk_ids FROM (SELECT DISTINCT doc_id, unnest(tokens) AS token FROM pdocs) GROUP BY 1, 2")
 def inverted_index(spark, d):
     return retrieval.inverted_index(views.whole(spark, d, plain=True))
 
@@ -240,7 +241,7 @@ def bm25_context_topk(spark, d):
     return got.select("query_id", F.col("ord").alias("doc_id"), _r("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {DOCS}, qs AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS instrument_id, {_tokens('text')} AS terms FROM benchmark JOIN embeddings ON vec_id = item_id),{_bm25('docs', True)} SELECT * FROM (SELECT query_id, doc_id, round(score, 6) AS score, {_RANK} AS rank FROM bm) WHERE rank <= 5")
+@query(f"WITH {DOCS}, qs AS (SELECT item_id AS query_id, 'src' || (item_id % 20) AS instrument_id, {_tokens('text')} AS terms FROM benchmark),{_bm25('docs', 'instrument_id')} SELECT * FROM (SELECT query_id, doc_id, round(score, 6) AS score, {_RANK} AS rank FROM bm) WHERE rank <= 5")
 def bm25_instrument_scoped(spark, d):
     """Each query within one instrument: counts and mean length are those of the instrument."""
     q = views.questions(spark, d).withColumn("instrument_id", F.concat(F.lit("src"), F.col("query_id") % 20))
@@ -274,12 +275,12 @@ def _hits(spark, d, mode, k):
     return got.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), _r("rrf_score", 9), _r("keyword_score"), _r("cosine_similarity"))
 
 
-@query(f"WITH {VEC}, {QS},{_bm25('vecs')} SELECT query_id, 'doc-' || doc_id AS chunk_id, rank, NULL::DOUBLE AS rrf_score, round(score, 6) AS keyword_score, NULL::DOUBLE AS cosine_similarity FROM (SELECT *, {_RANK} AS rank FROM bm) WHERE rank <= 5")
+@query(f"WITH {VEC}, {QS},{_bm25('docs')} SELECT query_id, 'doc-' || doc_id AS chunk_id, rank, NULL::DOUBLE AS rrf_score, round(score, 6) AS keyword_score, NULL::DOUBLE AS cosine_similarity FROM (SELECT *, {_RANK} AS rank FROM bm) WHERE rank <= 5")
 def search_keyword(spark, d):
     return _hits(spark, d, "keyword", 5)
 
 
-@query(f"WITH {VEC}, {QV},{_bm25('vecs')},{DENSE} SELECT n.query_id, 'doc-' || n.doc_id AS chunk_id, rank, NULL::DOUBLE AS rrf_score, round(coalesce(bm.score, 0), 6) AS keyword_score, round(n.score, 6) AS cosine_similarity FROM (SELECT *, {_RANK} AS rank FROM near) n LEFT JOIN bm USING (query_id, doc_id) WHERE rank <= 5")
+@query(f"WITH {VEC}, {QV},{_bm25('docs')},{DENSE} SELECT n.query_id, 'doc-' || n.doc_id AS chunk_id, rank, NULL::DOUBLE AS rrf_score, round(coalesce(bm.score, 0), 6) AS keyword_score, round(n.score, 6) AS cosine_similarity FROM (SELECT *, {_RANK} AS rank FROM near) n LEFT JOIN bm USING (query_id, doc_id) WHERE rank <= 5")
 def search_dense(spark, d):
     return _hits(spark, d, "dense", 5)
 
@@ -296,7 +297,7 @@ def fulltext_or_topk(spark, d):
 
 
 _OVER = f"""WITH {_PLAIN_DOCS}, {_NORMS},
-asked AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_plain_tokens('text', _asked)}) AS term FROM benchmark JOIN embeddings ON vec_id = item_id) GROUP BY ALL),
+asked AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_plain_tokens('text', _asked)}) AS term FROM benchmark) GROUP BY ALL),
 qn AS (SELECT query_id, sqrt(sum(qtf * qtf)::DOUBLE) AS qnorm FROM asked GROUP BY 1),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM pdocs) GROUP BY ALL),
 o AS (SELECT query_id, doc_id, sum(least(tf, qtf)) / (any_value(qnorm) * any_value(token_norm)) AS score FROM asked JOIN tf USING (term) JOIN qn USING (query_id) JOIN norms USING (doc_id) GROUP BY ALL),
@@ -328,9 +329,9 @@ def query_policy(spark, d):
 def _reviewed(spark, d):
     """(queries, hits): benchmark queries without the refused ones, and their hybrid hits with chunk columns."""
     chunks = views.with_vectors(spark, d)
-    q = views.questions(spark, d).withColumn("reason", review.query_policy(F.col("query"), F.lit(True)))
+    q = settle(views.questions(spark, d).withColumn("reason", review.query_policy(F.col("query"), F.lit(True))))
     got = retrieval.search(chunks, q.where("reason IS NULL"), "hybrid", 12)
-    return q, got.join(chunks.select("chunk_id", "source_id", "source_title", "text", "tokens", "review_status", "jurisdiction", "char_start", F.sha2("text", 256).alias("content_sha256")), "chunk_id")
+    return q, settle(sent(got).join(chunks.select("chunk_id", "source_id", "source_title", "text", "tokens", "review_status", "jurisdiction", "char_start", F.sha2("text", 256).alias("content_sha256")), "chunk_id"))
 
 
 @query(f"{REVIEW} SELECT query_id, source_id, place FROM spread")
@@ -359,7 +360,7 @@ def quote_budget(spark, d):
     return review.quote(rows.where(review.supported(rows))).select("query_id", "source_id", "words", "taken", "truncated", "content_sha256", F.col("char_end").cast("long").alias("char_end"))
 
 
-_CAND = "SELECT query_id, place, source_id FROM gated WHERE NOT supported AND ((kw > 0 AND review_status = 'pending') OR (review_status = 'source_verified' AND round(cosine, 9) >= 0.55))"
+_CAND = "SELECT query_id, place, source_id FROM gated WHERE NOT supported AND ((kw > 0 AND review_status = 'pending') OR (review_status = 'source_verified' AND round(coalesce(cosine, 0), 9) >= 0.55))"
 
 
 @query(f"{REVIEW} {_CAND}")
@@ -465,23 +466,31 @@ evals AS (
 def _cases(spark, d):
     """benchmark as cases: documents that contain an item's text answer it.
 
-    Containment is no equality: an item's first 24 characters are looked for as a document's 24-grams first.
+    Containment is no equality: an item's second to fourth words, which white space closes in, stand in a row in
+    whatever contains it, and are looked for first. Items of under five words are few and go to all documents.
     """
     q = views.questions(spark, d).select("query_id", "query")
     docs = table(spark, d, "documents").select("doc_id", "text")
-    heads = q.select("query_id", "query", F.substring("query", 1, 24).alias("head"))
-    grams = docs.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1))), lambda i: F.substring(F.col("text"), i, F.lit(24))))).alias("head"))
-    pairs = grams.join(heads, "head").select("query_id", "query", "doc_id").join(docs, "doc_id").where(F.contains("text", "query"))
+    words = lambda c: F.regexp_extract_all(F.col(c), F.lit("(?U)\\S+"), F.lit(0))
+    three = lambda w, i: F.concat_ws(" ", F.slice(w, i, 3))
+    heads = settle(q.withColumn("w", words("query")).select("query_id", "query", F.when(F.size("w") >= 5, three(F.col("w"), F.lit(2))).alias("head")))
+    rows = docs.withColumn("w", words("text")).where(F.size("w") >= 5)
+    grams = rows.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: three(F.col("w"), i)))).alias("head"))
+    pairs = settle(grams.join(sent(heads.select("query_id", "head").where("head is not null")), "head").select("query_id", "doc_id"))
+    pairs = sent(pairs).join(docs, "doc_id").join(sent(heads), "query_id").where(F.contains("text", "query")).select("query_id", "doc_id")
+    short = heads.where("head is null").select("query_id", "query")
+    if not short.isEmpty():
+        pairs = pairs.unionByName(docs.join(sent(short), F.contains("text", "query")).select("query_id", "doc_id"))
     rel = pairs.groupBy("query_id").agg(F.array_sort(F.collect_set(F.concat(F.lit("doc-"), "doc_id"))).alias("relevant"))
     none = F.array().cast("array<string>")
     out = q.join(rel, "query_id", "left").withColumn("expect_evidence", F.col("relevant").isNotNull()).withColumn("relevant", F.coalesce("relevant", none))
-    return out.withColumn("category", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd")).withColumn("jurisdiction", F.when(F.col("query_id") % 3 == 0, "en"))
+    return settle(out.withColumn("category", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd")).withColumn("jurisdiction", F.when(F.col("query_id") % 3 == 0, "en")))
 
 
 def _evaluated(spark, d):
     q, got = _reviewed(spark, d)
     rows = review.diverse(got.join(q.select("query_id", "terms"), "query_id"))
-    evidence = rows.where(review.supported(rows))
+    evidence = settle(rows.where(review.supported(rows)).select("query_id", "source_id", "place"))
     return evaluation.case_metrics(_cases(spark, d), got, evidence).withColumn("mode", F.lit("hybrid")).withColumn("elapsed_ms", (F.col("query_id") * 37 % 101).cast("double")), got, evidence
 
 
@@ -522,7 +531,7 @@ def release_gate(spark, d):
 def _paired(spark, d):
     """Hybrid review against keyword hits alone, each query once in each mode."""
     rows, got, evidence = _evaluated(spark, d)
-    cases = _cases(spark, d).select("query_id", "relevant")
+    cases = rows.select("query_id", "relevant")
     lists = lambda r, n: r.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "source_id"))), lambda x: x["source_id"]).alias(n))
     none = F.array().cast("array<string>")
 

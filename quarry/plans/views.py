@@ -32,14 +32,14 @@ def whole(spark: SparkSession, sf_dir: str, plain: bool = False) -> DataFrame:
 
 
 def with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """whole() of documents that have a vector."""
+    """whole() with the vector of that number; null where a document has none."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), unit(F.col("embedding")).alias("vector"))
-    return whole(spark, sf_dir).join(v, "doc_id")
+    return whole(spark, sf_dir).join(v, "doc_id", "left")
 
 
 def questions(spark: SparkSession, sf_dir: str, plain: bool = False) -> DataFrame:
-    """benchmark as queries: query_id, query, terms, and the vector of that number."""
+    """benchmark as queries: query_id, query, terms, and the vector of that number; null where there is none."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), unit(F.col("embedding")).alias("vector"))
     terms = plain_tokens(F.col("query"), query=True) if plain else tokens(F.col("query"))
-    return b.withColumn("terms", terms).join(v, "query_id")
+    return b.withColumn("terms", terms).join(v, "query_id", "left")
