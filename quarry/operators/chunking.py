@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +13,15 @@ from ..functions.text import strip
 PIECES = "array<struct<start:bigint,text:string>>"
 
 
+def _require_sizes(size: int, overlap: int) -> None:
+    """Windows must move on: each begins at least one character after the last."""
+    if size <= max(1, overlap) or overlap < 0:
+        raise ValueError(f"windows of {size} characters cannot overlap by {overlap}")
+
+
 def character_windows(text: Column, size: int = 320, overlap: int = 40) -> Column:
     """Windows of size characters every size - overlap; stripped, their starts moved along, blank ones dropped."""
-    if not 0 <= overlap < size or size < 2:
-        raise ValueError("size must be over 1 and above overlap")
+    _require_sizes(size, overlap)
     step = size - overlap
     starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
 
@@ -27,37 +33,61 @@ def character_windows(text: Column, size: int = 320, overlap: int = 40) -> Colum
     return F.filter(F.transform(starts, window), lambda w: w["text"] != "")
 
 
-#: Where a paragraph window may end, the best first.
-BREAKS = tuple(map(re.compile, (r"\n\s*\n", r"(?<=[.!?;])\s+", r"\s+")))
+BLANK = re.compile(r"\s+")
+#: Marks after which white space ends a sentence.
+SENTENCE_END = frozenset(".!?;")
+
+
+class Gaps:
+    """The runs of white space of a text, found once: every place where a window may end or begin lies at one."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.begins, self.ends = [], []
+        for m in BLANK.finditer(text):
+            self.begins.append(m.start())
+            self.ends.append(m.end())
+
+    def stop(self, start: int, least: int, limit: int) -> int:
+        """Where a window from start ends: the last paragraph break between least and limit, else the last sentence
+        end, else the last gap, else limit itself. A gap that reaches over limit ends there."""
+        sentence = gap = None
+        for i in range(bisect_left(self.begins, limit) - 1, -1, -1):
+            begin, end = max(self.begins[i], start), min(self.ends[i], limit)
+            if end < least:
+                break
+            feed = self.text.rfind("\n", begin, end)
+            if feed + 1 >= least and self.text.find("\n", begin, end) < feed:
+                return feed + 1
+            gap = end if gap is None else gap
+            if sentence is None and begin > start and self.text[begin - 1] in SENTENCE_END:
+                sentence = end
+        return sentence or gap or limit
+
+    def after(self, at: int, stop: int) -> int:
+        """The end of the first gap at or after `at` that begins before stop; `at` if there is none."""
+        i = bisect_right(self.ends, at)
+        return min(self.ends[i], stop) if i < len(self.ends) and self.begins[i] < stop else at
 
 
 def cut_paragraphs(text: str, size: int, overlap: int) -> list[tuple[int, str]]:
-    """(start, text) of windows that end at the last break of the best kind in their second half, or at size.
-
-    The next window starts overlap characters before the last end, after the first white space there.
-    """
-    out, start, n = [], 0, len(text)
-    while start < n:
-        stop = min(start + size, n)
-        if stop < n:
-            window, half = text[start:stop], size // 2
-            ends = ([e for m in kind.finditer(window) if (e := m.end()) >= half] for kind in BREAKS)
-            stop = start + next((found[-1] for found in ends if found), size)
-        body = text[start:stop]
-        if kept := body.strip():
-            out.append((start + len(body) - len(body.lstrip()), kept))
-        if stop == n:
-            break
-        start = max(start + 1, stop - overlap)
-        if gap := BREAKS[2].search(text[start:stop]):
-            start += gap.end()
+    """(start, text) of stripped windows of at most size characters, each from overlap characters before the last
+    one's end, moved to the next word; see Gaps.stop for where they end. Blank windows are left out."""
+    gaps, out, start = Gaps(text), [], 0
+    while start < len(text):
+        final = start + size >= len(text)
+        stop = len(text) if final else gaps.stop(start, start + size // 2, start + size)
+        if kept := text[start:stop].strip():
+            out.append((text.index(kept[0], start), kept))
+        if final:
+            return out
+        start = gaps.after(max(start + 1, stop - overlap), stop)
     return out
 
 
 def paragraph_windows(text: Column, size: int = 1200, overlap: int = 160) -> Column:
     """cut_paragraphs as a column: each window depends on the one before, which no built-in expresses."""
-    if not 0 <= overlap < size or size < 2:
-        raise ValueError("size must be over 1 and above overlap")
+    _require_sizes(size, overlap)
     return F.udf(lambda t: cut_paragraphs(t or "", size, overlap), PIECES, useArrow=True)(text)
 
 

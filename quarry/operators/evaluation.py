@@ -6,17 +6,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .retrieval import NATIONAL
+from .retrieval import NATIONAL, scoped, search
+from .review import supported
+from .shared import sent, settle
 
 
-def case_violations(cases: DataFrame, sources: DataFrame) -> DataFrame:
-    """(query_id, rule) of cases that repeat an id, lack a query, or name unknown sources."""
-    rows = cases.withColumn("n", F.count("*").over(W.partitionBy("query_id")))
-    twice = rows.where("n > 1").select("query_id", F.lit("duplicate").alias("rule")).distinct()
-    blank = cases.where(F.coalesce(F.length(F.trim("query")), F.lit(0)) == 0).select("query_id", F.lit("query").alias("rule"))
+def case_violations(cases: DataFrame, sources: DataFrame, strict: bool = False) -> DataFrame:
+    """(query_id, rule) of cases that repeat an id or a label, lack an id, query or category, name unknown sources, or
+    expect evidence without naming any.
+
+    strict, for paired evaluation: labels and expected evidence must go together, and there must be cases of both
+    kinds (a rule with a null query_id).
+    """
+    blank = lambda c: F.coalesce(F.length(F.trim(F.col(c).cast("string"))), F.lit(0)) == 0
+    labels = F.coalesce(F.size("relevant"), F.lit(0))
+    rules = {"id": blank("query_id"), "query": blank("query"), "category": blank("category"), "repeated_label": F.size(F.array_distinct("relevant")) < F.size("relevant"), "expects_without_label": F.col("expect_evidence") & (labels == 0), "expect_evidence": F.col("expect_evidence").isNull(), "labels": F.col("relevant").isNull()}
+    if strict:
+        rules["labels_without_expecting"] = ~F.col("expect_evidence") & (labels > 0)
+    own = cases.select("query_id", F.explode(F.array_compact(F.array(*[F.when(test, name) for name, test in rules.items()]))).alias("rule"))
+    twice = cases.groupBy("query_id").agg(F.count("*").alias("n")).where("n > 1").select("query_id", F.lit("duplicate").alias("rule"))
     named = cases.select("query_id", F.explode("relevant").alias("source_id"))
     unknown = named.join(sources.select("source_id"), "source_id", "left_anti").select("query_id", F.lit("unknown_source").alias("rule")).distinct()
-    return twice.unionByName(blank).unionByName(unknown)
+    out = own.unionByName(twice).unionByName(unknown)
+    if strict:
+        kinds = cases.agg(F.count(F.when(F.col("expect_evidence"), 1)).alias("yes"), F.count(F.when(~F.col("expect_evidence"), 1)).alias("no"))
+        kind = cases.schema["query_id"].dataType
+        out = out.unionByName(kinds.where("yes = 0 or no = 0").select(F.lit(None).cast(kind).alias("query_id"), F.lit("one_kind_only").alias("rule")))
+    return out
+
+
+def evaluate(chunks: DataFrame, cases: DataFrame, modes=("keyword", "dense", "hybrid"), top_k: int = 3) -> DataFrame:
+    """case_metrics rows of each mode. cases carry terms, vector, instrument and region beside their labels, and are
+    searched within their scope; evidence is what the gate lets through among their top_k."""
+    if not 1 <= top_k <= 20:
+        raise ValueError("top_k lies between 1 and 20")
+    some, asked = scoped(chunks, cases)
+    some, asked = settle(some), settle(asked)
+    cols = chunks.select("chunk_id", "source_id", "review_status", "jurisdiction", "tokens")
+    out = None
+    for mode in modes:
+        got = search(some, asked, mode, top_k, scope=["scope"])
+        hits = settle(sent(got).join(cols, "chunk_id").join(sent(asked.select("query_id", "terms")), "query_id"))
+        rows = case_metrics(cases.withColumn("jurisdiction", F.col("region")), hits, hits.where(supported(hits))).withColumn("mode", F.lit(mode))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def case_metrics(cases: DataFrame, hits: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -65,14 +98,14 @@ def summary(rows: DataFrame) -> DataFrame:
     )
 
 
-def paired_summary(rows: DataFrame) -> DataFrame:
-    """By mode: rows carry relevant, candidates, evidence (arrays of source ids) and elapsed_ms."""
+def paired_summary(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """By mode, or by other columns: rows carry relevant, candidates, evidence (arrays of source ids) and elapsed_ms."""
     positive = F.size("relevant") > 0
     both = lambda a: F.size(F.array_intersect(F.col(a), F.col("relevant")))
     exact = F.coalesce(both("evidence") / F.nullif(F.size("evidence"), F.lit(0)), F.lit(0.0))
     rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY elapsed_ms)")
     count = lambda test: F.count(F.when(test, 1))
-    return rows.groupBy("mode").agg(
+    return rows.groupBy(*(by or ["mode"])).agg(
         F.count("*").alias("cases"), count(positive).alias("positive_cases"), count(~positive).alias("negative_cases"),
         count(positive & F.array_contains("relevant", F.get("candidates", F.lit(0)))).alias("target_top1"), count(positive & (both("candidates") > 0)).alias("target_top5"),
         count(positive & (both("evidence") > 0)).alias("target_evidence_hits"), count(~positive & (F.size("evidence") > 0)).alias("false_evidence_cases"),
@@ -114,3 +147,63 @@ def adoption(paired: DataFrame, baseline: str, slowdown: float = 4.0) -> DataFra
         "latency": c("latency_p50_ms") <= c("b_latency_p50_ms") * slowdown,
     }
     return at.select("mode", F.explode(F.array(*[F.struct(F.lit(n).alias("gate"), F.coalesce(t, F.lit(False)).alias("passed")) for n, t in gates.items()])).alias("g")).select("mode", "g.gate", "g.passed")
+
+
+def variant_problems(rows: DataFrame, reported: DataFrame, baseline: str, datasets: dict[str, tuple[int, int]]) -> DataFrame:
+    """(variant, dataset, problem): what keeps variants from being compared; no rows, if nothing does.
+
+    rows: variant, dataset, query_id, query, relevant, candidates, evidence, elapsed_ms. reported: paired_summary()'s
+    columns by variant and dataset, as a report states them. datasets: cases with and without labels of each.
+    """
+    by = ["variant", "dataset"]
+    fine = (F.col("elapsed_ms") > 0) & (F.col("elapsed_ms") < float("inf"))
+    one = rows.groupBy(*by).agg((F.count_distinct("query_id") != F.count("*")).alias("repeated"), F.count(F.when(~F.coalesce(fine, F.lit(False)), 1)).alias("bad_latency"))
+    expected = F.create_map(*[x for name, (a, b) in datasets.items() for x in (F.lit(name), F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")))])
+    told = paired_summary(rows, by)
+    at = told.join(one, by)
+    shape = expected[F.col("dataset")]
+    rules = {"repeated_case": F.col("repeated"), "latency": F.col("bad_latency") > 0, "denominator": F.coalesce((F.col("positive_cases") != shape["a"]) | (F.col("negative_cases") != shape["b"]), F.lit(True))}
+    own = at.select(*by, F.explode(F.array_compact(F.array(*[F.when(test, name) for name, test in rules.items()]))).alias("problem"))
+    cols = sorted(told.columns)
+    off = told.select(*cols).exceptAll(reported.select(*cols)).unionByName(reported.select(*cols).exceptAll(told.select(*cols)))
+    labels = rows.select("variant", "dataset", "query_id", "query", F.array_sort("relevant").alias("relevant"))
+    base = labels.where(F.col("variant") == baseline).drop("variant")
+    names = rows.select("variant").distinct()
+    each = sent(names).join(base)  # the baseline's labels, once for each of a few variants
+    drift = labels.exceptAll(each.select(*labels.columns)).unionByName(each.select(*labels.columns).exceptAll(labels))
+    wanted = names.join(rows.sparkSession.createDataFrame([(d,) for d in datasets], "dataset string"))
+    absent = wanted.join(rows.select(*by).distinct(), by, "left_anti")
+    say = lambda df, name: df.select(*by, F.lit(name).alias("problem")).distinct()
+    return own.unionByName(say(off, "reported_summary")).unionByName(say(drift, "labels")).unionByName(say(absent, "missing_dataset"))
+
+
+def indexing_adoption(summaries: DataFrame, baseline: str, canonical: tuple[str, int], paraphrase: tuple[str, int], slowdown: float = 4.0) -> DataFrame:
+    """(variant, gate, passed): each other variant of paired_summary() by variant and dataset against the baseline.
+
+    canonical and paraphrase name a dataset and the target hits it must reach, exactly all or at least. In every
+    dataset: no more false evidence, no less precision, a median latency within slowdown times. No default changes.
+    """
+    base = summaries.where(F.col("variant") == baseline).select("dataset", *[F.col(c).alias(f"b_{c}") for c in ("false_evidence_cases", "mean_positive_source_precision", "latency_p50_ms")])
+    at = summaries.where(F.col("variant") != baseline).join(base, "dataset", "left")
+    c = F.col
+    gate = lambda name, test: F.struct(name.alias("gate"), F.coalesce(test, F.lit(False)).alias("passed"))
+    named = lambda s: F.concat(c("dataset"), F.lit(s))
+    each = [gate(named("_false_evidence"), c("false_evidence_cases") <= c("b_false_evidence_cases")), gate(named("_precision"), c("mean_positive_source_precision") >= c("b_mean_positive_source_precision")), gate(named("_latency"), c("latency_p50_ms") <= c("b_latency_p50_ms") * slowdown)]
+    hits = F.when(c("dataset") == canonical[0], gate(F.lit("canonical_target_hits"), c("target_evidence_hits") == canonical[1])).when(c("dataset") == paraphrase[0], gate(F.lit("paraphrase_target_hits"), c("target_evidence_hits") >= paraphrase[1]))
+    return at.select("variant", F.explode(F.array_compact(F.array(hits, *each))).alias("g")).select("variant", "g.gate", "g.passed")
+
+
+def reranker_adoption(summaries: DataFrame, bounds: dict[str, tuple[int, int]], most_false: int = 2) -> DataFrame:
+    """(gate, passed): paired_summary() by mode (hybrid, rerank) and dataset.
+
+    bounds: for the datasets canonical, known and holdout, the least target hits and the most false evidence of
+    reranked cases; in holdout the false evidence must also stay within most_false and hybrid's own.
+    """
+    wide = summaries.groupBy().pivot("dataset", sorted(bounds)).agg(
+        F.max(F.when(F.col("mode") == "rerank", F.col("target_evidence_hits"))).alias("hits"), F.max(F.when(F.col("mode") == "rerank", F.col("false_evidence_cases"))).alias("false"), F.max(F.when(F.col("mode") == "hybrid", F.col("false_evidence_cases"))).alias("base"),
+    )
+    gates = {}
+    for name, (hits, false) in bounds.items():
+        gates[f"{name}_target_hits"] = F.col(f"{name}_hits") >= hits
+        gates[f"{name}_false_evidence"] = F.col(f"{name}_false") <= (F.least(F.lit(most_false), F.col(f"{name}_base")) if name == "holdout" else F.lit(false))
+    return wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("gate"), F.coalesce(t, F.lit(False)).alias("passed")) for n, t in gates.items()])).alias("g")).select("g.*")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import chunk_id, clean
+from ..functions.text import chunk_id, clean, unit
+from ..sources.writers import corpus_digest
 from .chunking import character_windows, explode_windows, paragraph_windows
 
 REQUIRED = ("source_id", "source_title", "source_url", "retrieved_at", "text")
@@ -64,3 +65,51 @@ def coverage(chunk_rows: DataFrame) -> DataFrame:
     return chunk_rows.agg(F.count_distinct("source_id").alias("sources"), F.count("*").alias("chunks"), names("instrument_id").alias("instruments"), names("document_version").alias("document_versions"))
 
 
+
+
+# The fields of a chunk; all but the last ones must be there, and there are no others.
+CHUNK_FIELDS = ("chunk_id", "source_id", "source_title", "source_url", "retrieved_at", "text", "content_sha256", "char_start", "review_status")
+CHUNK_EXTRA = ("schema_version", "section", "page", "language", "jurisdiction", "source_kind", "source_sha256", "instrument_id", "celex", "publication_date", "document_version", "version_notice")
+
+
+def chunk_violations(rows: DataFrame, most: int = 1200) -> DataFrame:
+    """Chunks with the column broken: what keeps a row from being a chunk of the closed schema."""
+    strange = sorted(set(rows.columns) - {*CHUNK_FIELDS, *CHUNK_EXTRA})
+    absent = [c for c in CHUNK_FIELDS if c not in rows.columns]
+    col = lambda c: field(rows, c)
+    blank = lambda c: F.coalesce(F.regexp_replace(col(c).cast("string"), "(?U)\\s+", ""), F.lit("")) == ""
+    rules = {f"no {c}": blank(c) for c in CHUNK_FIELDS if c not in absent} | {f"no {c}": F.lit(True) for c in absent} | {f"unknown {c}": F.lit(True) for c in strange}
+    rules |= {
+        "text is too long": F.length(col("text")) > most,
+        "content_sha256 is no digest": ~F.coalesce(col("content_sha256"), F.lit("")).rlike("^[0-9a-f]{64}\\z"),
+        "char_start is negative": col("char_start").cast("long") < 0,
+        "review_status is unknown": ~F.coalesce(col("review_status"), F.lit("")).isin(*STATUSES),
+    }
+    return rows.withColumn("broken", F.array_compact(F.array(*[F.when(test, name) for name, test in rules.items()])))
+
+
+def encoded(rows: DataFrame, text: Column, encoder, tokens_of, dimension: int, limit: int = 512, prefix: str = "") -> DataFrame:
+    """rows with vector: what encoder (a function from a column of texts to one of vectors, such as a pandas UDF) gives,
+    over its length. A text of over limit tokens by tokens_of, and a vector of another dimension, of length zero or
+    with a component that is no number, fail the job. prefix stands before each text, as some models ask of queries.
+    """
+    whole = F.concat(F.lit(prefix), text)
+    short = rows.where(F.when(tokens_of(whole) <= limit, F.lit(True)).otherwise(F.raise_error(F.lit(f"a text is over {limit} tokens: split it"))))
+    out = short.withColumn("__raw", encoder(whole))
+    finite = F.forall("__raw", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    fine = F.coalesce((F.size("__raw") == dimension) & finite & F.exists("__raw", lambda x: x != 0), F.lit(False))
+    return out.withColumn("vector", F.when(fine, unit(F.col("__raw"))).otherwise(F.raise_error(F.lit("the encoder gave a bad vector")).cast("array<double>"))).drop("__raw")
+
+
+def manifest(chunk_rows: DataFrame, model: dict, chunker: str = "characters", context: str = "none") -> DataFrame:
+    """One row: the model (model_id, dimension, query_prefix), how chunks were cut, and corpus_digest()'s columns."""
+    kind = {"characters": "characters-320-overlap-40-v2", "paragraphs": "paragraphs-1200-overlap-160-v1"}[chunker]
+    named = [F.lit(model[c]).alias(c) for c in ("model_id", "dimension", "query_prefix")]
+    return corpus_digest(chunk_rows).select("*", *named, F.lit(kind).alias("chunker"), F.lit(context).alias("document_context"), F.lit(True).alias("normalized"))
+
+
+def require_model(manifest_row: DataFrame, model: dict) -> None:
+    """An error if an index was made by another model than queries are encoded by."""
+    row = manifest_row.select("model_id", "dimension", "query_prefix").first()
+    if row is None or row.asDict() != {c: model[c] for c in ("model_id", "dimension", "query_prefix")}:
+        raise ValueError("index and query model differ: build the index anew")

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import first_words, word_count
+from ..functions.text import first_words, strip, word_count
+from . import retrieval
+from .shared import sent, settle
 
 ACCEPTED = ("reviewed", "fictional", "source_verified")
 # Questions that ask for the law of today.
@@ -36,16 +38,27 @@ def in_scope(chunks: DataFrame, instrument: str = "all") -> DataFrame:
     return some
 
 
-def verify_spans(hits: DataFrame, sources: DataFrame) -> DataFrame:
-    """hits with char_end and span_ok: text and hash equal the source's text at char_start. No search is made."""
-    full = sources.select("source_id", F.col("text").alias("full_text"))
-    at = hits.join(full, "source_id", "left")
-    same = (F.substring("full_text", F.col("char_start").cast("int") + 1, F.length("text")) == F.col("text")) & (F.sha2("text", 256) == F.col("content_sha256"))
-    return at.withColumn("char_end", F.col("char_start") + F.length("text")).withColumn("span_ok", F.coalesce(same, F.lit(False))).drop("full_text")
+def verify_spans(hits: DataFrame, sources: DataFrame, old_windows: bool = False, window: int = 320) -> DataFrame:
+    """hits with char_end and span_ok: text and hash equal the source's text at char_start. No search is made.
 
-
-def require_spans(hits: DataFrame, sources: DataFrame) -> DataFrame:
-    checked = verify_spans(hits, sources)
+    old_windows: indexes of an older kind give the start of the unstripped window; where the window of `window`
+    characters there, once stripped, is the text, char_start moves to where the text begins. A hit whose source or
+    start is not known is judged by its hash alone; a hit without a hash by its text.
+    """
+    at = hits.join(sources.select("source_id", F.col("text").alias("__full")), "source_id", "left")
+    placed = F.col("__full").isNotNull() & F.col("char_start").isNotNull()
+    here = lambda c: F.substring("__full", F.col(c).cast("int") + 1, F.length("text")) == F.col("text")
+    raw = F.substring("__full", F.col("char_start").cast("int") + 1, F.lit(window))
+    lead = F.length(raw) - F.length(F.regexp_replace(raw, "(?U)^\\s+", ""))
+    moves = placed & F.lit(old_windows) & (F.col("char_start") >= 0) & ~here("char_start") & (strip(raw) == F.col("text"))
+    at = at.withColumn("char_start", F.when(moves, (F.col("char_start") + lead).cast("long")).otherwise(F.col("char_start")))
+    same = ~placed | ((F.col("char_start") >= 0) & here("char_start"))
+    hashed = F.col("content_sha256").isNull() | (F.sha2("text", 256) == F.col("content_sha256"))
+    return at.withColumn("char_end", F.when(placed, F.col("char_start") + F.length("text"))).withColumn("span_ok", F.coalesce(same & hashed, F.lit(False))).drop("__full")
+
+
+def require_spans(hits: DataFrame, sources: DataFrame, old_windows: bool = False) -> DataFrame:
+    checked = verify_spans(hits, sources, old_windows)
     return checked.where(F.when(F.col("span_ok"), F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no such span: "), F.coalesce("chunk_id", F.lit("null")))))).drop("span_ok")
 
 
@@ -106,9 +119,15 @@ def context_windows(hits: DataFrame, sources: DataFrame, tokens_of, limit: int =
     """hits with the widest window of their source around them whose token count fits; text, char_start, char_end.
 
     tokens_of(query, title and passage) counts tokens as a column. Widths go down by step to the larger of floor
-    and the hit's length; a hit that does not fit then is an error. Windows that repeat keep their first hit.
+    and the hit's length; a hit that does not fit then is an error, and so is one that is empty, longer than width or
+    not in its source at char_start. Windows that repeat keep their first hit. Hits without a source or a start stay
+    as they are, with no matched_chunk_id.
     """
-    at = hits.join(sources.select("source_id", F.col("text").alias("full_text")), "source_id")
+    at = hits.join(sources.select("source_id", F.col("text").alias("full_text")), "source_id", "left")
+    loose = at.where("full_text is null or char_start is null").drop("full_text")
+    at = at.where("full_text is not null and char_start is not null")
+    sound = (F.length("text") > 0) & (F.length("text") <= width) & (F.col("char_start") >= 0) & (F.substring("full_text", F.col("char_start").cast("int") + 1, F.length("text")) == F.col("text"))
+    at = at.where(F.when(sound, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("hit does not lie in its source or fit a window: "), "chunk_id"))))
     least = F.greatest(F.lit(floor), F.length("text"))
     widths = F.array_distinct(F.transform(F.sequence(F.lit(0), F.ceil((F.lit(width) - F.col("least")) / step).cast("int")), lambda i: F.greatest(F.col("least"), F.lit(width) - i * step)))
     at = at.withColumn("least", least).withColumn("w", F.explode(widths))
@@ -116,15 +135,66 @@ def context_windows(hits: DataFrame, sources: DataFrame, tokens_of, limit: int =
     end = F.least(F.length("full_text"), start + F.col("w"))
     start = F.greatest(F.lit(0), end - F.col("w"))
     at = at.withColumn("w_end", end.cast("long")).withColumn("w_start", start.cast("long"))
-    at = at.withColumn("passage", F.expr("substring(full_text, cast(w_start as int) + 1, cast(w_end - w_start as int))"))
+    # the full text ends here: only passages go through the windows
+    at = at.withColumn("passage", F.expr("substring(full_text, cast(w_start as int) + 1, cast(w_end - w_start as int))")).drop("full_text")
     fits = tokens_of(F.col("query"), F.concat("source_title", F.lit("\n"), "passage")) <= limit
-    best = F.row_number().over(W.partitionBy("query_id", "chunk_id").orderBy(F.when(fits, 0).otherwise(1), F.desc("w")))
+    best = F.row_number().over(W.partitionBy("query_id", "chunk_id").orderBy(F.when(F.col("fits"), 0).otherwise(1), F.desc("w")))
     at = at.withColumn("fits", fits).withColumn("n", best).where("n = 1")
     at = at.where(F.when(F.col("fits"), F.lit(True)).otherwise(F.raise_error(F.lit("query and passage are over the token limit"))))
     first = F.row_number().over(W.partitionBy("query_id", "source_id", "w_start", "w_end").orderBy("rank"))
     at = at.withColumn("n", first).where("n = 1").withColumn("matched_chunk_id", F.col("chunk_id")).withColumn("text", F.col("passage")).withColumn("content_sha256", F.sha2("passage", 256))
     at = at.withColumn("chunk_id", F.concat_ws(":", "source_id", F.lit("context"), "w_start", "w_end", F.substring("content_sha256", 1, 12)))
-    return at.withColumn("char_start", F.col("w_start")).withColumn("char_end", F.col("w_end")).drop("full_text", "least", "w", "w_start", "w_end", "passage", "fits", "n")
+    at = at.withColumn("char_start", F.col("w_start")).withColumn("char_end", F.col("w_end")).drop("least", "w", "w_start", "w_end", "passage", "fits", "n")
+    return at.unionByName(loose, allowMissingColumns=True)
+
+
+# How a scope is named in a question to a reranker.
+SCOPE_NAMES = {"gdpr": "the General Data Protection Regulation", "dsa": "the Digital Services Act", "dma": "the Digital Markets Act", "ai-act": "the AI Act", "all": "EU law"}
+
+
+def scoped_query(query: Column, instrument: Column) -> Column:
+    """The question with its scope said in words; an instrument without a name of its own is said as it is."""
+    names = F.create_map(*[F.lit(x) for pair in SCOPE_NAMES.items() for x in pair])
+    own = F.coalesce(instrument, F.lit("all"))
+    return F.concat(F.lit("Under "), F.coalesce(names[own], own), F.lit(", "), query)
+
+
+def confidence(hits: Column) -> Column:
+    """A list of hits is never rated; an empty one has no confidence at all."""
+    return F.when(F.coalesce(F.size(hits), F.lit(0)) > 0, "unrated").otherwise("none")
+
+
+def research(chunks: DataFrame, sources: DataFrame, queries: DataFrame, retriever=None, gate=None, scorer=None, tokens_of=None, chunker: str = "characters", old_windows: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(queries with reason, reviewed hits): policy, scope, search, spans, reranking, one hit a source, evidence.
+
+    queries: query_id, query, terms, vector, and instrument if they are scoped. Refused queries are not searched.
+    retriever(chunks, queries, top_k) gives hits in place of hybrid search; gate(hits) is a condition in place of the
+    evidence gate. With scorer (and tokens_of), hits are put in their context, scored by the column scorer and ranked
+    and gated by it. Hits carry place, supported, and for supported ones the quote: budget 80 words, or 512 for
+    paragraph chunks and reranked hits. A span that is not in its source fails the job.
+    """
+    original = chunks.where("document_version = 'original_oj'").limit(1).count() > 0 if "document_version" in chunks.columns else False
+    asked = settle(queries.withColumn("reason", query_policy(F.col("query"), F.lit(original))))
+    open_ones = asked.where("reason is null")
+    top_k = 40 if scorer is not None else 12
+    if retriever:
+        got = retriever(chunks, open_ones, top_k)
+    elif "instrument" in queries.columns:
+        some, scoped_ones = retrieval.scoped(chunks, open_ones)
+        got = retrieval.search(some, scoped_ones, "hybrid", top_k, scope=["scope"])
+    else:
+        got = retrieval.search(chunks, open_ones, "hybrid", top_k)
+    cols = [c for c in chunks.columns if c not in ("vector", "ord")]
+    hits = sent(got.drop("ord")).join(chunks.select(*cols), "chunk_id").join(sent(asked.select("query_id", "query", "terms", *(["instrument"] if "instrument" in queries.columns else []))), "query_id")
+    hits = require_spans(hits, sources, old_windows)
+    if scorer is not None:
+        named = hits.withColumn("query", scoped_query(F.col("query"), F.col("instrument") if "instrument" in hits.columns else F.lit("all")))
+        hits = rerank(context_windows(named, sources, tokens_of), scorer)
+    one = settle(diverse(hits))
+    test = gate(one) if gate else rerank_supported() if scorer is not None else supported(one)
+    one = one.withColumn("supported", test)
+    evidence = quote(one.where("supported"), 512 if scorer is not None or chunker == "paragraphs" else 80)
+    return asked, evidence.unionByName(one.where("not supported"), allowMissingColumns=True)
 
 
 def review(queries: DataFrame, hits: DataFrame, budget: int = 80) -> DataFrame:
@@ -142,32 +212,57 @@ def review(queries: DataFrame, hits: DataFrame, budget: int = 80) -> DataFrame:
     return out.select("query_id", "reason", found.alias("answer_status"), F.coalesce("evidence", none).alias("evidence"), F.coalesce("review_candidates", none).alias("review_candidates"))
 
 
+def answers(asked: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """A row a query of research(): reason, answer_status, confidence, evidence and candidates as lists of their hits."""
+    quoted = F.struct("place", "source_id", "source_title", "source_url", "retrieved_at", "chunk_id", "text", "char_start", "char_end", "content_sha256", "truncated")
+    near = (F.col("review_status") == "source_verified") & (F.coalesce("cosine_similarity", F.lit(0.0)) >= 0.55)
+    look = ~F.col("supported") & (((F.col("keyword_score") > 0) & (F.col("review_status") == "pending")) | near)
+    lists = reviewed.groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("supported"), quoted))).alias("evidence"),
+        F.array_sort(F.collect_list(F.when(look, F.struct("place", "source_id", "source_title", "source_url")))).alias("review_candidates"),
+    )
+    out = asked.select("query_id", "query", "reason").join(lists, "query_id", "left")
+    found = F.coalesce(F.size("evidence") > 0, F.lit(False))
+    return out.withColumn("answer_status", F.when(found, "evidence_found").otherwise("insufficient_evidence")).withColumn("confidence", confidence(F.col("evidence")))
+
+
 def markdown(reviews: DataFrame) -> DataFrame:
-    """(query_id, markdown) of review(): a heading, the status, and the quoted chunks as a list."""
-    items = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x)), "\n")
-    lines = F.concat_ws("\n", F.concat(F.lit("# Review "), F.col("query_id").cast("string")), F.concat(F.lit("Status: "), "answer_status"), F.concat(F.lit("Refused: "), "reason"), F.lit("## Evidence"), items("evidence"), F.lit("## To review"), items("review_candidates"))
+    """(query_id, markdown) of answers(): the question, each quote with where it stands, and what else to look at."""
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("not known"))
+
+    def quoted(h: Column) -> Column:
+        span = F.concat(F.lit("- span: ["), text(h["char_start"]), F.lit(", "), text(h["char_end"]), F.lit(")"))
+        part = F.when(h["truncated"], "- cut to the quote budget: read the whole text")
+        return F.concat_ws("\n", F.concat(F.lit("### "), text(h["source_title"])), F.lit(""), F.concat(F.lit("> "), F.regexp_replace(h["text"], "\n", "\n> ")), F.lit(""), F.concat(F.lit("- source: "), text(h["source_url"])), F.concat(F.lit("- retrieved: "), text(h["retrieved_at"])), F.concat(F.lit("- chunk: "), text(h["chunk_id"])), F.concat(F.lit("- sha256: "), text(h["content_sha256"])), span, part)
+
+    other = lambda h: F.concat(F.lit("- "), text(h["source_title"]), F.lit(" <"), text(h["source_url"]), F.lit(">"))
+    blocks = lambda c, f, gap: F.array_join(F.transform(F.coalesce(F.col(c), F.array()), f), gap)
+    lines = F.concat_ws("\n\n", F.concat(F.lit("# Review of: "), "query"), F.concat(F.lit("Status: "), "answer_status", F.coalesce(F.concat(F.lit(", refused: "), "reason"), F.lit(""))), F.lit("## Evidence"), F.nullif(blocks("evidence", quoted, "\n\n"), F.lit("")), F.lit("## Not evidence, to look at"), F.nullif(blocks("review_candidates", other, "\n"), F.lit("")))
     return reviews.select("query_id", lines.alias("markdown"))
 
 
 def evidence_sentences(hits: DataFrame, budget: int = 80, most: int = 4) -> DataFrame:
     """(query_id, n, sentence): the plain retriever's sentences in rank order that share a term with the query.
 
-    hits carry terms (the query's) and text. A sentence counts once for a query; each source has a budget of
-    words, and a cut sentence ends in a mark; the first `most` of a query stay.
+    hits carry terms (the query's) and text, a few chunks for each query. A sentence that was given is not given
+    again; each source has a budget of words, a cut sentence ends in a mark, and one that finds its source's budget
+    used up may still be given for another source. The first `most` of a query stay.
     """
     from ..functions.text import compact, plain_tokens, sentences
 
-    each = hits.select("query_id", "source_id", "rank", "terms", F.posexplode(sentences(F.col("text"))).alias("pos", "s")).withColumn("s", F.regexp_replace("s", "(?U)^\\s+|\\s+\\z", "")).where("s != ''")
+    each = hits.select("query_id", "source_id", "rank", "terms", F.posexplode(sentences(F.col("text"))).alias("pos", "s")).withColumn("s", strip(F.col("s"))).where("s != ''")
     each = each.where(F.arrays_overlap("terms", plain_tokens(F.col("s"), query=True)))
-    order = ["rank", "pos"]
-    each = each.withColumn("nth", F.row_number().over(W.partitionBy("query_id", "s").orderBy(*order))).where("nth = 1")
-    each = each.withColumn("words", word_count(F.col("s")).cast("long"))
-    before = F.coalesce(F.sum("words").over(W.partitionBy("query_id", "source_id").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    each = each.withColumn("left", F.lit(budget) - before).where("left > 0")
-    text = compact(F.col("s"))
-    cut = F.concat(F.array_join(F.slice(F.split(text, " "), F.lit(1), F.col("left").cast("int")), " "), F.lit(" […]"))
-    each = each.withColumn("sentence", F.when(F.col("words") > F.col("left"), cut).otherwise(text))
-    each = each.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))
-    return each.where(F.col("n") <= most).select("query_id", "n", "sentence")
-
-
+    item = F.struct("rank", "pos", "source_id", "s", compact(F.col("s")).alias("flat"), word_count(F.col("s")).cast("long").alias("words"))
+    lists = each.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    none = F.array().cast("array<struct<source_id:string,s:string,taken:bigint,sentence:string>>")
+
+    def add(given: Column, x: Column) -> Column:
+        used = F.aggregate(F.filter(given, lambda g: g["source_id"] == x["source_id"]), F.lit(0).cast("long"), lambda n, g: n + g["taken"])
+        left = F.lit(budget) - used
+        cut = F.concat(F.array_join(F.slice(F.split(x["flat"], " "), F.lit(1), F.greatest(left, F.lit(0)).cast("int")), " "), F.lit(" […]"))
+        new = F.struct(x["source_id"].alias("source_id"), x["s"].alias("s"), F.least(x["words"], left).alias("taken"), F.when(x["words"] > left, cut).otherwise(x["flat"]).alias("sentence"))
+        skip = (F.size(given) >= most) | F.exists(given, lambda g: g["s"] == x["s"]) | (left <= 0)
+        return F.when(skip, given).otherwise(F.concat(given, F.array(new)))
+
+    chosen = lists.select("query_id", F.posexplode(F.aggregate("all", none, add)).alias("i", "g"))
+    return chosen.select("query_id", (F.col("i") + 1).alias("n"), "g.sentence")

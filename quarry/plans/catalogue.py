@@ -139,6 +139,35 @@ def source_validation_report(spark, d):
     return rows.groupBy("instrument_id").agg(F.count("*").alias("documents"), F.count(F.when(F.size("broken") > 0, 1)).alias("broken"))
 
 
+@query("""SELECT doc_id, list_filter([
+  CASE WHEN doc_id % 11 = 1 THEN 'required' END, CASE WHEN doc_id % 11 = 2 THEN 'source_id' END, CASE WHEN doc_id % 11 = 3 THEN 'source_url' END,
+  CASE WHEN doc_id % 11 = 4 THEN 'retrieved_at' END, CASE WHEN doc_id % 11 = 5 THEN 'review_status' END, CASE WHEN doc_id % 11 = 6 THEN 'provenance' END,
+  CASE WHEN doc_id % 11 = 7 OR doc_id % 11 = 8 AND doc_id - 1 >= 0 THEN 'duplicate' END], lambda x: x IS NOT NULL) AS broken
+  FROM documents WHERE doc_id % 11 != 8 AND doc_id % 11 != 7
+  UNION ALL SELECT doc_id, CASE WHEN (doc_id % 11 = 7 AND doc_id + 1 IN (SELECT doc_id FROM documents)) OR (doc_id % 11 = 8 AND doc_id - 1 IN (SELECT doc_id FROM documents)) THEN ['duplicate'] ELSE [] END
+  FROM documents WHERE doc_id % 11 IN (7, 8)""")
+def source_violations(spark, d):
+    """Documents of which most break one rule each, by doc_id: a blank title, an id with a space, another scheme, no
+    date, an unknown status, unproved verification, and two that share an id."""
+    n = F.col("doc_id") % 11
+    s = views.sources(spark, d).withColumn("review_status", F.when(n == 5, "seen").when(n == 6, "source_verified").otherwise("reviewed"))
+    s = s.withColumn("source_title", F.when(n == 1, " \u00a0").otherwise(F.col("source_title"))).withColumn("source_url", F.when(n == 3, "ftp://x").otherwise(F.col("source_url")))
+    s = s.withColumn("retrieved_at", F.when(n == 4, "soon").otherwise(F.col("retrieved_at"))).withColumn("celex", F.when(n == 6, "").otherwise(F.col("celex")))
+    s = s.withColumn("source_id", F.when(n == 2, F.concat(F.lit("doc "), "doc_id")).when(n == 8, F.concat(F.lit("doc-"), F.col("doc_id") - 1)).otherwise(F.col("source_id")))
+    return prepare.violations(s).select("doc_id", "broken")
+
+
+@query(f"""WITH {SRC} SELECT doc_id, list_filter([CASE WHEN doc_id % 7 = 1 THEN 'no source_title' END, CASE WHEN length(text) > 1200 THEN 'text is too long' END,
+  CASE WHEN doc_id % 7 = 2 THEN 'content_sha256 is no digest' END, CASE WHEN doc_id % 7 = 3 THEN 'char_start is negative' END,
+  CASE WHEN doc_id % 7 = 4 THEN 'review_status is unknown' END], lambda x: x IS NOT NULL) AS broken FROM src""")
+def chunk_schema_violations(spark, d):
+    """Whole documents as chunks: the long ones break the schema, and others by doc_id."""
+    n = F.col("doc_id") % 7
+    rows = views.whole(spark, d).select("doc_id", "chunk_id", "source_id", F.when(n == 1, "").otherwise(F.col("source_title")).alias("source_title"), "source_url", "retrieved_at", "text", F.when(n == 2, F.upper(F.sha2("text", 256))).otherwise(F.sha2("text", 256)).alias("content_sha256"), F.when(n == 3, -1).otherwise(0).alias("char_start"), F.when(n == 4, "seen").otherwise(F.col("review_status")).alias("review_status"), "language")
+    checked = prepare.chunk_violations(rows.withColumnRenamed("doc_id", "section"))
+    return checked.select(F.col("section").alias("doc_id"), "broken")
+
+
 _CHARS = """WITH w AS (
   SELECT doc_id, text, unnest(range(0, length(text), 280)) AS pos FROM documents WHERE length(text) > 0),
 r AS (SELECT doc_id, pos, substr(text, pos + 1, 320) AS raw FROM w),
@@ -370,6 +399,44 @@ def review_candidates(spark, d):
     return review.review_candidates(rows, rows.where(review.supported(rows))).select("query_id", F.col("place").cast("long").alias("place"), "source_id")
 
 
+_CHUNKS = f"""{_CHARS.replace("WITH w AS", f"WITH {SRC}, w AS")},
+nth AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sha256(text) ORDER BY char_start) AS nth FROM c WHERE text != ''),
+docs AS MATERIALIZED (SELECT n.doc_id * 1000000 + char_start AS doc_id, s.source_id, n.text, review_status, {_tokens("n.text")} AS tokens FROM nth n JOIN src s USING (doc_id) WHERE nth = 1),
+{QS},{_bm25("docs")},
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm) WHERE rank <= 12),
+hits AS MATERIALIZED (SELECT query_id, doc_id AS ord, rank, score AS kw, NULL::DOUBLE AS cosine, source_id, text, review_status, tokens, terms FROM top JOIN docs USING (doc_id) JOIN qs USING (query_id))"""
+
+
+def _chunk_hits(spark, d):
+    """The twelve best windows of 320 characters for each question, by BM25 over all windows of all documents."""
+    chunks = prepare.chunks(views.sources(spark, d)).withColumn("ord", F.col("doc_id") * 1_000_000 + F.col("char_start"))
+    chunks = settle(chunks.withColumn("tokens", fx.tokens(F.col("text"))))
+    q = settle(views.questions(spark, d))
+    got = retrieval.search(chunks, q, "keyword", 12)
+    return settle(sent(got).join(chunks.drop("ord"), "chunk_id").join(sent(q.select("query_id", "query", "terms")), "query_id"))
+
+
+@query(f"{_CHUNKS} SELECT query_id, ord, source_id, rank, round(kw, 6) AS keyword_score FROM hits")
+def chunk_search(spark, d):
+    return _chunk_hits(spark, d).select("query_id", "ord", "source_id", F.col("rank").cast("long").alias("rank"), _r("keyword_score"))
+
+
+@query(f"""{_CHUNKS}, one AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_id ORDER BY rank) AS nth FROM hits)
+SELECT query_id, ord, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM one WHERE nth = 1) WHERE place <= 5""")
+def chunk_source_diversity(spark, d):
+    """Sources with several hits keep their first."""
+    return review.diverse(_chunk_hits(spark, d)).select("query_id", "ord", F.col("place").cast("long").alias("place"))
+
+
+@query(f"""{_CHUNKS}, given AS (SELECT *, len(regexp_extract_all(text, '\\S+'))::BIGINT AS words FROM hits WHERE {GATE}),
+budget AS (SELECT *, 80 - coalesce(sum(words) OVER (PARTITION BY query_id, source_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM given)
+SELECT query_id, ord, words, least(words, rest)::BIGINT AS taken, words > rest AS truncated FROM budget WHERE rest > 0""")
+def chunk_quote_budget(spark, d):
+    """Several hits of one source share its budget of words."""
+    rows = _chunk_hits(spark, d)
+    return review.quote(rows.where(review.supported(rows))).select("query_id", "ord", "words", "taken", "truncated")
+
+
 _CUTS = f"{_CHARS} SELECT 'doc-' || doc_id || ':' || char_start || ':' || substr(sha256(text), 1, 12) AS chunk_id, (char_start + length(text))::BIGINT AS char_end, true AS span_ok FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, sha256(text) ORDER BY char_start) AS nth FROM c WHERE text != '') WHERE nth = 1"
 
 
@@ -387,14 +454,24 @@ def span_violations(spark, d):
     return review.verify_spans(bad, s).select("chunk_id", F.col("char_end").cast("long").alias("char_end"), "span_ok")
 
 
+@query(f"""{_CHARS}, o AS (SELECT doc_id, char_start, text, char_start - char_start % 280 + CASE WHEN char_start % 11 = 0 THEN 1 ELSE 0 END AS old FROM c WHERE text != ''),
+m AS (SELECT o.*, substr(d.text, old + 1, length(o.text)) = o.text AS exact, substr(d.text, old + 1, 320) AS raw FROM o JOIN documents d USING (doc_id)),
+f AS (SELECT *, NOT exact AND trim(raw, ' ' || chr(10) || chr(9)) = text AS moves FROM m)
+SELECT doc_id, old, CASE WHEN moves THEN old + length(raw) - length(ltrim(raw, ' ' || chr(10) || chr(9))) ELSE old END AS char_start, exact OR moves AS span_ok FROM f""")
+def span_repair(spark, d):
+    """Chunks as an older index gave them, at their unstripped windows' starts; every start that 11 divides is off by one."""
+    s = views.sources(spark, d)
+    rows = chunking.explode_windows(s.select("doc_id", "source_id", "text"), chunking.character_windows(F.col("text")))
+    old = (F.col("char_start") - F.col("char_start") % 280 + F.when(F.col("char_start") % 11 == 0, 1).otherwise(0)).cast("long")
+    rows = rows.withColumn("old", old).withColumn("char_start", F.col("old")).withColumn("content_sha256", F.sha2("text", 256))
+    return review.verify_spans(rows, s, old_windows=True).select("doc_id", "old", "char_start", "span_ok")
+
+
 @query()
 def context_windows(spark, d):
     """Windows around the chunks that hold a query's text best; words stand in for a model's tokens."""
     s = views.sources(spark, d)
-    chunks = prepare.chunks(s).withColumn("ord", F.col("doc_id") * 1_000_000 + F.col("char_start")).withColumn("tokens", fx.tokens(F.col("text")))
-    q = views.questions(spark, d)
-    got = retrieval.ranked(retrieval.bm25(chunks, q), 12).join(chunks.drop("ord", "tokens"), "chunk_id").join(q.select("query_id", "query"), "query_id")
-    out = review.context_windows(got, s, lambda a, b: fx.word_count(a) + fx.word_count(b))
+    out = review.context_windows(_chunk_hits(spark, d), s, lambda a, b: fx.word_count(a) + fx.word_count(b))
     return out.select("query_id", "rank", "chunk_id", "matched_chunk_id", "char_start", "char_end", "content_sha256")
 
 
@@ -410,9 +487,37 @@ def evidence_review(spark, d):
     return review.review(*_reviewed(spark, d))
 
 
+def _researched(spark, d, **how):
+    chunks = views.with_vectors(spark, d).withColumn("content_sha256", F.sha2("text", 256))
+    return review.research(chunks, views.sources(spark, d), views.questions(spark, d), **how)
+
+
+@query(f"""{REVIEW} SELECT query_id, source_id, place, supported, CASE WHEN supported THEN least(len(regexp_extract_all(text, '\\S+')), 80)::BIGINT END AS taken FROM gated""")
+def research_hits(spark, d):
+    """The whole review in one call: policy, search, spans, one hit a source, gate and quotes."""
+    got = _researched(spark, d)[1]
+    return got.select("query_id", "source_id", F.col("place").cast("long").alias("place"), "supported", "taken")
+
+
+_RERANKED = f"""{HYBRID.replace("WHERE f.rank <= 12)", "WHERE f.rank <= 40)")},
+scored AS (SELECT *, (len(tokens) % 7)::DOUBLE AS rerank FROM hits),
+spread AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, doc_id) AS place FROM scored) WHERE place <= 5)"""
+
+
+@query(f"""{_RERANKED.replace("ORDER BY rerank DESC, doc_id", "ORDER BY rerank DESC, source_id")} SELECT query_id, source_id, place, review_status != 'pending' AND rerank >= greatest(0, max(rerank) OVER (PARTITION BY query_id) - 2) AS kept FROM spread""")
+def rerank_review(spark, d):
+    """Forty hybrid hits ranked by another score (a count of the chunk's tokens stands in for a model's), then gated."""
+    chunks = views.with_vectors(spark, d)
+    q = settle(views.questions(spark, d))
+    got = retrieval.search(chunks, q, "hybrid", 40)
+    hits = sent(got).join(chunks.select("chunk_id", "source_id", "review_status", "tokens"), "chunk_id")
+    rows = review.diverse(review.rerank(hits, F.size("tokens") % 7))
+    return rows.select("query_id", "source_id", F.col("place").cast("long").alias("place"), review.rerank_supported().alias("kept"))
+
+
 @query()
 def review_markdown(spark, d):
-    return review.markdown(review.review(*_reviewed(spark, d)))
+    return review.markdown(review.answers(*_researched(spark, d)))
 
 
 # ------------------------------------------------------------------ sources and sinks
@@ -421,6 +526,45 @@ def html_extract(spark, d):
     return table(spark, d, "pages").select("page_id", readers.html_text(F.col("html")).alias("text"))
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 4 THEN NULL WHEN doc_id % 5 = 3 THEN 'last' ELSE 'doc-' || doc_id END AS source_id,
+  CASE WHEN doc_id % 5 = 4 THEN NULL WHEN doc_id % 5 = 1 THEN 'a---' ELSE source || ': ' || doc_id END AS source_title,
+  CASE WHEN doc_id % 5 = 4 THEN trim('---' || chr(10) || 'source_id: x' || chr(10) || replace(text, '---', '--'), ' ' || chr(10) || chr(9)) WHEN doc_id % 5 = 2 THEN trim(replace(text, '---', '--'), ' ' || chr(10) || chr(9)) ELSE trim(replace(text, '---', '--'), ' ' || chr(10) || chr(9)) END AS body FROM documents""")
+def front_matter(spark, d):
+    """Documents under headers of several kinds: dashes within a value, quotes of both kinds, a key given twice, no end."""
+    n, own = F.col("doc_id") % 5, F.concat(F.lit("doc-"), "doc_id")
+    named = F.when(n == 1, "a---").otherwise(F.concat("source", F.lit(": "), "doc_id"))
+    quoted = F.when(n == 2, F.concat(F.lit("\"'"), named, F.lit("'\""))).otherwise(named)
+    again = F.when(n == 3, F.lit("source_id: 'last'\nno colon here\n")).otherwise("")
+    head = F.concat(F.lit("---\nsource_id: \""), own, F.lit("\" \nsource_title:  "), quoted, F.lit("\n"), again, F.lit("--- \n"))
+    body = F.replace("text", F.lit("---"), F.lit("--"))
+    page = F.concat(F.when(n == 4, F.lit("---\nsource_id: x\n")).otherwise(head), body)
+    found, rest = readers.header_and_body(page)
+    return table(spark, d, "documents").select("doc_id", found["source_id"].alias("source_id"), found["source_title"].alias("source_title"), rest.alias("body"))
+
+
+_FLAT = "trim(regexp_replace(regexp_replace(text, '[<>&]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH t AS (SELECT doc_id, {_FLAT} AS flat FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 6 = 4 THEN '' ELSE 'Article ' || CASE WHEN doc_id % 6 = 1 THEN doc_id + 1 ELSE doc_id END || CASE WHEN flat = '' THEN '' ELSE chr(10) || chr(10) || flat END END AS article_text,
+  list_filter([CASE WHEN doc_id % 6 = 5 THEN 'not_xhtml' END, CASE WHEN doc_id % 6 IN (2, 5) THEN 'other_publication' END, CASE WHEN doc_id % 6 IN (4, 5) THEN 'missing' END,
+    CASE WHEN doc_id % 6 IN (1, 4, 5) THEN 'heading' END,
+    CASE WHEN doc_id % 6 IN (4, 5) OR length('Article ' || CASE WHEN doc_id % 6 = 1 THEN doc_id + 1 ELSE doc_id END || CASE WHEN flat = '' THEN '' ELSE chr(10) || chr(10) || flat END) < 80 THEN 'short' END,
+    CASE WHEN doc_id % 6 IN (3, 4, 5) THEN 'text_outside_paragraphs' END], lambda x: x IS NOT NULL) AS broken FROM t WHERE doc_id % 6 != 5
+UNION ALL SELECT doc_id, '', ['not_xhtml', 'other_publication', 'missing', 'heading', 'short', 'text_outside_paragraphs'] FROM t WHERE doc_id % 6 = 5""")
+def publication_articles(spark, d):
+    """Documents as one-article publications, of which most break a rule by doc_id: a wrong heading, another number in
+    the title, text outside paragraphs, another id, and a page that is no XHTML."""
+    n = F.col("doc_id") % 6
+    flat = F.trim(F.regexp_replace(F.regexp_replace("text", "[<>&]", " "), "\\s+", " "))
+    title = F.concat(F.lit("<title>2024/1</title></head><body><p class='x eli-main-title'>Regulation <b>"), F.when(n == 2, "2024/2").otherwise("2024/1"), F.lit("</b></p>"))
+    head = F.concat(F.lit("<p>Article "), F.when(n == 1, F.col("doc_id") + 1).otherwise(F.col("doc_id")), F.lit("</p>"))
+    node = F.concat(F.lit("<div id='art_"), F.when(n == 4, F.col("doc_id") + 1).otherwise(F.col("doc_id")), F.lit("'>"), head, F.lit("<p>"), flat, F.lit("</p>"), F.when(n == 3, F.lit("loose")).otherwise(""), F.lit("</div>"))
+    page = F.when(n == 5, F.lit("<html><p>unclosed</html>")).otherwise(F.concat(F.lit("<html xmlns='http://www.w3.org/1999/xhtml'><head>"), title, node, F.lit("</body></html>")))
+    rows = table(spark, d, "documents").select("doc_id", page.alias("body"), F.lit("2024/1").alias("number"), F.array(F.col("doc_id")).alias("wanted"))
+    return readers.articles(rows).select("doc_id", F.coalesce("article_text", F.lit("")).alias("article_text"), "broken")
+
+
 @query("SELECT page_id, regexp_matches(url, '^https://(?:publications\\.europa\\.eu|eur-lex\\.europa\\.eu)(?::443)?(?:[/?#]|$)') AS allowed FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN replace(url, regexp_extract(url, '://([^/?#]+)', 1), 'eur-lex.europa.eu') ELSE url END AS url FROM pages)")
 def url_allowlist(spark, d):
     """Every fifth page's host is put in place of an allowed one: the table has none."""
@@ -494,6 +638,82 @@ def _evaluated(spark, d):
     return evaluation.case_metrics(_cases(spark, d), got, evidence).withColumn("mode", F.lit("hybrid")).withColumn("elapsed_ms", (F.col("query_id") * 37 % 101).cast("double")), got, evidence
 
 
+_MODES = f"""WITH {VEC}, {QV}, {_QRELS},
+sc AS (SELECT query_id, CASE WHEN query_id % 4 = 0 THEN 'src' || (query_id % 20) END AS instrument, CASE WHEN query_id % 3 = 0 THEN 'en' END AS region FROM qs),
+own AS (SELECT *, coalesce(instrument, 'all') || '|' || coalesce(region, '') AS scope FROM sc),
+sdocs AS MATERIALIZED (SELECT scope, docs.* FROM (SELECT DISTINCT scope, instrument, region FROM own) s JOIN docs ON (instrument IS NULL OR instrument = instrument_id) AND (region IS NULL OR lang = region)),
+stats AS (SELECT scope, count(*) AS n, avg(len(tokens)::DOUBLE) AS mean FROM sdocs GROUP BY 1),
+posts AS MATERIALIZED (SELECT scope, doc_id, len(tokens) AS l, term, count(*) AS tf FROM (SELECT scope, doc_id, tokens, unnest(tokens) AS term FROM sdocs) GROUP BY ALL),
+dfs AS (SELECT scope, term, count(*) AS df FROM posts GROUP BY ALL),
+asked AS (SELECT query_id, scope, unnest(list_distinct(terms)) AS term FROM qs JOIN own USING (query_id)),
+bm AS MATERIALIZED (SELECT query_id, p.doc_id, sum(ln(1e0 + (n - df + 0.5e0) / (df + 0.5e0)) * tf * 2.5e0 / (tf + 1.5e0 * (0.25e0 + 0.75e0 * l / greatest(mean, 1e0)))) AS score
+  FROM asked a JOIN posts p USING (scope, term) JOIN dfs USING (scope, term) JOIN stats USING (scope) GROUP BY ALL),
+near AS MATERIALIZED (SELECT q.query_id, v.doc_id, list_dot_product(q.e, v.e) / (q.norm * v.norm) AS score FROM qv q JOIN own USING (query_id) JOIN sdocs USING (scope) JOIN vecs v USING (doc_id)),
+kr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm),
+dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM near),
+fused AS (SELECT query_id, doc_id, sum(1e0 / (60 + rank)) AS score FROM (SELECT * FROM kr WHERE rank <= 20 UNION ALL SELECT * FROM dr WHERE rank <= 20) GROUP BY ALL),
+fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM fused),
+three AS (SELECT 'keyword' AS mode, query_id, doc_id, rank FROM kr WHERE rank <= 3 UNION ALL SELECT 'dense', query_id, doc_id, rank FROM dr WHERE rank <= 3 UNION ALL SELECT 'hybrid', query_id, doc_id, rank FROM fr WHERE rank <= 3),
+hits AS (SELECT t.mode, t.query_id, t.rank, v.source_id, v.lang, v.review_status, v.tokens, terms, coalesce(b.score, 0) AS kw, CASE WHEN t.mode != 'keyword' THEN n.score END AS cosine
+  FROM three t JOIN docs v USING (doc_id) JOIN qs USING (query_id) LEFT JOIN bm b USING (query_id, doc_id) LEFT JOIN near n USING (query_id, doc_id)),
+per AS (SELECT mode, query_id, count(DISTINCT source_id) FILTER (list_contains(relevant, source_id)) AS good, count(DISTINCT source_id) AS found, min(rank) FILTER (list_contains(relevant, source_id)) AS first,
+    count(*) FILTER ({GATE}) > 0 AS given, list_sort(list(DISTINCT source_id) FILTER ({GATE} AND NOT list_contains(relevant, source_id))) AS unlabeled FROM hits JOIN cases USING (query_id) GROUP BY ALL),
+every AS (SELECT m.mode, c.*, good, found, first, coalesce(given, false) AS given, unlabeled FROM cases c CROSS JOIN (VALUES ('keyword'), ('dense'), ('hybrid')) m(mode) LEFT JOIN per p ON p.mode = m.mode AND p.query_id = c.query_id)"""
+
+
+def _scoped_cases(spark, d):
+    cases = _cases(spark, d).drop("jurisdiction")
+    region = F.when(F.col("query_id") % 3 == 0, "en")
+    scope = F.when(F.col("query_id") % 4 == 0, F.concat(F.lit("src"), F.col("query_id") % 20))
+    return settle(cases.join(views.questions(spark, d).drop("query"), "query_id").withColumn("region", region).withColumn("instrument", scope))
+
+
+@query(f"""{_MODES} SELECT mode, query_id, CASE WHEN len(relevant) > 0 THEN round(coalesce(good, 0) / len(relevant), 6) END AS recall_at_k, CASE WHEN len(relevant) > 0 THEN round(coalesce(1e0 / first, 0), 6) END AS reciprocal_rank,
+  CASE WHEN len(relevant) > 0 THEN round(coalesce(good / nullif(found, 0), 0), 6) END AS source_precision, given AS emitted_evidence, coalesce(unlabeled, []) AS unlabeled_sources FROM every""")
+def eval_modes(spark, d):
+    """All cases in three modes at depth three, each within its instrument and region."""
+    rows = evaluation.evaluate(views.with_vectors(spark, d), _scoped_cases(spark, d))
+    return rows.select("mode", "query_id", _r("recall_at_k"), _r("reciprocal_rank"), _r("source_precision"), "emitted_evidence", F.array_sort("unlabeled_sources").alias("unlabeled_sources"))
+
+
+@query(f"""{_MODES} SELECT mode, category, count(*) AS cases, round(avg(CASE WHEN len(relevant) > 0 THEN coalesce(good, 0) / len(relevant) END), 6) AS recall_at_k, round(avg(CASE WHEN len(relevant) > 0 THEN coalesce(1e0 / first, 0) END), 6) AS mrr_at_k,
+  round(avg((given = expect_evidence)::INT), 6) AS evidence_policy_accuracy FROM every GROUP BY GROUPING SETS ((mode), (mode, category))""")
+def eval_modes_summary(spark, d):
+    rows = evaluation.evaluate(views.with_vectors(spark, d), _scoped_cases(spark, d)).withColumn("elapsed_ms", F.lit(1.0))
+    return evaluation.summary(rows).select("mode", "category", "cases", "recall_at_k", "mrr_at_k", "evidence_policy_accuracy")
+
+
+@query(f"""{_MODES} SELECT mode, query_id, source_id, rank, round(kw, 6) AS keyword_score, round(cosine, 6) AS cosine_similarity FROM hits WHERE mode = 'hybrid'""")
+def search_scoped(spark, d):
+    """Hybrid search of each question within its instrument and region."""
+    some, asked = retrieval.scoped(views.with_vectors(spark, d), _scoped_cases(spark, d))
+    got = retrieval.search(settle(some), settle(asked), "hybrid", 3, scope=["scope"])
+    return got.select(F.lit("hybrid").alias("mode"), "query_id", F.col("chunk_id").alias("source_id"), F.col("rank").cast("long").alias("rank"), _r("keyword_score"), _r("cosine_similarity"))
+
+
+@query(f"""WITH {VEC}, {QV}, m AS MATERIALIZED (SELECT query_id, doc_id, count(*) AS n FROM (SELECT doc_id, unnest(tokens) AS term FROM docs) JOIN (SELECT query_id, unnest(list_distinct(terms)) AS term FROM qs) USING (term) GROUP BY ALL),{DENSE},
+kr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, 'doc-' || doc_id) AS rank FROM m),
+dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, 'doc-' || doc_id) AS rank FROM near),
+fused AS (SELECT query_id, doc_id, sum(1e0 / (60 + rank)) AS score FROM (SELECT query_id, doc_id, rank FROM kr WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, rank FROM dr WHERE rank <= 20) GROUP BY ALL),
+fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, 'doc-' || doc_id) AS rank FROM fused)
+SELECT query_id, 'doc-' || doc_id AS chunk_id, rank, round(f.score, 9) AS rrf_score, round(coalesce(n, 0) * 0.1e0, 6) AS keyword_score, round(near.score, 6) AS cosine_similarity
+FROM fr f LEFT JOIN m USING (query_id, doc_id) LEFT JOIN near USING (query_id, doc_id) WHERE rank <= 5""")
+def search_fulltext(spark, d):
+    """The database's way: text matches and vectors fused, all ties by chunk_id."""
+    got = retrieval.search_fulltext(views.with_vectors(spark, d), views.questions(spark, d))
+    return got.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), _r("rrf_score", 9), _r("keyword_score"), _r("cosine_similarity"))
+
+
+@query(f"""WITH {QS}, {_QRELS} SELECT query_id, unnest(list_filter([CASE WHEN query_id % 6 = 1 THEN 'category' END, CASE WHEN query_id % 6 = 2 AND len(relevant) > 0 THEN 'repeated_label' END,
+  CASE WHEN query_id % 6 = 3 AND len(relevant) = 0 THEN 'expects_without_label' END, CASE WHEN query_id % 6 = 4 AND len(relevant) > 0 THEN 'labels_without_expecting' END], lambda x: x IS NOT NULL)) AS rule FROM cases""")
+def eval_case_rules(spark, d):
+    """Cases that break one rule each, by number, under the stricter rules of paired evaluation."""
+    n = F.col("query_id") % 6
+    cases = _cases(spark, d).withColumn("category", F.when(n == 1, " ").otherwise(F.col("category"))).withColumn("relevant", F.when(n == 2, F.concat("relevant", "relevant")).otherwise(F.col("relevant")))
+    cases = cases.withColumn("expect_evidence", F.when(n == 3, True).when(n == 4, False).otherwise(F.col("expect_evidence")))
+    return evaluation.case_violations(cases, views.sources(spark, d), strict=True)
+
+
 @query(f"WITH {QS}, rel AS (SELECT item_id AS query_id, 'doc-' || doc_id AS source_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT query_id, 'unknown_source' AS rule FROM rel JOIN qs USING (query_id) WHERE substr(source_id, 5)::BIGINT % 4 = 0 GROUP BY 1")
 def eval_cases_validation(spark, d):
     """Cases against a corpus that lacks every fourth source."""
@@ -569,6 +789,34 @@ def variant_adoption(spark, d):
     return evaluation.adoption(evaluation.paired_summary(_paired(spark, d)), "hybrid")
 
 
+_SETS = "CASE query_id % 3 WHEN 0 THEN 'canonical' WHEN 1 THEN 'known' ELSE 'holdout' END"
+_SETPAIR = _PAIR.replace("pairs AS (\n  SELECT mode,", f"pairs AS (\n  SELECT mode, {_SETS} AS dataset,").replace("FROM lists GROUP BY 1)", "FROM lists GROUP BY ALL)")
+
+
+def _by_dataset(spark, d):
+    name = F.element_at(F.array(F.lit("canonical"), F.lit("known"), F.lit("holdout")), (F.col("query_id") % 3 + 1).cast("int"))
+    return settle(_paired(spark, d).withColumn("dataset", name))
+
+
+@query(f"""{_SETPAIR}, j AS (SELECT a.*, b.false_evidence_cases AS bf, b.mean_positive_source_precision AS bm, b.latency_p50_ms AS bl FROM pairs a JOIN pairs b ON a.dataset = b.dataset AND b.mode = 'hybrid' AND a.mode = 'keyword')
+SELECT mode AS variant, dataset || '_false_evidence' AS gate, false_evidence_cases <= bf AS passed FROM j UNION ALL SELECT mode, dataset || '_precision', coalesce(mean_positive_source_precision >= bm, false) FROM j
+UNION ALL SELECT mode, dataset || '_latency', latency_p50_ms <= bl * 4 FROM j UNION ALL SELECT mode, 'canonical_target_hits', target_evidence_hits = 5 FROM j WHERE dataset = 'canonical'
+UNION ALL SELECT mode, 'paraphrase_target_hits', target_evidence_hits >= 1 FROM j WHERE dataset = 'holdout'""")
+def indexing_adoption(spark, d):
+    """Three parts of the cases as datasets; keyword evidence as the variant of hybrid's."""
+    rows = evaluation.paired_summary(_by_dataset(spark, d).withColumnRenamed("mode", "variant"), ["variant", "dataset"])
+    return evaluation.indexing_adoption(rows, "hybrid", ("canonical", 5), ("holdout", 1))
+
+
+@query(f"""{_SETPAIR.replace("'keyword'", "'rerank'")}, b AS (SELECT * FROM pairs WHERE mode = 'hybrid'), r AS (SELECT * FROM pairs WHERE mode = 'rerank')
+SELECT dataset || '_target_hits' AS gate, target_evidence_hits >= CASE dataset WHEN 'canonical' THEN 5 WHEN 'known' THEN 2 ELSE 1 END AS passed FROM r
+UNION ALL SELECT r.dataset || '_false_evidence', r.false_evidence_cases <= CASE WHEN r.dataset = 'holdout' THEN least(2, b.false_evidence_cases) ELSE 0 END FROM r JOIN b USING (dataset)""")
+def reranker_adoption(spark, d):
+    """The same rows under the gates of a reranker."""
+    rows = _by_dataset(spark, d).withColumn("mode", F.when(F.col("mode") == "keyword", "rerank").otherwise(F.col("mode")))
+    return evaluation.reranker_adoption(evaluation.paired_summary(rows, ["mode", "dataset"]), {"canonical": (5, 0), "known": (2, 0), "holdout": (1, 0)})
+
+
 # ------------------------------------------------------------------ events
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS events, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def usage_events(spark, d):

@@ -37,3 +37,30 @@ def corpus_digest(chunks: DataFrame) -> DataFrame:
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """old with the rows of new in place of those of the same keys."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
+
+
+def corpus_upsert(old: DataFrame | None, chunks: DataFrame, manifest_row: DataFrame) -> DataFrame:
+    """The corpus table (corpus_id, model_id, and chunks' columns) with an index's chunks in place of those of their key.
+
+    All vectors are checked first: one that is not of the manifest's dimension fails the job, and nothing is changed.
+    """
+    m = manifest_row.select("corpus_sha256", "model_id", "dimension").first()
+    new = require_vectors(chunks, m.dimension).select(F.lit(m.corpus_sha256).alias("corpus_id"), F.lit(m.model_id).alias("model_id"), "*")
+    return new if old is None else upserted(old, new, ["corpus_id", "model_id", "chunk_id"])
+
+
+def write_once(rows: DataFrame, path: str, kind: str = "json") -> None:
+    """A report, snapshot or review export in a folder of its own; an existing one fails the write."""
+    rows.write.mode("errorifexists").format(kind).save(path)
+
+
+def write_snapshot(path: str, documents: DataFrame, coverage: DataFrame) -> None:
+    """An import: the documents as lines, and their coverage by instrument; neither is ever overwritten."""
+    write_once(documents, f"{path}/documents")
+    write_once(coverage, f"{path}/coverage")
+
+
+def write_reviews(path: str, answers: DataFrame, rendered: DataFrame) -> None:
+    """Reviews as records, and as Markdown by query; neither is ever overwritten."""
+    write_once(answers, f"{path}/evidence")
+    write_once(rendered, f"{path}/markdown")
