@@ -74,7 +74,12 @@ def host_edges(pages: DataFrame) -> DataFrame:
     by_host = edges.groupBy("host").agg(F.sum("out").alias("host_out"), F.sum("into").alias("host_in"))
     by_target = edges.groupBy("target").agg(F.sum("out").alias("target_out"), F.sum("into").alias("target_in"))
     share = lambda part, whole: F.when(F.col(whole) > 0, F.col(part).cast("double") / F.col(whole)).otherwise(F.lit(0.0))
-    return settle(edges.join(by_host, "host").join(by_target, "target").select("host", "target", share("out", "host_out").alias("ahead_1"), share("into", "target_in").alias("ahead_2"), share("into", "host_in").alias("back_1"), share("out", "target_out").alias("back_2")))
+    return _few_files(edges.join(by_host, "host").join(by_target, "target").select("host", "target", share("out", "host_out").alias("ahead_1"), share("into", "target_in").alias("ahead_2"), share("into", "host_in").alias("back_1"), share("out", "target_out").alias("back_2")), edges.count())
+
+
+def _few_files(df: DataFrame, rows: int, rows_a_task: int = 100_000) -> DataFrame:
+    """df settled in no more tasks than its number of rows asks for, so that many rounds leave few files."""
+    return settle(df.coalesce(max(1, -(-rows // rows_a_task))))
 
 
 def rounds_for(tolerance: float, damping: float) -> int:
@@ -92,17 +97,21 @@ def host_scores(pages: DataFrame, tolerance: float = 0.05, damping: float = 0.85
     pages = pages.where("host != ''")
     counts = settle(pages.groupBy("host").agg(F.count(F.when(F.col("ruled") == "allow", 1)).alias("good"), F.count(F.when(F.col("ruled") == "block", 1)).alias("bad")).where("good + bad > 0"))
     good, bad = counts.agg(F.coalesce(F.sum("good"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first()
-    now = settle(counts.select("host", F.floor(F.col("good") * float(UNITS) / max(good, 1)).alias("trust"), F.floor(F.col("bad") * float(UNITS) / max(bad, 1)).alias("distrust")))
+    now = _few_files(counts.select("host", F.floor(F.col("good") * float(UNITS) / max(good, 1)).alias("trust"), F.floor(F.col("bad") * float(UNITS) / max(bad, 1)).alias("distrust")), counts.count())
     stay = now.select("host", F.floor(F.col("trust") * (1 - damping)).alias("trust"), F.floor(F.col("distrust") * (1 - damping)).alias("distrust"))
     edges = host_edges(pages)
     if edges.isEmpty():  # every round gives the same
         return stay
     both = [F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")]
+    hosts, targets = (edges.select(c).distinct().count() for c in ("host", "target"))
+    hosts += counts.count()  # seeds that no edge reaches have scores too
+    # scores of few hosts or targets are broadcast; those of many are joined by a shuffle
+    sent = lambda df, n: F.broadcast(df) if n <= 500_000 else df
     for _ in range(rounds_for(tolerance, damping)):
-        on = edges.join(now, "host").select("target", F.floor(F.col("trust") * damping * F.col("ahead_1")).alias("trust"), F.floor(F.col("distrust") * damping * F.col("back_1")).alias("distrust"))
+        on = edges.join(sent(now, hosts), "host").select("target", F.floor(F.col("trust") * damping * F.col("ahead_1")).alias("trust"), F.floor(F.col("distrust") * damping * F.col("back_1")).alias("distrust"))
         on = on.groupBy("target").agg(*both).where("trust > 0 or distrust > 0")
-        to = edges.join(on, "target").select("host", F.floor(F.col("trust") * F.col("ahead_2")).alias("trust"), F.floor(F.col("distrust") * F.col("back_2")).alias("distrust"))
-        now = settle(stay.unionByName(to).groupBy("host").agg(*both))
+        to = edges.join(sent(on, targets), "target").select("host", F.floor(F.col("trust") * F.col("ahead_2")).alias("trust"), F.floor(F.col("distrust") * F.col("back_2")).alias("distrust"))
+        now = _few_files(stay.unionByName(to).groupBy("host").agg(*both), hosts)
     return now
 
 
