@@ -130,7 +130,7 @@ def nearest(block: np.ndarray, lows: np.ndarray, query: np.ndarray, rough: np.nd
     return rows[best], scores[best]
 
 
-def search(rows: DataFrame, is_query, k: int = 20, sample: int = 12288, rows_a_part: int = 512, recall: float = 0.93, block_rows: int = 16384) -> DataFrame:
+def search(rows: DataFrame, is_query, k: int = 20, sample: int = 4096, rows_a_part: int = 512, recall: float = 0.93, block_rows: int = 16384) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found by inner product for each query row.
 
     rows: id, vector (array<double>, finite, not all zero). is_query: a condition on id. Queries look for every
