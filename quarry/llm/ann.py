@@ -130,15 +130,16 @@ def nearest(block: np.ndarray, lows: np.ndarray, query: np.ndarray, rough: np.nd
     return rows[best], scores[best]
 
 
-def search(rows: DataFrame, is_query, k: int = 20, sample: int = 4096, rows_a_part: int = 512, recall: float = 0.93, block_rows: int = 16384) -> DataFrame:
+def search(rows: DataFrame, is_query, k: int = 20, sample: int = 4096, recall: float = 0.93, block_rows: int = 16384) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found by inner product for each query row.
 
     rows: id, vector (array<double>, finite, not all zero). is_query: a condition on id. Queries look for every
     row but those of their own id; ties go to the smaller id. Rows whose id or vector is null take no part; a
     vector meets only those of its own length; repeated rows are one; an empty table gives no rows.
 
-    Partitions are learned on a sample of at most `sample` distinct vectors (the smallest digests): one for each
-    rows_a_part vectors of the table, and at least 48 of the sample to each. The number of parts to search is the
+    Partitions are learned on a sample of at most `sample` distinct vectors (the smallest digests): as many as the root
+    of the table's vectors, so that lists for each query and part do not grow with the square of the table, with 48 of
+    the sample to each at least. The number of parts to search is the
     smallest that finds the share `recall` of true neighbours of sampled rows that the router has not seen. Every
     row is indexed by the router. A part of any size is searched in blocks of about block_rows vectors.
     """
@@ -149,7 +150,7 @@ def search(rows: DataFrame, is_query, k: int = 20, sample: int = 4096, rows_a_pa
     for (length, count) in groups.groupBy(F.size("vector")).count().collect():
         of_length = groups.where(F.size("vector") == length)
         x = matrix(of_length.orderBy("gid", "vector").limit(sample).select("vector").toArrow().column("vector").combine_chunks())
-        router, probes = fit(x, max(1, min(count // rows_a_part, len(x) // 48)), k, recall)
+        router, probes = fit(x, max(1, min(int(count**0.5), len(x) // 48)), k, recall)
 
         def route(batches, router=router, probes=probes):
             for batch in batches:
