@@ -467,12 +467,23 @@ def span_repair(spark, d):
     return review.verify_spans(rows, s, old_windows=True).select("doc_id", "old", "char_start", "span_ok")
 
 
-@query()
+@query(f"""{_CHUNKS},
+widths AS (SELECT h.query_id, h.rank, h.source_id, h.ord % 1000000 AS hit_start, h.text AS hit, s.text AS full_text, s.source_title, q.query, greatest(320, length(h.text)) AS shortest,
+             unnest([1600, 1400, 1200, 1000, 800, 600, 400, 320]) AS w
+      FROM hits h JOIN src s USING (source_id) JOIN qs q USING (query_id)),
+ends AS (SELECT *, least(length(full_text), greatest(0, hit_start - least(640, (w - shortest) // 2)) + w) AS w_end FROM widths),
+passages AS (SELECT *, greatest(0, w_end - w) AS w_start, substr(full_text, (greatest(0, w_end - w) + 1)::BIGINT, (w_end - greatest(0, w_end - w))::BIGINT) AS passage FROM ends),
+fits AS (SELECT *, row_number() OVER (PARTITION BY query_id, source_id, hit_start ORDER BY w DESC) AS nth FROM passages
+      WHERE len(regexp_extract_all(query, '\\S+')) + len(regexp_extract_all(source_title || chr(10) || passage, '\\S+')) <= 512),
+firsts AS (SELECT *, sha256(passage) AS content_sha256, row_number() OVER (PARTITION BY query_id, source_id, w_start, w_end ORDER BY rank) AS one FROM fits WHERE nth = 1)
+SELECT query_id, rank, source_id || ':context:' || w_start || ':' || w_end || ':' || substr(content_sha256, 1, 12) AS chunk_id,
+       source_id || ':' || hit_start || ':' || substr(sha256(hit), 1, 12) AS matched_chunk_id, w_start::BIGINT AS char_start, w_end::BIGINT AS char_end, content_sha256
+FROM firsts WHERE one = 1""")
 def context_windows(spark, d):
     """Windows around the chunks that hold a query's text best; words stand in for a model's tokens."""
     s = views.sources(spark, d)
     out = review.context_windows(_chunk_hits(spark, d), s, lambda a, b: fx.word_count(a) + fx.word_count(b))
-    return out.select("query_id", "rank", "chunk_id", "matched_chunk_id", "char_start", "char_end", "content_sha256")
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "matched_chunk_id", "char_start", "char_end", "content_sha256")
 
 
 _ANSWER = f"""{REVIEW},
