@@ -23,7 +23,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked SimHash fingerprints: the smallest doc_id; blank texts are one group."""
+    """One document of each group of near-duplicates, five words and a similarity of 0.8: the smallest doc_id.
+
+    Blank texts are one group.
+    """
     return keep_one(docs)
 
 

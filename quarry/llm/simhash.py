@@ -1,4 +1,8 @@
-"""SimHash near-duplicates: a binary trie of fingerprints joined with itself under a Hamming error budget."""
+"""SimHash near-duplicates: a binary trie of fingerprints joined with itself under a Hamming error budget.
+
+near_duplicates() links fingerprints of three-word shingles by their differing bits alone. near_copies() takes the
+links that the trie join proposes as candidates and settles each by the texts: five words, a similarity of 0.8.
+"""
 
 from __future__ import annotations
 
@@ -20,23 +24,34 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     """
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
+    joined, starts, ends = shingles(text, width)
+    if not ends:
         return 0
-    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
-    ends = ends.tolist()[min(width, len(words)) - 1 :]
+    digest = xxhash.xxh64_intdigest
     total = np.zeros(64, np.int64)
     for i in range(0, len(ends), 1 << 16):
         part = ends[i : i + (1 << 16)]
         h = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[i : i + len(part)], part)), np.uint64, len(part))
-        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int64)
+        total += _ones(h)
     on = np.flatnonzero(2 * total > len(ends))
     return int(sum(1 << int(b) for b in on))
 
 
+def shingles(text: str | None, width: int) -> tuple[bytes, list[int], list[int]]:
+    """(words joined by spaces, starts, ends) of a text's shingles; one of all words if they are fewer, none if none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return b"", [], []
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1)).tolist()
+    return b" ".join(words), starts, ends.tolist()[min(width, len(words)) - 1 :]
+
+
+def _ones(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set, lowest bit first."""
+    return np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, __q_id, __q_text, fp) for every row; fp is the fingerprint's bits as a signed long."""
 
@@ -49,23 +64,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", *key_of()).mapInArrow(run, "doc_id long, __q_id long, __q_text long, fp long")
 
 
-def trie_links(fps: np.ndarray, roots: np.ndarray, budget: int = 3, most: int = 200_000) -> np.ndarray:
-    """Labels of fps such that members of a group with budget or fewer differing bits, and what they link, share one.
+def descend(fps: np.ndarray, roots: np.ndarray, budget: int, bits: int, alike, most: int):
+    """Pairs of leaf runs (a, b, c, e) whose fingerprints differ in budget or fewer of their highest bits.
 
     fps: uint64, sorted within each group; group i is fps[roots[i] : roots[i + 1]], the leaves of one binary trie.
     A trie node is a run of leaves. Pairs of nodes go down the trie together, the differing bits add up, and a
-    pair over the budget is cut off. A pair whose leaves all carry one label already has nothing more to say and
-    is cut off too. Pairs wait on a stack in parts of bounded size.
+    pair over the budget is cut off, as is one of which alike(a, b, c, e) holds. Pairs wait on a stack in parts of
+    bounded size.
     """
-    n = len(fps)
-    label = np.arange(n)
-    ones = None
     lo, hi = roots[:-1], roots[1:]
     wide = hi - lo > 1
     stack = [(0, np.stack([lo[wide], hi[wide], lo[wide], hi[wide], np.zeros(int(wide.sum()), np.int64)]))]
-    # shifts: a trie over bits from high to low; prefix counts of ones split a run into its two children
-    ones = [np.concatenate(([0], np.cumsum(((fps >> np.uint64(63 - d)) & ONE).astype(np.int64)))) for d in range(64)]
-    changes, stale = None, True
+    # from high to low bits: prefix counts of ones split a run into its two children
+    ones = [np.concatenate(([0], np.cumsum(((fps >> np.uint64(63 - d)) & ONE).astype(np.int64)))) for d in range(bits)]
     while stack:
         depth, pairs = stack.pop()
         if not pairs.shape[1]:
@@ -74,19 +85,15 @@ def trie_links(fps: np.ndarray, roots: np.ndarray, budget: int = 3, most: int =
             for i in range(0, pairs.shape[1], most):
                 stack.append((depth, pairs[:, i : i + most]))
             continue
-        if stale:
-            changes, stale = np.concatenate(([0], np.cumsum(label[1:] != label[:-1]))), False
+        pairs = pairs[:, ~alike(*pairs[:4])]
         a, b, c, e, diff = pairs
-        one = (changes[b - 1] == changes[a]) & (changes[e - 1] == changes[c]) & (label[a] == label[c])
-        a, b, c, e, diff = pairs[:, ~one]
-        if depth == 64:
+        if depth == bits:
             if len(a):
-                label, stale = _merge(label, a, c), True
+                yield a, b, c, e
             continue
         count = ones[depth]
         mid, mid2 = b - (count[b] - count[a]), e - (count[e] - count[c])
-        same = (a == c) & (b == e)
-        other = ~same
+        other = ~((a == c) & (b == e))
         parts = [
             np.stack([a, mid, c, mid2, diff]),
             np.stack([mid, b, mid2, e, diff]),
@@ -97,9 +104,51 @@ def trie_links(fps: np.ndarray, roots: np.ndarray, budget: int = 3, most: int =
         size_a, size_b = nxt[1] - nxt[0], nxt[3] - nxt[2]
         own = (nxt[0] == nxt[2]) & (nxt[1] == nxt[3])
         stack.append((depth + 1, nxt[:, (size_a > 0) & (size_b > 0) & (nxt[4] <= budget) & ~(own & (size_a == 1))]))
+
+
+def trie_links(fps: np.ndarray, roots: np.ndarray, budget: int = 3, most: int = 200_000, bits: int = 64) -> np.ndarray:
+    """Labels of fps such that members of a group with budget or fewer differing bits, and what they link, share one.
+
+    fps are distinct and sorted within each group, as descend() takes them. A pair of nodes whose leaves all carry
+    one label already has nothing more to say and is cut off.
+    """
+    label = np.arange(len(fps))
+    changes = None
+
+    def alike(a, b, c, e):
+        nonlocal changes
+        if changes is None:
+            changes = np.concatenate(([0], np.cumsum(label[1:] != label[:-1])))
+        return (changes[b - 1] == changes[a]) & (changes[e - 1] == changes[c]) & (label[a] == label[c])
+
+    for a, _, c, _ in descend(fps, roots, budget, bits, alike, most):
+        label, changes = _merge(label, a, c), None
     return label
 
 
+def trie_pairs(fps: np.ndarray, roots: np.ndarray, label: np.ndarray, budget: int, bits: int, most: int = 200_000):
+    """(i, k) arrays of all places of a group with budget or fewer differing bits and different labels.
+
+    fps may repeat within a group and are sorted there. Pairs of nodes whose leaves all carry one label are cut off.
+    """
+    changes = np.concatenate(([0], np.cumsum(label[1:] != label[:-1])))
+
+    def alike(a, b, c, e):
+        return (changes[b - 1] == changes[a]) & (changes[e - 1] == changes[c]) & (label[a] == label[c])
+
+    for a, b, c, e in descend(fps, roots, budget, bits, alike, most):
+        size = (b - a) * (e - c)
+        upto = np.cumsum(size)
+        for start in range(0, int(upto[-1]), most):
+            at = np.arange(start, min(start + most, int(upto[-1])))
+            which = np.searchsorted(upto, at, "right")
+            left = at - (upto[which] - size[which])
+            i, k = a[which] + left // (e - c)[which], c[which] + left % (e - c)[which]
+            keep = (label[i] != label[k]) & ((a[which] != c[which]) | (i < k))
+            if keep.any():
+                yield i[keep], k[keep]
+
+
 def _merge(label: np.ndarray, a: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Labels after linking a with c: each class takes its smallest label."""
     x, y = label[a], label[c]
@@ -142,18 +191,6 @@ def links(fps: DataFrame, budget: int = 3, hot: int = 200_000) -> DataFrame:
     for d in done:
         rows = rows.unionByName(d)
 
-    def run(batches):
-        held = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            keys = t.column("key").combine_chunks()
-            last = keys[len(keys) - 1].as_py()
-            first = _first(keys, last)
-            held = t.slice(first)
-            yield from solve(t.slice(0, first))
-        if held is not None:
-            yield from solve(held)
-
     def solve(t):
         if not t.num_rows:
             return
@@ -167,11 +204,28 @@ def links(fps: DataFrame, budget: int = 3, hot: int = 200_000) -> DataFrame:
         if len(moved):
             yield pa.RecordBatch.from_arrays([pa.array(fp[moved].view(np.int64)), pa.array(fp[label[moved]].view(np.int64))], ["a", "b"])
 
-    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    return by_key(rows, solve, "a long, b long")
+
+
+def by_key(rows: DataFrame, solve, schema: str) -> DataFrame:
+    """What solve(table) yields for whole keys of rows (column key), some keys at a time."""
 
+    def run(batches):
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            keys = t.column("key").combine_chunks()
+            first = _first(keys, keys[len(keys) - 1].as_py())
+            held = t.slice(first)
+            yield from solve(t.slice(0, first))
+        if held is not None:
+            yield from solve(held)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, schema)
 
-def _first(keys, last: str) -> int:
+
+def _first(keys, last) -> int:
     import pyarrow.compute as pc
 
     return pc.index(keys, last).as_py()
@@ -208,14 +262,171 @@ def near_duplicates(docs: DataFrame, budget: int = 3) -> DataFrame:
     return join_hot(rows, named, ["fp"], "__q_n")
 
 
-def keep_one(docs: DataFrame, budget: int = 3) -> DataFrame:
-    """docs with one document of each near-duplicate group: that of the smallest doc_id, then text hash.
+#: Odd multipliers that make several hashes of one: multiples of 2**64 over the golden ratio.
+SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64) for i in range(6)]
+#: The bits that they give are cut into words of 32, and each word of a text into three blocks, one equal at two errors.
+WORDS, ERRORS, BLOCKS = 12, 2, ((0, 11), (11, 22), (22, 32))
+
+
+def sketch(text: str | None) -> tuple[bytes, bytes]:
+    """(128-bit digest of a text's words, its SimHash bits over distinct two-word shingles: WORDS words of 32).
+
+    One changed word touches two such shingles where it touches five of five words, so texts that are alike at 0.8
+    in those differ in few bits here. A text without words has bits zero.
+    """
+    import xxhash
+
+    joined, starts, ends = shingles(text, 2)
+    digest = xxhash.xxh64_intdigest
+    h = np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends)), np.uint64, len(ends)))
+    total = np.zeros((len(SEEDS), 64), np.int64)
+    for i in range(0, len(h), 1 << 14):
+        for k, seed in enumerate(SEEDS):
+            x = h[i : i + (1 << 14)] * seed
+            x = (x ^ (x >> np.uint64(32))) * SEEDS[0]
+            total[k] += _ones(x ^ (x >> np.uint64(29)))
+    return xxhash.xxh3_128_digest(joined), np.packbits(2 * total > len(h), bitorder="little").tobytes()
+
+
+def shingle_set(text: str | None, width: int) -> bytes:
+    """A text's distinct shingles as sorted 64-bit hashes."""
+    import xxhash
+
+    joined, starts, ends = shingles(text, width)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends)), "<u8", len(ends))).tobytes()
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Shingles that both sets have over those that either has."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def _tries(texts: DataFrame, words: int) -> DataFrame:
+    """(key, w, n, root): each of the first words of texts (n, bits, root), once for each block that may be equal."""
+
+    def run(batches):
+        for batch in batches:
+            n, root = (batch.column(c).to_numpy() for c in ("n", "root"))
+            w = np.frombuffer(b"".join(batch.column("bits").to_pylist()), "<u4").reshape(-1, WORDS).astype(np.int64)
+            for p in range(words):
+                for j, (a, b) in enumerate(BLOCKS):
+                    key = ((p * len(BLOCKS) + j) << 32) | ((w[:, p] >> a) & ((1 << (b - a)) - 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, w[:, p], n, root)], ["key", "w", "n", "root"])
+
+    return texts.select("n", "bits", "root").mapInArrow(run, "key long, w long, n long, root long")
+
+
+def _trie_of(t: pa.Table) -> tuple:
+    """(key, fps, n, root, roots) of whole keys, sorted by key, then by word."""
+    key, w, n, root = (t.column(c).to_numpy() for c in ("key", "w", "n", "root"))
+    # equal words stand in an order that each key deals anew
+    order = np.lexsort(((n ^ key).astype(np.uint64) * SEEDS[1], w, key))
+    key, w = key[order], w[order]
+    roots = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+    return key, w.astype(np.uint64) << np.uint64(32), n[order], root[order], roots
+
+
+def _forest(texts: DataFrame, words: int) -> DataFrame:
+    """(a, b): candidates that span what each trie links; every text with a candidate is in one of them."""
+
+    def solve(t):
+        if not t.num_rows:
+            return
+        key, fps, n, _, _ = _trie_of(t)
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (fps[1:] != fps[:-1])))
+        head, run_of = np.flatnonzero(new), np.cumsum(new) - 1
+        roots = np.concatenate(([0], np.flatnonzero(key[head][1:] != key[head][:-1]) + 1, [len(head)]))
+        label = trie_links(fps[head], roots, ERRORS, bits=32)
+        to = head[run_of]  # a run's members go to its head, heads to the head of their label
+        to[head] = head[label]
+        moved = np.flatnonzero(to != np.arange(len(to)))
+        if len(moved):
+            yield pa.RecordBatch.from_arrays([pa.array(n[moved]), pa.array(n[to[moved]])], ["a", "b"])
+
+    found = by_key(_tries(texts, words), solve, "a long, b long")
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _candidates(texts: DataFrame) -> DataFrame:
+    """(a, b): all pairs of texts with different roots that have ERRORS or fewer differing bits in one of their words."""
+
+    def solve(t):
+        if not t.num_rows:
+            return
+        _, fps, n, root, roots = _trie_of(t)
+        for i, k in trie_pairs(fps, roots, root, ERRORS, 32):
+            yield pa.RecordBatch.from_arrays([pa.array(n[i]), pa.array(n[k])], ["a", "b"])
+
+    found = by_key(_tries(texts, WORDS), solve, "a long, b long")
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those of pairs whose shingle sets, of sets (n, shingles), have a similarity of least or more."""
+
+    def run(batches):
+        for batch in batches:
+            keep = [similarity(x.as_py(), y.as_py()) >= least for x, y in zip(batch.column("x"), batch.column("y"))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    left = sets.select(F.col("n").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("n").alias("b"), F.col("shingles").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """(__q_id, __q_text, digest, root) for every row of docs; rows of one near-duplicate group share a root.
+
+    Texts of equal words are one text. Two texts are linked if the trie join of their sketches proposes them and their
+    shingles of `width` words (all words, if fewer) have a similarity of `least` or more: proposals may miss a link,
+    none is wrong. Groups are what links connect. First each text is checked against a few of its proposals, so that a
+    large group of copies becomes one, then all proposals between different groups are checked. Null and blank texts
+    are one group; repeated rows share a group; an empty table gives no rows.
+    """
+
+    def read(batches):
+        for batch in batches:
+            both = [sketch(t.as_py()) for t in batch.column("text")]
+            digest, bits = (pa.array([x[i] for x in both], pa.binary()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("__q_id"), batch.column("__q_text"), digest, bits], ["__q_id", "__q_text", "digest", "bits"])
+
+    def hashed(batches):
+        for batch in batches:
+            held = pa.array([shingle_set(t.as_py(), width) for t in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("n"), held], ["n", "shingles"])
+
+    keyed = docs.select(*key_of(), F.col("text").cast("string").alias("text"))
+    rows = settle(keyed.mapInArrow(read, "__q_id long, __q_text long, digest binary, bits binary"))
+    each = rows.groupBy("digest").agg(F.min(F.struct("__q_id", "__q_text")).alias("k"), F.min("bits").alias("bits"), F.count("*").alias("__q_n"))
+    texts = settle(each.select(F.monotonically_increasing_id().alias("n"), "digest", "k.*", "bits", "__q_n"))
+    alone = texts.withColumn("root", F.col("n"))
+
+    forest = settle(_forest(alone, WORDS))
+    touched = forest.select(F.explode(F.array("a", "b")).alias("n")).distinct()
+    asked = settle(texts.join(touched, "n").select("n", "__q_id", "__q_text", "__q_n"))
+    found = join_hot(keyed, asked, ["__q_id", "__q_text"], "__q_n")
+    sets = settle(found.groupBy("n").agg(F.min("text").alias("text")).mapInArrow(hashed, "n long, shingles binary"))
+
+    first = settle(_alike(_forest(alone, 2), sets, least))
+    group = components(first)
+    joined = settle(alone.drop("root").join(touched, "n").join(group, F.col("n") == F.col("node"), "left").select("n", "bits", F.coalesce("root", "n").alias("root")))
+    rest = settle(_alike(_candidates(joined), sets, least))
+    group = components(first.unionByName(rest))
+    named = texts.join(group, texts.n == group.node, "left").select("digest", F.coalesce("root", "n").alias("root"), "__q_n")
+    return join_hot(rows.drop("bits"), settle(named), ["digest"], "__q_n")
+
+
+def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """docs with one document of each group of near_copies(): that of the smallest doc_id, then text hash.
 
     Of repeated rows one stays, any of them, as they are equal in id and text; null texts are one group with blank
     ones; a null doc_id ranks before all others, and a document without one stays if it is in no other group. An
     empty table gives no rows. Columns are those of docs.
     """
-    rows = near_duplicates(docs, budget)
+    rows = near_copies(docs, width, least)
     best = rows.groupBy("root").agg(F.min(F.struct("__q_id", "__q_text")).alias("k")).select("k.*")
     order = W.partitionBy("__q_id", "__q_text").orderBy("__q_id")
     keyed = docs.select("*", *key_of())
