@@ -304,14 +304,14 @@ def similarity(a: bytes, b: bytes) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
-def _tries(texts: DataFrame, words: int) -> DataFrame:
-    """(key, w, n, root): each of the first words of texts (n, bits, root), once for each block that may be equal."""
+def _tries(texts: DataFrame) -> DataFrame:
+    """(key, w, n, root): each word of the bits of texts (n, bits, root), once for each block that may be equal."""
 
     def run(batches):
         for batch in batches:
             n, root = (batch.column(c).to_numpy() for c in ("n", "root"))
             w = np.frombuffer(b"".join(batch.column("bits").to_pylist()), "<u4").reshape(-1, WORDS).astype(np.int64)
-            for p in range(words):
+            for p in range(WORDS):
                 for j, (a, b) in enumerate(BLOCKS):
                     key = ((p * len(BLOCKS) + j) << 32) | ((w[:, p] >> a) & ((1 << (b - a)) - 1))
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, w[:, p], n, root)], ["key", "w", "n", "root"])
@@ -329,7 +329,7 @@ def _trie_of(t: pa.Table) -> tuple:
     return key, w.astype(np.uint64) << np.uint64(32), n[order], root[order], roots
 
 
-def _forest(texts: DataFrame, words: int) -> DataFrame:
+def _forest(texts: DataFrame) -> DataFrame:
     """(a, b): candidates that span what each trie links; every text with a candidate is in one of them."""
 
     def solve(t):
@@ -346,7 +346,7 @@ def _forest(texts: DataFrame, words: int) -> DataFrame:
         if len(moved):
             yield pa.RecordBatch.from_arrays([pa.array(n[moved]), pa.array(n[to[moved]])], ["a", "b"])
 
-    found = by_key(_tries(texts, words), solve, "a long, b long")
+    found = by_key(_tries(texts), solve, "a long, b long")
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -360,7 +360,7 @@ def _candidates(texts: DataFrame) -> DataFrame:
         for i, k in trie_pairs(fps, roots, root, ERRORS, 32):
             yield pa.RecordBatch.from_arrays([pa.array(n[i]), pa.array(n[k])], ["a", "b"])
 
-    found = by_key(_tries(texts, WORDS), solve, "a long, b long")
+    found = by_key(_tries(texts), solve, "a long, b long")
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -382,8 +382,8 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
 
     Texts of equal words are one text. Two texts are linked if the trie join of their sketches proposes them and their
     shingles of `width` words (all words, if fewer) have a similarity of `least` or more: proposals may miss a link,
-    none is wrong. Groups are what links connect. First each text is checked against a few of its proposals, so that a
-    large group of copies becomes one, then all proposals between different groups are checked. Null and blank texts
+    none is wrong. Groups are what links connect. First each text is checked against some of its proposals, at most one
+    for each trie that it is in, so that a large group of copies becomes one; then all proposals between different groups. Null and blank texts
     are one group; repeated rows share a group; an empty table gives no rows.
     """
 
@@ -404,13 +404,13 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
     texts = settle(each.select(F.monotonically_increasing_id().alias("n"), "digest", "k.*", "bits", "__q_n"))
     alone = texts.withColumn("root", F.col("n"))
 
-    forest = settle(_forest(alone, WORDS))
+    forest = settle(_forest(alone))
     touched = forest.select(F.explode(F.array("a", "b")).alias("n")).distinct()
     asked = settle(texts.join(touched, "n").select("n", "__q_id", "__q_text", "__q_n"))
     found = join_hot(keyed, asked, ["__q_id", "__q_text"], "__q_n")
     sets = settle(found.groupBy("n").agg(F.min("text").alias("text")).mapInArrow(hashed, "n long, shingles binary"))
 
-    first = settle(_alike(_forest(alone, 2), sets, least))
+    first = settle(_alike(forest, sets, least))
     group = components(first)
     joined = settle(alone.drop("root").join(touched, "n").join(group, F.col("n") == F.col("node"), "left").select("n", "bits", F.coalesce("root", "n").alias("root")))
     rest = settle(_alike(_candidates(joined), sets, least))
