@@ -49,9 +49,11 @@ def key_of(doc_id: str = "doc_id", text: str = "text") -> list:
     return [F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("__q_id"), F.xxhash64(F.col(text)).alias("__q_text")]
 
 
-def join_hot(rows: DataFrame, right: DataFrame, keys: list[str], count: str, parts: int = 1000) -> DataFrame:
+def join_hot(rows: DataFrame, right: DataFrame, keys: list[str], count: str, parts: int = 1000, how: str = "inner") -> DataFrame:
     """rows joined with right, which has one row for each of keys and, as `count`, how many rows hold it.
 
+    how: "inner", or "left" to keep rows that right has nothing for.
+
     Keys that hold more than one in `parts` of all counted rows are fewer than `parts`: they are broadcast and their
     rows stay where they are. The others are shuffled, and none of them fills a task. Both inputs should be settled,
     as they are read twice. The column `count` is left out.
@@ -60,7 +62,7 @@ def join_hot(rows: DataFrame, right: DataFrame, keys: list[str], count: str, par
     hot = right.where(F.col(count) > max(1, total // parts))
     cold = right.where(F.col(count) <= max(1, total // parts)).drop(count)
     few = F.broadcast(hot.drop(count))  # fewer than `parts` rows
-    return rows.join(few, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys))
+    return rows.join(few, keys).unionByName(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how), allowMissingColumns=True)
 
 
 def global_row_number(df: DataFrame, order: list, out: str) -> DataFrame:

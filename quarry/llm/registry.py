@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .ann import op10_learned_partitions
 from .exact_topk import OP3_SQL, op3_exact_topk
+from .hard_negatives import OP13_SQL, op13_hard_negatives
 from .mixing import OP2_SQL, op2_source_mixing
 from .packing import op7_harmonic_packing
 from .preferences import OP8_SQL, op8_preference_format
+from .repair import op12_conversation_repair
 from .simhash import op6_simhash
 from .token_files import op5_token_files
 from .toxicity import op4_toxicity
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_preference_format": op8_preference_format,
     "op9_line_dedup": op9_line_dedup,
     "op10_learned_partitions": op10_learned_partitions,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLE = {"op1_url_filters": op1_sql(), "op2_source_mixing": OP2_SQL, "op3_exact_topk": OP3_SQL, "op8_preference_format": OP8_SQL}
+ORACLE = {"op1_url_filters": op1_sql(), "op2_source_mixing": OP2_SQL, "op3_exact_topk": OP3_SQL, "op8_preference_format": OP8_SQL, "op13_hard_negatives": OP13_SQL}

@@ -69,6 +69,49 @@ def stream_blocks(candidates: DataFrame, queries: DataFrame, solve, k: int) -> D
     return both.mapInArrow(run, "qid string, score double, ids array<long>")
 
 
+def scan_blocks(candidates: DataFrame, queries: DataFrame, opened, schema: str, parts: int | None = None) -> DataFrame:
+    """What the blocks of candidates yield: each block is read whole by one task, and then its queries, batch by batch.
+
+    candidates and queries carry the column block, of one type, and columns of their own. opened(candidates), of a
+    pyarrow table of one block, gives an object whose ask(queries), of a table, and end() yield record batches of schema.
+    A task holds one block and one batch of queries at a time. Queries of a block without candidates yield nothing.
+    """
+    n = parts or int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = [F.struct(*[c for c in df.columns if c != "block"]) for df in (candidates, queries)]
+    kind = [df.select(c.alias("c")).schema["c"].dataType for df, c in zip((candidates, queries), own)]
+    left = candidates.select("block", F.lit(False).alias("asks"), own[0].alias("c"), F.lit(None).cast(kind[1]).alias("q"))
+    right = queries.select("block", F.lit(True).alias("asks"), F.lit(None).cast(kind[0]).alias("c"), own[1].alias("q"))
+    both = left.unionByName(right).repartition(n, "block").sortWithinPartitions("block", "asks")
+
+    def flat(pieces):
+        return pa.Table.from_batches([pa.RecordBatch.from_struct_array(x) for x in pieces]).combine_chunks()
+
+    def run(batches):
+        at, held, state = None, [], None
+        for batch in batches:
+            block, asks = batch.column("block").to_pylist(), batch.column("asks").to_numpy(zero_copy_only=False)
+            cuts = [i for i in range(1, len(block)) if block[i] != block[i - 1] or asks[i] != asks[i - 1]]
+            for a, b in zip([0, *cuts], [*cuts, len(block)]):
+                if a == b:
+                    continue
+                if block[a] != at:
+                    if held or state:
+                        state = state or opened(flat(held))
+                        yield from state.end()
+                    at, held, state = block[a], [], None
+                if not asks[a]:
+                    held.append(batch.column("c").slice(a, b - a))
+                    continue
+                if held:
+                    state, held = opened(flat(held)), []
+                if state:
+                    yield from state.ask(flat([batch.column("q").slice(a, b - a)]))
+        if held or state:
+            yield from (state or opened(flat(held))).end()
+
+    return both.mapInArrow(run, schema)
+
+
 def top(found: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of the blocks' lists for every query id of members (qid, query_id).
 
