@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op10_learned_partitions
 from .exact_topk import OP3_SQL, op3_exact_topk
 from .hard_negatives import OP13_SQL, op13_hard_negatives
+from .hnsw import op11_vector_near_dedup
 from .mixing import OP2_SQL, op2_source_mixing
 from .packing import op7_harmonic_packing
 from .preferences import OP8_SQL, op8_preference_format
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_preference_format": op8_preference_format,
     "op9_line_dedup": op9_line_dedup,
     "op10_learned_partitions": op10_learned_partitions,
+    "op11_vector_near_dedup": op11_vector_near_dedup,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_hard_negatives": op13_hard_negatives,
 }
