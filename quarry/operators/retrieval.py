@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import dot
+from .covers import cover_density
 from .shared import sent, settle
 
 K1, B = 1.5, 0.75
@@ -177,25 +178,24 @@ def search(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", top_k: i
     return _attach(got, keyword, near, chunks, queries, mode, scope)
 
 
-def fulltext(chunks: DataFrame, queries: DataFrame, k: int | None = 20) -> DataFrame:
-    """Chunks that hold any term of a query, by 0.1 for each occurrence, ties by chunk_id.
+def fulltext(chunks: DataFrame, queries: DataFrame, k: int | None = 20, need: str = "any", scope: list[str] | None = None) -> DataFrame:
+    """(query_id, chunk_id, ord, rank, score): chunks that hold any, or all, of a query's terms, by cover density.
 
-    An approximation of cover density for queries of alternatives, not BM25.
+    Ties go to the smaller chunk_id. Chunks out of a query's scope are left out before any is counted or cut off.
     """
-    asked = asked_terms(queries)
-    scored = postings(chunks, terms=sent(asked.select("term").distinct())).join(sent(asked), "term").groupBy(*KEYS).agg(F.min("ord").alias("ord"), F.sum("tf").alias("n"))
-    order = W.partitionBy("query_id").orderBy(F.desc("n"), "chunk_id")
+    scored = cover_density(chunks, queries, need, scope)
+    order = W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "chunk_id")
     out = scored.withColumn("rank", F.row_number().over(order))
-    return (out.where(F.col("rank") <= k) if k else out).select(*KEYS, "ord", "rank", (F.col("n") * 0.1).alias("score"))
+    return (out.where(F.col("rank") <= k) if k else out).select(*KEYS, "ord", "rank", "score")
 
 
-def search_fulltext(chunks: DataFrame, queries: DataFrame, top_k: int = 5, depth: int = 20) -> DataFrame:
+def search_fulltext(chunks: DataFrame, queries: DataFrame, top_k: int = 5, depth: int = 20, scope: list[str] | None = None) -> DataFrame:
     """search() in the manner of a database: the fulltext ranking in BM25's place, all ties by chunk_id."""
-    keyword = settle(fulltext(chunks, queries, None))
-    near = ranked(dense(chunks.withColumn("ord", F.xxhash64("chunk_id") * 0), queries, depth), depth, tie="chunk_id")
+    keyword = settle(fulltext(chunks, queries, None, scope=scope))
+    near = ranked(dense(chunks.withColumn("ord", F.xxhash64("chunk_id") * 0), queries, depth, scope), depth, tie="chunk_id")
     zero = lambda r: r.withColumn("ord", F.lit(0).cast("long"))
     got = ranked(fuse(zero(keyword.where(F.col("rank") <= depth)), zero(near)), top_k, digits=12, tie="chunk_id").select(*KEYS, "ord", "rank", F.col("score").alias("rrf_score"))
-    return _attach(got, keyword, near, chunks, queries, "fulltext-rrf", None)
+    return _attach(got, keyword, near, chunks, queries, "fulltext-rrf", scope)
 
 
 def inverted_index(chunks: DataFrame, rows_a_list: int = 100_000) -> DataFrame:

@@ -319,12 +319,38 @@ def search_hybrid(spark, d):
     return _hits(spark, d, "hybrid", 12)
 
 
-@query(f"WITH {DOCS}, {QS}, m AS (SELECT query_id, doc_id, count(*) AS n FROM (SELECT doc_id, unnest(tokens) AS term FROM docs) JOIN (SELECT query_id, unnest(list_distinct(terms)) AS term FROM qs) USING (term) GROUP BY ALL) SELECT query_id, 'doc-' || doc_id AS chunk_id, round(n * 0.1e0, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, 'doc-' || doc_id) AS rank FROM m) WHERE rank <= 20")
+# where terms stand, as a text-search vector keeps it
+_AT = """occ AS (SELECT doc_id, least(pos, 16383) AS pos, term FROM (SELECT doc_id, generate_subscripts(tokens, 1) AS pos, unnest(tokens) AS term FROM docs)),
+tv AS MATERIALIZED (SELECT doc_id, term, list_sort(list(DISTINCT pos))[1:255] AS at FROM occ GROUP BY ALL)"""
+_ANY = f"""{_AT},
+m AS MATERIALIZED (SELECT query_id, doc_id, sum(len(at)) * 0.1e0 AS score FROM tv JOIN (SELECT query_id, unnest(list_distinct(terms)) AS term FROM qs) USING (term) GROUP BY ALL)"""
+_TEXT_RANK = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, 'doc-' || doc_id)"
+
+
+@query(f"WITH {DOCS}, {QS}, {_ANY} SELECT query_id, 'doc-' || doc_id AS chunk_id, round(score, 6) AS score, rank FROM (SELECT *, {_TEXT_RANK} AS rank FROM m) WHERE rank <= 20")
 def fulltext_or_topk(spark, d):
     got = retrieval.fulltext(views.whole(spark, d), views.questions(spark, d))
     return got.select("query_id", "chunk_id", _r("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(f"""WITH {DOCS}, {QS}, {_AT},
+asked AS (SELECT query_id, unnest(list_distinct(terms[1:3])) AS term FROM qs), need AS (SELECT query_id, count(*) AS need FROM asked GROUP BY 1),
+lists AS (SELECT query_id, doc_id, term, at FROM tv JOIN asked USING (term)),
+full_docs AS (SELECT query_id, doc_id, any_value(need) AS need FROM lists JOIN need USING (query_id) GROUP BY 1, 2 HAVING count(*) = any_value(need)),
+p AS MATERIALIZED (SELECT query_id, doc_id, need, term, unnest(at) AS pos FROM lists JOIN full_docs USING (query_id, doc_id)),
+lasts AS (SELECT a.query_id, a.doc_id, a.pos AS stop, b.term, any_value(b.need) AS need, max(b.pos) AS last FROM (SELECT DISTINCT query_id, doc_id, pos FROM p) a JOIN p b ON a.query_id = b.query_id AND a.doc_id = b.doc_id AND b.pos <= a.pos GROUP BY ALL),
+ends AS (SELECT query_id, doc_id, stop, min(last) AS start FROM lasts GROUP BY ALL HAVING count(*) = any_value(need)),
+cov AS (SELECT query_id, doc_id, start, min(stop) AS stop FROM ends GROUP BY 1, 2, 3),
+held AS (SELECT c.query_id, c.doc_id, c.start, c.stop, count(*) AS held FROM cov c JOIN p ON c.query_id = p.query_id AND c.doc_id = p.doc_id AND p.pos BETWEEN c.start AND c.stop GROUP BY ALL),
+m AS (SELECT query_id, doc_id, sum(0.1e0 / (1 + CASE WHEN stop - start < held - 1 THEN (held - 1) // 2 ELSE stop - start - (held - 1) END)) AS score FROM held GROUP BY 1, 2)
+SELECT query_id, 'doc-' || doc_id AS chunk_id, round(score, 6) AS score, rank FROM (SELECT *, {_TEXT_RANK} AS rank FROM m) WHERE rank <= 20""")
+def fulltext_and_topk(spark, d):
+    """The first three terms of each question, which must all be there: the nearer they stand, the better."""
+    q = views.questions(spark, d).withColumn("terms", F.slice("terms", 1, 3))
+    got = retrieval.fulltext(views.whole(spark, d), q, need="all")
+    return got.select("query_id", "chunk_id", _r("score"), F.col("rank").cast("long").alias("rank"))
+
+
 _OVER = f"""WITH {_PLAIN_DOCS}, {_NORMS},
 asked AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({_plain_tokens('text', _asked)}) AS term FROM benchmark) GROUP BY ALL),
 qn AS (SELECT query_id, sqrt(sum(qtf * qtf)::DOUBLE) AS qnorm FROM asked GROUP BY 1),
@@ -702,13 +728,28 @@ def search_scoped(spark, d):
     return got.select(F.lit("hybrid").alias("mode"), "query_id", F.col("chunk_id").alias("source_id"), F.col("rank").cast("long").alias("rank"), _r("keyword_score"), _r("cosine_similarity"))
 
 
-@query(f"""WITH {VEC}, {QV}, m AS MATERIALIZED (SELECT query_id, doc_id, count(*) AS n FROM (SELECT doc_id, unnest(tokens) AS term FROM docs) JOIN (SELECT query_id, unnest(list_distinct(terms)) AS term FROM qs) USING (term) GROUP BY ALL),{DENSE},
-kr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, 'doc-' || doc_id) AS rank FROM m),
-dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, 'doc-' || doc_id) AS rank FROM near),
+def _fulltext_sql(scope: str = "") -> str:
+    on = f" AND {scope}" if scope else ""
+    return f"""WITH {VEC}, {QV}, {_AT},
+hit AS (SELECT query_id, doc_id, sum(len(at)) * 0.1e0 AS score FROM tv JOIN (SELECT query_id, unnest(list_distinct(terms)) AS term FROM qs) USING (term) GROUP BY ALL),
+m AS MATERIALIZED (SELECT hit.* FROM hit JOIN docs USING (doc_id) WHERE true{on}),
+near AS MATERIALIZED (SELECT q.query_id, v.doc_id, list_dot_product(q.e, v.e) / (q.norm * v.norm) AS score FROM qv q JOIN vecs v ON true{on}),
+kr AS (SELECT *, {_TEXT_RANK} AS rank FROM m), dr AS (SELECT *, {_TEXT_RANK} AS rank FROM near),
 fused AS (SELECT query_id, doc_id, sum(1e0 / (60 + rank)) AS score FROM (SELECT query_id, doc_id, rank FROM kr WHERE rank <= 20 UNION ALL SELECT query_id, doc_id, rank FROM dr WHERE rank <= 20) GROUP BY ALL),
 fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, 'doc-' || doc_id) AS rank FROM fused)
-SELECT query_id, 'doc-' || doc_id AS chunk_id, rank, round(f.score, 9) AS rrf_score, round(coalesce(n, 0) * 0.1e0, 6) AS keyword_score, round(near.score, 6) AS cosine_similarity
-FROM fr f LEFT JOIN m USING (query_id, doc_id) LEFT JOIN near USING (query_id, doc_id) WHERE rank <= 5""")
+SELECT f.query_id, 'doc-' || f.doc_id AS chunk_id, f.rank, round(f.score, 9) AS rrf_score, round(coalesce(m.score, 0), 6) AS keyword_score, round(near.score, 6) AS cosine_similarity
+FROM fr f LEFT JOIN m ON m.query_id = f.query_id AND m.doc_id = f.doc_id LEFT JOIN near ON near.query_id = f.query_id AND near.doc_id = f.doc_id WHERE f.rank <= 5"""
+
+
+@query(_fulltext_sql("instrument_id = 'src' || (query_id % 20)"))
+def search_fulltext_scoped(spark, d):
+    """The database's way within one instrument a question: rows of others are left out before either list is cut."""
+    q = views.questions(spark, d).withColumn("instrument_id", F.concat(F.lit("src"), F.col("query_id") % 20))
+    got = retrieval.search_fulltext(views.with_vectors(spark, d), q, scope=["instrument_id"])
+    return got.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), _r("rrf_score", 9), _r("keyword_score"), _r("cosine_similarity"))
+
+
+@query(_fulltext_sql())
 def search_fulltext(spark, d):
     """The database's way: text matches and vectors fused, all ties by chunk_id."""
     got = retrieval.search_fulltext(views.with_vectors(spark, d), views.questions(spark, d))
