@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -37,3 +38,36 @@ def settle(df: DataFrame) -> DataFrame:
 def sent(df: DataFrame, most: int = 500_000) -> DataFrame:
     """df marked for broadcast if it has at most so many (short) rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def hadoop(spark: SparkSession, path: str):
+    """(file system, path): for names only, never for rows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = hadoop(spark, path)
+    return fs.exists(at)
+
+
+def publish(spark: SparkSession, staged: str, path: str) -> None:
+    """Rename a staged folder to path, which must not be there yet: readers see all of it or nothing."""
+    fs, at = hadoop(spark, path)
+    if fs.exists(at):
+        raise FileExistsError(path)
+    fs.mkdirs(at.getParent())
+    if not fs.rename(hadoop(spark, staged)[1], at):
+        raise OSError(f"{staged} could not be renamed to {path}")
+
+
+def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """df with the place of each row, from 0, in the given order: a range shuffle, then one count a partition."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = settle(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    base = counts.select("__part", before.alias("__base"))
+    inside = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("__part", part).join(F.broadcast(base), "__part").withColumn(out, F.col("__base") + inside).drop("__part", "__base", "__at")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import plain_tokens, tokens, unit
+from ..operators import index, prepare
+from ..operators.shared import hadoop, scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,3 +45,26 @@ def questions(spark: SparkSession, sf_dir: str, plain: bool = False) -> DataFram
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), unit(F.col("embedding")).alias("vector"))
     terms = plain_tokens(F.col("query"), query=True) if plain else tokens(F.col("query"))
     return b.withColumn("terms", terms).join(v, "query_id", "left")
+
+
+#: The model of the given vectors.
+MODEL = {"model_id": "given", "dimension": 64, "query_prefix": ""}
+#: Indexes of this process: where the index of a session and of tables as they were lies.
+_BUILT: dict[tuple, str] = {}
+
+
+def indexed(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The index of with_vectors(), written to the shared folder when it is first asked for; tables whose files have
+    changed since are indexed anew."""
+    state = [spark.sparkContext.applicationId, sf_dir]
+    for name in ("documents", "embeddings", "labels"):
+        for file in sorted(table(spark, sf_dir, name).inputFiles()):
+            fs, at = hadoop(spark, file)
+            status = fs.getFileStatus(at)
+            state.append((file, status.getLen(), status.getModificationTime()))
+    key = tuple(state)
+    if key not in _BUILT:
+        chunks, path = with_vectors(spark, sf_dir), scratch(spark, "index")
+        index.write(path, chunks, sources(spark, sf_dir), prepare.manifest(chunks.select("chunk_id", "text"), MODEL))
+        _BUILT[key] = path
+    return index.read(spark, _BUILT[key])
