@@ -164,20 +164,21 @@ def _merge(label: np.ndarray, a: np.ndarray, c: np.ndarray) -> np.ndarray:
             return parent[label]
 
 
-def links(fps: DataFrame, budget: int = 3, hot: int = 200_000) -> DataFrame:
-    """Edges (a, b) that connect distinct fingerprints (column fp) as their links of budget or fewer bits do.
+def dealt(rows: DataFrame, budget: int, hot: int, rounds: int = 2) -> DataFrame:
+    """rows (fp, group and more) once for each trie that they are in: with the column key.
 
-    budget differing bits leave one of budget + 1 bit blocks equal, so each fingerprint goes to a trie for each
-    of its blocks. A trie of over hot fingerprints is dealt out again by the blocks of its remaining bits, as
-    often as it takes, so no task holds a large one.
+    budget differing bits leave one of budget + 1 bit blocks equal, so each fingerprint of a group goes to a trie for
+    each of its blocks. A trie of over hot rows is dealt out again by the blocks of its remaining bits, at most so many
+    times: each makes four of a row, and fingerprints that are still together then differ in few bits.
     """
     parts = budget + 1
     edge = [64 * i // parts for i in range(parts + 1)]
-    rows = fps.select("fp", F.posexplode(F.array(*[F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edge, edge[1:])])).alias("i", "v"))
-    rows = rows.select("fp", F.concat_ws(":", "i", "v").alias("key"))
+    own = rows.columns
+    rows = rows.select(*own, F.posexplode(F.array(*[F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edge, edge[1:])])).alias("i", "v"))
+    rows = rows.select(*own, F.concat(F.col("i"), F.lit(":"), F.col("group"), F.lit("."), F.col("v")).alias("key"))
     done = []
     spans = {str(i): [x for x in range(64) if not edge[i] <= x < edge[i + 1]] for i in range(parts)}
-    while min(map(len, spans.values())) >= parts:  # until no trie is too large, or no bits are left to tell its members apart
+    for _ in range(rounds):
         big = settle(rows.groupBy("key").count().where(F.col("count") > hot).select("key"))
         if big.isEmpty():
             break
@@ -187,24 +188,34 @@ def links(fps: DataFrame, budget: int = 3, hot: int = 200_000) -> DataFrame:
         split, spans = _split(spans, parts)
         at = F.regexp_replace(F.col("key"), r":[^/]*", "")
         subkeys = F.create_map(*[x for path, kids in split.items() for x in (F.lit(path), F.array(*[_bits("fp", k) for k in kids]))])
-        rows = rows.select("fp", "key", F.posexplode(subkeys[at]).alias("i", "v")).select("fp", F.concat("key", F.lit("/"), "i", F.lit(":"), "v").alias("key"))
+        rows = rows.select(*own, "key", F.posexplode(subkeys[at]).alias("i", "v")).select(*own, F.concat("key", F.lit("/"), "i", F.lit(":"), "v").alias("key"))
     for d in done:
         rows = rows.unionByName(d)
+    return rows
+
+
+def _sorted(t: pa.Table) -> tuple:
+    """(order, fps, roots): rows of whole keys by key, then fingerprint; roots are where keys begin, and the end."""
+    codes = t.column("key").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    fp = t.column("fp").to_numpy().view(np.uint64)
+    order = np.lexsort((fp, codes))
+    codes = codes[order]
+    return order, fp[order], np.concatenate(([0], np.flatnonzero(codes[1:] != codes[:-1]) + 1, [len(codes)]))
+
+
+def links(fps: DataFrame, budget: int = 3, hot: int = 200_000) -> DataFrame:
+    """Edges (a, b) that connect distinct fingerprints (column fp) as their links of budget or fewer bits do."""
 
     def solve(t):
         if not t.num_rows:
             return
-        codes = t.column("key").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
-        fp = t.column("fp").to_numpy().view(np.uint64)
-        order = np.lexsort((fp, codes))
-        codes, fp = codes[order], fp[order]
-        roots = np.concatenate(([0], np.flatnonzero(codes[1:] != codes[:-1]) + 1, [len(codes)]))
+        _, fp, roots = _sorted(t)
         label = trie_links(fp, roots, budget)
         moved = np.flatnonzero(label != np.arange(len(label)))
         if len(moved):
             yield pa.RecordBatch.from_arrays([pa.array(fp[moved].view(np.int64)), pa.array(fp[label[moved]].view(np.int64))], ["a", "b"])
 
-    return by_key(rows, solve, "a long, b long")
+    return by_key(dealt(fps.select("fp", F.lit(0).alias("group")), budget, hot).select("fp", "key"), solve, "a long, b long")
 
 
 def by_key(rows: DataFrame, solve, schema: str) -> DataFrame:
@@ -262,50 +273,31 @@ def near_duplicates(docs: DataFrame, budget: int = 3) -> DataFrame:
     return join_hot(rows, named, ["fp"], "__q_n")
 
 
-#: Odd multipliers that make several hashes of one: multiples of 2**64 over the golden ratio.
-SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (2 * i + 1) % 2**64) for i in range(6)]
-#: The bits that they give are cut into words of 32, and each word of a text into three blocks, one equal at two errors.
-WORDS, ERRORS, BLOCKS = 12, 2, ((0, 11), (11, 22), (22, 32))
-
-#: Orders of a text's shingles by which a candidate is judged before its shingles are moved.
-MINS = 128
-ORDERS = np.uint64(0x9E3779B97F4A7C15) * (np.arange(MINS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
-
+#: Odd multipliers: multiples of 2**64 over the golden ratio.
+MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x9E3779B97F4A7C15 * 3 % 2**64)
+#: Orders of a text's shingles; one byte of the smallest shingle in each is its sketch, and eight of these are a word.
+MINS, WORDS, ERRORS = 128, 16, 3
+ORDERS = MIX[0] * (np.arange(MINS, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
 
-def sketch(text: str | None) -> tuple[bytes, bytes]:
-    """(128-bit digest of a text's words, its SimHash bits over distinct two-word shingles: WORDS words of 32).
 
-    One changed word touches two such shingles where it touches five of five words, so texts that are alike at 0.8
-    in those differ in few bits here. A text without words has bits zero.
-    """
-    import xxhash
-
-    joined, starts, ends = shingles(text, 2)
-    digest = xxhash.xxh64_intdigest
-    h = np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends)), np.uint64, len(ends)))
-    total = np.zeros((len(SEEDS), 64), np.int64)
-    for i in range(0, len(h), 1 << 14):
-        for k, seed in enumerate(SEEDS):
-            x = h[i : i + (1 << 14)] * seed
-            x = (x ^ (x >> np.uint64(32))) * SEEDS[0]
-            total[k] += _ones(x ^ (x >> np.uint64(29)))
-    return xxhash.xxh3_128_digest(joined), np.packbits(2 * total > len(h), bitorder="little").tobytes()
-
-
-def shingle_set(text: str | None, width: int) -> tuple[bytes, bytes]:
-    """(a text's distinct shingles as sorted 64-bit hashes, one byte of the smallest of them in each of MINS orders)."""
+def hashes(text: str | None, width: int) -> tuple[bytes, np.ndarray]:
+    """(128-bit digest of a text's words, its distinct shingles as sorted 64-bit hashes)."""
     import xxhash
 
     joined, starts, ends = shingles(text, width)
     digest = xxhash.xxh64_intdigest
-    h = np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends)), "<u8", len(ends)))
+    return xxhash.xxh3_128_digest(joined), np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, ends)), "<u8", len(ends)))
+
+
+def sketch(h: np.ndarray) -> bytes:
+    """One byte of the smallest of some hashes in each of MINS orders: two sets agree in a byte as often as they share."""
     least = np.full(MINS, np.uint64(2**64 - 1))
     for i in range(0, len(h), 1 << 12):
-        x = (h[i : i + (1 << 12), None] ^ ORDERS) * SEEDS[0]
-        x = (x ^ (x >> np.uint64(32))) * SEEDS[1]
+        x = (h[i : i + (1 << 12), None] ^ ORDERS) * MIX[0]
+        x = (x ^ (x >> np.uint64(32))) * MIX[1]
         least = np.minimum(least, (x ^ (x >> np.uint64(29))).min(axis=0))
     # the smallest have few high bits set: a product's high byte tells them apart
-    return h.tobytes(), ((least * SEEDS[0]) >> np.uint64(56)).astype(np.uint8).tobytes()
+    return ((least * MIX[0]) >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
 def similarity(a: bytes, b: bytes) -> float:
@@ -315,71 +307,70 @@ def similarity(a: bytes, b: bytes) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
-def _tries(texts: DataFrame) -> DataFrame:
-    """(key, w, n, root): each word of the bits of texts (n, bits, root), once for each block that may be equal."""
+def _words(texts: DataFrame) -> DataFrame:
+    """(n, root, group, fp): each word of the sketches of texts (n, mins, root); group is the word's number."""
 
     def run(batches):
         for batch in batches:
             n, root = (batch.column(c).to_numpy() for c in ("n", "root"))
-            w = np.frombuffer(b"".join(batch.column("bits").to_pylist()), "<u4").reshape(-1, WORDS).astype(np.int64)
+            w = np.frombuffer(b"".join(batch.column("mins").to_pylist()), "<i8").reshape(-1, WORDS)
             for p in range(WORDS):
-                for j, (a, b) in enumerate(BLOCKS):
-                    key = ((p * len(BLOCKS) + j) << 32) | ((w[:, p] >> a) & ((1 << (b - a)) - 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, w[:, p], n, root)], ["key", "w", "n", "root"])
-
-    return texts.select("n", "bits", "root").mapInArrow(run, "key long, w long, n long, root long")
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (n, root, np.full(len(n), p, np.int32), w[:, p])], ["n", "root", "group", "fp"])
 
+    return texts.select("n", "mins", "root").mapInArrow(run, "n long, root long, group int, fp long")
 
-def _trie_of(t: pa.Table) -> tuple:
-    """(key, fps, n, root, roots) of whole keys, sorted by key, then by word."""
-    key, w, n, root = (t.column(c).to_numpy() for c in ("key", "w", "n", "root"))
-    # equal words stand in an order that each key deals anew
-    order = np.lexsort(((n ^ key).astype(np.uint64) * SEEDS[1], w, key))
-    key, w = key[order], w[order]
-    roots = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
-    return key, w.astype(np.uint64) << np.uint64(32), n[order], root[order], roots
 
+def _forest(texts: DataFrame, hot: int = 200_000) -> DataFrame:
+    """(a, b): candidates that span what each trie links; every text with a candidate is in one of them.
 
-def _forest(texts: DataFrame) -> DataFrame:
-    """(a, b): candidates that span what each trie links; every text with a candidate is in one of them."""
+    Texts of one word go to the first of them; the tries hold each word once.
+    """
+    words = settle(_words(texts).select("n", "group", "fp"))
+    heads = settle(words.groupBy("group", "fp").agg(F.min("n").alias("head"), F.count("*").alias("__q_n")))
 
     def solve(t):
         if not t.num_rows:
             return
-        key, fps, n, _, _ = _trie_of(t)
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (fps[1:] != fps[:-1])))
-        head, run_of = np.flatnonzero(new), np.cumsum(new) - 1
-        roots = np.concatenate(([0], np.flatnonzero(key[head][1:] != key[head][:-1]) + 1, [len(head)]))
-        label = trie_links(fps[head], roots, ERRORS, bits=32)
-        to = head[run_of]  # a run's members go to its head, heads to the head of their label
-        to[head] = head[label]
-        moved = np.flatnonzero(to != np.arange(len(to)))
+        order, fp, roots = _sorted(t)
+        head = t.column("head").to_numpy()[order]
+        label = trie_links(fp, roots, ERRORS)
+        moved = np.flatnonzero(label != np.arange(len(label)))
         if len(moved):
-            yield pa.RecordBatch.from_arrays([pa.array(n[moved]), pa.array(n[to[moved]])], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(head[moved]), pa.array(head[label[moved]])], ["a", "b"])
 
-    found = by_key(_tries(texts), solve, "a long, b long")
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    near = by_key(dealt(heads.select("fp", "group", "head"), ERRORS, hot).select("key", "fp", "head"), solve, "a long, b long")
+    same = join_hot(words, heads.where("__q_n > 1"), ["group", "fp"], "__q_n").select(F.col("n").alias("a"), F.col("head").alias("b"))
+    return near.unionByName(same).where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _candidates(texts: DataFrame) -> DataFrame:
-    """(a, b): all pairs of texts with different roots that have ERRORS or fewer differing bits in one of their words."""
+def _candidates(texts: DataFrame, hot: int = 200_000) -> DataFrame:
+    """(a, b): all pairs of texts with different roots that have ERRORS or fewer differing bits in one of their words.
+
+    The tries hold each word once for every root that has it; only pairs of these are made into pairs of texts.
+    """
+    words = settle(_words(texts))
+    each = words.select("group", "fp", "root").distinct()
 
     def solve(t):
         if not t.num_rows:
             return
-        _, fps, n, root, roots = _trie_of(t)
-        for i, k in trie_pairs(fps, roots, root, ERRORS, 32):
-            yield pa.RecordBatch.from_arrays([pa.array(n[i]), pa.array(n[k])], ["a", "b"])
+        order, fp, roots = _sorted(t)
+        group, root = (t.column(c).to_numpy()[order] for c in ("group", "root"))
+        for i, k in trie_pairs(fp, roots, root, ERRORS, 64):
+            cols = (group[i], fp[i].view(np.int64), root[i], fp[k].view(np.int64), root[k])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["group", "fp", "root", "fp2", "root2"])
 
-    found = by_key(_tries(texts), solve, "a long, b long")
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    near = settle(by_key(dealt(each, ERRORS, hot).select("key", "fp", "group", "root"), solve, "group int, fp long, root long, fp2 long, root2 long").distinct())
+    left = near.join(words.withColumnRenamed("n", "a"), ["group", "fp", "root"])
+    both = left.join(words.select(F.col("n").alias("b"), "group", F.col("fp").alias("fp2"), F.col("root").alias("root2")), ["group", "fp2", "root2"])
+    return both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of pairs whose shingle sets, of sets (n, size, mins, shingles), have a similarity of least or more.
 
     Before any set is moved, a pair goes if its sizes rule the similarity out, or if fewer than least - 0.2 of its
-    MINS smallest shingles agree. That share is the similarity give or take 0.035 at 0.8, so hardly a link is lost.
+    sketch's bytes agree. That share is the similarity give or take 0.035 at 0.8, so hardly a link is lost.
     """
     enough = int(MINS * (least - 0.2))
 
@@ -408,42 +399,44 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
 
     Texts of equal words are one text. Two texts are linked if the trie join of their sketches proposes them and their
     shingles of `width` words (all words, if fewer) have a similarity of `least` or more: proposals may miss a link,
-    none is wrong. Groups are what links connect. First each text is checked against some of its proposals, at most one
-    for each trie that it is in, so that a large group of copies becomes one; then all proposals between different groups. Null and blank texts
-    are one group; repeated rows share a group; an empty table gives no rows.
+    none is wrong. A sketch is cut into WORDS words of eight bytes; at a similarity of 0.8 two texts agree in a word, but
+    for ERRORS bits, with a chance of 0.29, so of all 16 in one at least with 0.995, whatever the edit; texts that share
+    nothing do in one of 10^13 pairs, so proposals follow the number of texts and not its square. Groups are what links
+    connect. First each text is checked against some of its proposals, at most two for each trie that it is in, so that
+    a large group of copies becomes one; then all proposals between different groups. Null and blank texts are one
+    group; repeated rows share a group; an empty table gives no rows.
     """
 
     def read(batches):
         for batch in batches:
-            both = [sketch(t.as_py()) for t in batch.column("text")]
-            digest, bits = (pa.array([x[i] for x in both], pa.binary()) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column("__q_id"), batch.column("__q_text"), digest, bits], ["__q_id", "__q_text", "digest", "bits"])
+            both = [hashes(t.as_py(), width) for t in batch.column("text")]
+            digest, mins = pa.array([d for d, _ in both], pa.binary()), pa.array([sketch(h) for _, h in both], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("__q_id"), batch.column("__q_text"), digest, mins], ["__q_id", "__q_text", "digest", "mins"])
 
     def hashed(batches):
         for batch in batches:
-            both = [shingle_set(t.as_py(), width) for t in batch.column("text")]
-            held = [pa.array([len(s) // 8 for s, _ in both], pa.int64()), *(pa.array([x[i] for x in both], pa.binary()) for i in (1, 0))]
-            yield pa.RecordBatch.from_arrays([batch.column("n"), *held], ["n", "size", "mins", "shingles"])
+            held = [hashes(t.as_py(), width)[1] for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("n"), batch.column("mins"), pa.array([len(h) for h in held], pa.int64()), pa.array([h.tobytes() for h in held], pa.binary())], ["n", "mins", "size", "shingles"])
 
     keyed = docs.select(*key_of(), F.col("text").cast("string").alias("text"))
-    rows = settle(keyed.mapInArrow(read, "__q_id long, __q_text long, digest binary, bits binary"))
-    each = rows.groupBy("digest").agg(F.min(F.struct("__q_id", "__q_text")).alias("k"), F.min("bits").alias("bits"), F.count("*").alias("__q_n"))
-    texts = settle(each.select(F.monotonically_increasing_id().alias("n"), "digest", "k.*", "bits", "__q_n"))
+    rows = settle(keyed.mapInArrow(read, "__q_id long, __q_text long, digest binary, mins binary"))
+    each = rows.groupBy("digest").agg(F.min(F.struct("__q_id", "__q_text")).alias("k"), F.min("mins").alias("mins"), F.count("*").alias("__q_n"))
+    texts = settle(each.select(F.monotonically_increasing_id().alias("n"), "digest", "k.*", "mins", "__q_n"))
     alone = texts.withColumn("root", F.col("n"))
 
     forest = settle(_forest(alone))
     touched = forest.select(F.explode(F.array("a", "b")).alias("n")).distinct()
-    asked = settle(texts.join(touched, "n").select("n", "__q_id", "__q_text", "__q_n"))
+    asked = settle(texts.join(touched, "n").select("n", "__q_id", "__q_text", "mins", "__q_n"))
     found = join_hot(keyed, asked, ["__q_id", "__q_text"], "__q_n")
-    sets = settle(found.groupBy("n").agg(F.min("text").alias("text")).mapInArrow(hashed, "n long, size long, mins binary, shingles binary"))
+    sets = settle(found.groupBy("n").agg(F.min("text").alias("text"), F.min("mins").alias("mins")).mapInArrow(hashed, "n long, mins binary, size long, shingles binary"))
 
     first = settle(_alike(forest, sets, least))
     group = components(first)
-    joined = settle(alone.drop("root").join(touched, "n").join(group, F.col("n") == F.col("node"), "left").select("n", "bits", F.coalesce("root", "n").alias("root")))
+    joined = settle(alone.drop("root").join(touched, "n").join(group, F.col("n") == F.col("node"), "left").select("n", "mins", F.coalesce("root", "n").alias("root")))
     rest = settle(_alike(_candidates(joined), sets, least))
     group = components(first.unionByName(rest))
     named = texts.join(group, texts.n == group.node, "left").select("digest", F.coalesce("root", "n").alias("root"), "__q_n")
-    return join_hot(rows.drop("bits"), settle(named), ["digest"], "__q_n")
+    return join_hot(rows.drop("mins"), settle(named), ["digest"], "__q_n")
 
 
 def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
