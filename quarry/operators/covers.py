@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import sent, settle
+from .shared import let, sent, settle
 
 # A text-search vector keeps positions up to this one, and so many of each word.
 LAST_POSITION, MOST_POSITIONS = 16383, 255
@@ -33,12 +33,15 @@ def covers(lists: Column) -> Column:
     The stretch that ends at a position begins at the earliest of the lists' last positions up to there; of those that
     begin at one position the first to end is a cover.
     """
-    every = F.array_sort(F.flatten(lists))
     last = lambda p: F.array_min(F.transform(lists, lambda at: F.coalesce(F.array_max(F.filter(at, lambda x: x <= p)), F.lit(0))))
-    ends = F.transform(F.array_distinct(every), lambda p: F.struct(last(p).alias("begin"), p.alias("end")))
-    first = lambda x, i: (x["begin"] > 0) & ((i == 0) | (F.get(ends, F.greatest(i - 1, F.lit(0)))["begin"] != x["begin"]))
-    held = lambda x: F.size(F.filter(every, lambda p: (p >= x["begin"]) & (p <= x["end"])))
-    return F.transform(F.filter(ends, first), lambda x: F.struct(x["begin"].alias("begin"), x["end"].alias("end"), held(x).alias("held")))
+
+    def sweep(every: Column) -> Column:
+        ends = F.transform(F.array_distinct(every), lambda p: F.struct(last(p).alias("begin"), p.alias("end")))
+        moved = let(ends, lambda e: F.filter(e, lambda x, i: (x["begin"] > 0) & ((i == 0) | (F.get(e, F.greatest(i - 1, F.lit(0)))["begin"] != x["begin"]))))
+        held = lambda x: F.size(F.filter(every, lambda p: (p >= x["begin"]) & (p <= x["end"])))
+        return F.transform(moved, lambda x: F.struct(x["begin"].alias("begin"), x["end"].alias("end"), held(x).alias("held")))
+
+    return let(F.array_sort(F.flatten(lists)), sweep)
 
 
 def density(found: Column) -> Column:

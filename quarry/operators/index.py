@@ -1,8 +1,8 @@
 """A persisted index: chunks, sources, and postings by term with statistics by block, which a search reads in part.
 
-A posting block holds the chunks of one term within one instrument, jurisdiction and stretch of `span` places (ord).
-Its statistics bound what any of its chunks can score, so a search for the k best reads the lists of only those
-stretches that can hold one of them.
+A posting block holds the chunks of one term within one stretch of `span` places (ord). Its statistics bound what any
+of its chunks can score, so a search for the k best reads the lists of only those stretches that can hold one of them.
+A posting names its chunk's group, a number for an instrument and jurisdiction, so a chunk stands once for all scopes.
 """
 
 from __future__ import annotations
@@ -18,11 +18,13 @@ from ..functions.text import clean, retrieval_text, tokens
 from ..sources.writers import require_vectors
 from . import prepare, retrieval
 from .retrieval import B, K1, KEYS, NATIONAL, fuse, ranked
-from .shared import exists, numbered, publish, sent, settle
+from .shared import exists, let, numbered, publish, sent, settle
 
 SCOPE = ("instrument_id", "jurisdiction")
-PARTS = ("chunks", "sources", "postings", "lengths", "manifest")
-BLOCK = (*SCOPE, "term", "stretch")
+PARTS = ("chunks", "sources", "postings", "frequencies", "groups", "manifest")
+BLOCK = ("term", "stretch")
+#: The scope of queries that ask for nothing in particular.
+WHOLE = "all|"
 
 
 @dataclass
@@ -32,7 +34,8 @@ class Index:
     chunks: DataFrame
     sources: DataFrame
     postings: DataFrame
-    lengths: DataFrame
+    frequencies: DataFrame
+    groups: DataFrame
     manifest: DataFrame
     buckets: int
     span: int
@@ -40,28 +43,29 @@ class Index:
 
 def counted(words: Column) -> Column:
     """array<struct<term, tf>> of a row's tokens, without a shuffle: equal ones stand together once sorted."""
-    s = F.array_sort(words)
-    n = F.size(s)
-    first = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-    runs = F.transform(first, lambda p, j: F.struct(F.get(s, p).alias("term"), (F.coalesce(F.get(first, j + 1), n) - p).cast("long").alias("tf")))
-    return F.when(n > 0, runs).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+
+    def runs(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(first, lambda at: F.transform(at, lambda p, j: F.struct(F.get(s, p).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(s)) - p).cast("long").alias("tf"))))
+
+    return F.when(F.size(words) > 0, let(F.array_sort(words), runs)).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
 
 
 def posting_blocks(chunks: DataFrame, buckets: int, span: int) -> DataFrame:
-    """(bucket, *BLOCK, n, max_tf, min_len, best, rows): rows are (ord, tf, len) by ord, span of them at most; best is
-    (tf, len) of one with the highest tf."""
-    at = chunks.select(*SCOPE, "ord", F.size("tokens").cast("long").alias("len"), F.floor(F.col("ord") / span).alias("stretch"), F.explode(counted(F.col("tokens"))).alias("c"))
-    rows = at.select(*SCOPE, "stretch", "c.term", F.struct("ord", F.col("c.tf").alias("tf"), "len").alias("p"))
+    """(bucket, *BLOCK, n, max_tf, min_len, best, rows) of chunks (ord, code, tokens): rows are (ord, tf, len, code) by
+    ord, span of them at most; best is (tf, len) of one with the highest tf."""
+    at = chunks.select("ord", "code", F.size("tokens").cast("long").alias("len"), F.floor(F.col("ord") / span).alias("stretch"), F.explode(counted(F.col("tokens"))).alias("c"))
+    rows = at.select("c.term", "stretch", F.struct("ord", F.col("c.tf").alias("tf"), "len", "code").alias("p"))
     blocks = rows.groupBy(*BLOCK).agg(
         F.count("*").alias("n"), F.max("p.tf").alias("max_tf"), F.min("p.len").alias("min_len"),
         F.max(F.struct(F.col("p.tf").alias("tf"), (-F.col("p.len")).alias("shorter"))).alias("best"), F.array_sort(F.collect_list("p")).alias("rows"),
     )
     best = F.struct(F.col("best.tf").alias("tf"), (-F.col("best.shorter")).alias("len")).alias("best")
-    return blocks.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), *BLOCK, "n", "max_tf", "min_len", best, "rows")
+    return blocks.select(_bucket(buckets), *BLOCK, "n", "max_tf", "min_len", best, "rows")
 
 
-def with_scope(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumns({c: F.lit(None).cast("string") for c in SCOPE if c not in chunks.columns})
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
 
 
 def write(path: str, chunks: DataFrame, sources: DataFrame, manifest: DataFrame, dimension: int | None = None, buckets: int = 64, span: int = 4096) -> None:
@@ -74,15 +78,21 @@ def write(path: str, chunks: DataFrame, sources: DataFrame, manifest: DataFrame,
     if exists(spark, path):
         raise FileExistsError(f"there is an index in {path}")
     staged = f"{path.rstrip('/')}.stage-{uuid.uuid4().hex}"
-    kept = with_scope(require_vectors(chunks, dimension) if dimension else chunks)
-    kept.write.parquet(f"{staged}/chunks")
+    put = lambda df, part: df.write.parquet(f"{staged}/{part}")
+    kept = require_vectors(chunks, dimension) if dimension else chunks
+    put(kept.withColumns({c: F.lit(None).cast("string") for c in SCOPE if c not in chunks.columns}), "chunks")
     kept = spark.read.parquet(f"{staged}/chunks")
-    sources.write.parquet(f"{staged}/sources")
-    blocks = posting_blocks(kept.select(*SCOPE, "ord", "tokens"), buckets, span)
+    put(sources, "sources")
+    groups = kept.groupBy(*SCOPE).agg(F.count("*").alias("n"), F.sum(F.size("tokens")).cast("long").alias("len"))
+    put(groups.withColumn("code", F.row_number().over(W.orderBy(*SCOPE))), "groups")  # few: instruments by jurisdictions
+    groups = spark.read.parquet(f"{staged}/groups").select(*SCOPE, "code")
+    coded = kept.select("ord", "tokens", *SCOPE).alias("c").join(sent(groups).alias("g"), _same("c", "g", SCOPE)).select("c.ord", "c.tokens", "g.code")
     near = F.floor(F.col("stretch") / 64)  # a term of very many chunks is written by several tasks
-    blocks.repartition("bucket", near).sortWithinPartitions("bucket", "term", "stretch").write.partitionBy("bucket").parquet(f"{staged}/postings")
-    kept.groupBy(*SCOPE).agg(F.count("*").alias("n"), F.sum(F.size("tokens")).cast("long").alias("len")).write.parquet(f"{staged}/lengths")
-    manifest.select("*", F.lit(buckets).alias("buckets"), F.lit(span).alias("span")).write.parquet(f"{staged}/manifest")
+    blocks = posting_blocks(coded, buckets, span).repartition("bucket", near).sortWithinPartitions("bucket", *BLOCK)
+    blocks.write.partitionBy("bucket").parquet(f"{staged}/postings")
+    counts = spark.read.parquet(f"{staged}/postings").select("bucket", "term", F.explode("rows.code").alias("code")).groupBy("bucket", "term", "code").agg(F.count("*").alias("df"))
+    counts.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{staged}/frequencies")
+    put(manifest.select("*", F.lit(buckets).alias("buckets"), F.lit(span).alias("span")), "manifest")
     publish(spark, staged, path)
 
 
@@ -118,27 +128,11 @@ def build(docs: DataFrame, path: str, model: dict, encoder, tokens_of, chunker:
     write(path, numbered(ready, ["source_id", "char_start"], "ord"), sources, prepare.manifest(chunks, model, chunker, context), model["dimension"], **layout)
 
 
-def _scopes(index: Index, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(queries with scope, (scope, *SCOPE, n, len)): what groups of chunks each asked scope holds.
-
-    A scope is an instrument (null or `all`: any) and a region (null: any; else that jurisdiction and national ones).
-    """
-    one = lambda c: F.col(c).cast("string") if c in queries.columns else F.lit(None).cast("string")
-    asked = queries.withColumn("__i", F.coalesce(one("instrument"), F.lit("all"))).withColumn("__r", F.coalesce(one("region"), F.lit("")))
-    asked = settle(asked.withColumn("scope", F.concat_ws("|", "__i", "__r")))
-    scopes = settle(asked.select("scope", "__i", "__r").distinct())
-    strange = scopes.where("__i != 'all'").join(index.lengths.select(F.col("instrument_id").alias("__i")), "__i", "left_anti").first()
-    if strange:
-        raise ValueError(f"unknown instrument {strange['__i']}")
-    inside = ((F.col("__i") == "all") | (F.col("__i") == F.col("instrument_id"))) & ((F.col("__r") == "") | F.col("jurisdiction").isin(*NATIONAL) | (F.col("jurisdiction") == F.col("__r")))
-    held = index.lengths.join(sent(scopes), F.coalesce(inside, F.lit(False))).select("scope", *SCOPE, "n", "len")
-    return asked.drop("__i", "__r"), settle(held)
-
-
 def _same(a: str, b: str, cols) -> Column:
-    out = F.lit(True)
+    out = None
     for c in cols:
-        out = out & F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+        test = F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}"))
+        out = test if out is None else out & test
     return out
 
 
@@ -147,54 +141,83 @@ def _weight(tf: Column, length: Column) -> Column:
 
 
 class Lexical:
-    """BM25 over the postings of an index for one set of queries: query_id, terms, and instrument and region if scoped."""
+    """BM25 over the postings of an index for one set of queries: query_id, terms, and instrument and region if scoped.
+
+    A scope is an instrument (null or `all`: any) and a region (null: any; else that jurisdiction and national ones);
+    counts and mean lengths are those of the scope. An unknown instrument is an error.
+    """
 
     def __init__(self, index: Index, queries: DataFrame):
         self.index = index
-        asked, held = _scopes(index, queries)
-        self.queries = asked
-        self.asked = settle(asked.select("query_id", "scope", F.explode(F.array_distinct("terms")).alias("term")))
-        terms = settle(self.asked.select("term").distinct().withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(index.buckets)).cast("int")))
+        self.scoped = bool({"instrument", "region"} & set(queries.columns))
+        one = lambda c: F.col(c).cast("string") if c in queries.columns else F.lit(None).cast("string")
+        named = queries.withColumn("__i", F.coalesce(one("instrument"), F.lit("all"))).withColumn("__r", F.coalesce(one("region"), F.lit("")))
+        asked = named.select("query_id", F.concat_ws("|", "__i", "__r").alias("scope"), "__i", "__r", F.explode(F.array_distinct("terms")).alias("term"))
+        asked = settle(asked.withColumn("bucket", _bucket(index.buckets)))
+        self.held = self._groups(asked.select("scope", "__i", "__r").distinct())
+        self.asked = asked.select("query_id", "scope", "term")
+        terms = settle(asked.select("term", "bucket").distinct())
         hit = [r[0] for r in terms.select("bucket").distinct().collect()]  # at most index.buckets
-        self.postings = index.postings.where(F.col("bucket").isin(hit)).join(sent(terms.select("term")), "term", "left_semi")
-        # statistics only: the lists of the blocks are not read here
-        head = self.postings.select(*BLOCK, "n", "max_tf", "min_len", "best")
-        self.head = settle(head.alias("h").join(sent(held.drop("n", "len")).alias("s"), _same("h", "s", SCOPE)).select("s.scope", *[f"h.{c}" for c in head.columns]))
-        size = held.groupBy("scope").agg(F.sum("n").alias("docs"), (F.sum("len") / F.sum("n")).alias("mean"))
-        df = self.head.groupBy("scope", "term").agg(F.sum("n").alias("df"))
+        of = lambda df: df.where(F.col("bucket").isin(hit)).join(sent(terms.select("term")), "term", "left_semi")
+        self.postings = of(index.postings)
+        # statistics only: the lists are not read here
+        self.head = settle(self.postings.select(*BLOCK, "n", "max_tf", "min_len", "best"))
+        df = self.head.groupBy("term").agg(F.sum("n").alias("df")).withColumn("scope", F.lit(WHOLE))
+        if self.scoped:
+            some = of(index.frequencies).join(F.broadcast(self.held.where(F.col("scope") != WHOLE).select("scope", "code")), "code")
+            df = df.unionByName(some.groupBy("scope", "term").agg(F.sum("df").alias("df")))
+        size = self.held.groupBy("scope").agg(F.sum("n").alias("docs"), (F.sum("len") / F.sum("n")).alias("mean"))
         idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        self.known = settle(df.join(sent(size), "scope").select("scope", "term", idf.alias("idf"), "mean"))
+        self.known = settle(df.join(F.broadcast(size), "scope").select("scope", "term", idf.alias("idf"), "mean"))
+
+    def _groups(self, scopes: DataFrame) -> DataFrame:
+        """(scope, code, n, len): the groups of chunks that each scope holds, settled."""
+        groups = self.index.groups
+        scopes = settle(scopes)
+        strange = scopes.where("__i != 'all'").join(groups.select(F.col("instrument_id").alias("__i")), "__i", "left_anti").first()
+        if strange:
+            raise ValueError(f"unknown instrument {strange['__i']}")
+        own = (F.col("__i") == "all") | (F.col("__i") == F.col("instrument_id"))
+        near = (F.col("__r") == "") | F.col("jurisdiction").isin(*NATIONAL) | (F.col("jurisdiction") == F.col("__r"))
+        return settle(groups.join(F.broadcast(scopes), F.coalesce(own & near, F.lit(False))).select("scope", "code", "n", "len"))
 
     def _promising(self, k: int) -> DataFrame:
-        """(query_id, scope, *SCOPE, stretch) that can hold one of a query's k best.
+        """(query_id, stretch) that can hold one of a query's k best.
 
         Of each block one chunk's weight is known and all are bounded. The k-th highest of the known ones of any one
-        term is a score that k chunks reach; a stretch whose bounds add up to less holds none of the best.
+        term is a score that k chunks reach; a stretch whose bounds add up to less holds none of the best. A block's
+        known chunk may be out of a scope, so scoped queries leave out no stretch of their terms.
         """
-        at = settle(self.head.join(sent(self.known), ["scope", "term"]).select("scope", *BLOCK, _weight(F.col("max_tf"), F.col("min_len")).alias("most"), _weight(F.col("best.tf"), F.col("best.len")).alias("one")))
-        nth = F.row_number().over(W.partitionBy("scope", "term").orderBy(F.desc("one")))
-        reached = at.withColumn("nth", nth).where(F.col("nth") == k).select("scope", "term", "one")
-        need = self.asked.join(sent(reached), ["scope", "term"]).groupBy("query_id").agg((F.max("one") * (1 - 1e-9)).alias("need"))
-        bound = at.join(sent(self.asked), ["scope", "term"]).groupBy("query_id", "scope", *SCOPE, "stretch").agg(F.sum("most").alias("most"))
-        return bound.join(sent(need), "query_id", "left").where(F.col("need").isNull() | (F.col("most") >= F.col("need"))).select("query_id", "scope", *SCOPE, "stretch")
-
-    def _scored(self, stretches: DataFrame) -> DataFrame:
-        """(query_id, ord, score) of all chunks of the named stretches that hold a term of their query."""
-        wanted = settle(self.asked.join(stretches.drop("scope"), "query_id").select("query_id", "scope", *BLOCK))
-        lists = self.postings.select(*BLOCK, "rows").alias("p").join(sent(settle(wanted.select(*BLOCK).distinct())).alias("w"), _same("p", "w", BLOCK), "left_semi")
-        rows = lists.select(*BLOCK, F.explode("rows").alias("r")).alias("p").join(sent(wanted).alias("w"), _same("p", "w", BLOCK)).select("w.query_id", "w.scope", "p.term", "p.r.*")
+        at = self.head.join(sent(self.known), "term").select("scope", *BLOCK, _weight(F.col("max_tf"), F.col("min_len")).alias("most"), _weight(F.col("best.tf"), F.col("best.len")).alias("one"))
+        nth = F.row_number().over(W.partitionBy("term").orderBy(F.desc("one")))
+        reached = at.where(F.col("scope") == WHOLE).withColumn("nth", nth).where(F.col("nth") == k).select("scope", "term", "one")
+        need = self.asked.join(reached, ["scope", "term"]).groupBy("query_id").agg((F.max("one") * (1 - 1e-9)).alias("need"))
+        bound = at.join(sent(self.asked), ["scope", "term"]).groupBy("query_id", "stretch").agg(F.sum("most").alias("most"))
+        return bound.join(need, "query_id", "left").where(F.col("need").isNull() | (F.col("most") >= F.col("need"))).select("query_id", "stretch")
+
+    def _lists(self, wanted: DataFrame) -> DataFrame:
+        """(*BLOCK, ord, tf, len, code) of the blocks that wanted (settled) names."""
+        blocks = self.postings.select(*BLOCK, "rows").join(sent(wanted.select(*BLOCK).distinct()), list(BLOCK), "left_semi")
+        return blocks.select(*BLOCK, F.explode("rows").alias("r")).select(*BLOCK, "r.*")
+
+    def _scored(self, rows: DataFrame) -> DataFrame:
+        """(query_id, ord, score) of rows (query_id, scope, term, ord, tf, len, code) within their scopes."""
+        if self.scoped:
+            rows = rows.join(F.broadcast(self.held.select("scope", "code")), ["scope", "code"], "left_semi")
         weighed = rows.join(sent(self.known), ["scope", "term"]).select("query_id", "ord", _weight(F.col("tf"), F.col("len")).alias("w"))
         return weighed.groupBy("query_id", "ord").agg(F.sum("w").alias("score"))
 
     def best(self, k: int) -> DataFrame:
         """(query_id, ord, score, rank): the k best chunks of each query, ties to the smaller ord."""
-        return ranked(self._scored(settle(self._promising(k))), k)
+        wanted = settle(self.asked.join(sent(settle(self._promising(k))), "query_id"))
+        return ranked(self._scored(self._lists(wanted).join(sent(wanted), list(BLOCK))), k)
 
     def of(self, pairs: DataFrame) -> DataFrame:
-        """(query_id, ord, score) of the named (query_id, ord, *SCOPE) that hold a term of their query."""
-        places = pairs.select("query_id", *SCOPE, F.floor(F.col("ord") / self.index.span).alias("stretch")).distinct()
-        scored = self._scored(settle(places.join(sent(self.queries.select("query_id", "scope")), "query_id")))
-        return scored.join(sent(pairs.select("query_id", "ord")), ["query_id", "ord"], "left_semi")
+        """(query_id, ord, score) of the named pairs (query_id, ord) that hold a term of their query."""
+        pairs = settle(pairs.select("query_id", "ord").distinct().withColumn("stretch", F.floor(F.col("ord") / self.index.span)))
+        wanted = settle(self.asked.join(sent(pairs), "query_id").select("query_id", "scope", *BLOCK, "ord"))
+        rows = self._lists(wanted).join(sent(pairs.select("ord").distinct()), "ord", "left_semi")
+        return self._scored(rows.join(sent(wanted), [*BLOCK, "ord"]))
 
 
 def bm25(index: Index, queries: DataFrame, k: int) -> DataFrame:
@@ -233,15 +256,14 @@ def search(index: Index, queries: DataFrame, mode: str = "hybrid", top_k: int =
     else:
         keyword = near.limit(0)
         got = near.select(*cols, none.alias("rrf_score"))
-    named = settle(index.chunks.select("ord", *SCOPE, F.col("vector").alias("__c")).join(sent(got), "ord"))
+    named = settle(index.chunks.select("chunk_id", "ord", F.col("vector").alias("__c")).join(sent(got), "ord"))
     known = keyword.select("query_id", "ord", F.col("score").alias("keyword_score"))
-    rest = lexical.of(named.join(sent(known), ["query_id", "ord"], "left_anti").select("query_id", "ord", *SCOPE)).withColumnRenamed("score", "keyword_score")
-    scores = known.unionByName(rest)
+    rest = lexical.of(named.join(sent(known), ["query_id", "ord"], "left_anti")).withColumnRenamed("score", "keyword_score")
     out = named.join(sent(queries.select("query_id", F.col("vector").alias("__q"))), "query_id").withColumn("cosine_similarity", retrieval.dot(F.col("__c"), F.col("__q")))
-    out = out.join(sent(settle(scores)), ["query_id", "ord"], "left").withColumn("keyword_score", F.coalesce("keyword_score", F.lit(0.0)))
-    return _named(out.select(*cols, "rrf_score", "keyword_score", "cosine_similarity"), index, mode)
+    out = out.join(sent(settle(known.unionByName(rest))), ["query_id", "ord"], "left").withColumn("keyword_score", F.coalesce("keyword_score", F.lit(0.0)))
+    return out.select(*KEYS, "ord", "rank", "rrf_score", "keyword_score", "cosine_similarity", F.lit(mode).alias("retrieval_method"))
 
 
 def _named(got: DataFrame, index: Index, mode: str) -> DataFrame:
-    ids = index.chunks.select("ord", "chunk_id").join(sent(settle(got.select("ord").distinct())), "ord", "left_semi")
-    return got.join(ids, "ord").select(*KEYS, "ord", "rank", "rrf_score", "keyword_score", "cosine_similarity", F.lit(mode).alias("retrieval_method"))
+    ids = index.chunks.select("ord", "chunk_id").join(sent(settle(got)), "ord")
+    return ids.select(*KEYS, "ord", "rank", "rrf_score", "keyword_score", "cosine_similarity", F.lit(mode).alias("retrieval_method"))

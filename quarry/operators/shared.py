@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -71,3 +71,8 @@ def numbered(df: DataFrame, order: list[str], out: str) -> DataFrame:
     base = counts.select("__part", before.alias("__base"))
     inside = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     return placed.withColumn("__part", part).join(F.broadcast(base), "__part").withColumn(out, F.col("__base") + inside).drop("__part", "__base", "__at")
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once a row: a lambda that names an expression computes it for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
