@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
+from .shared import let
 
 PIECES = "array<struct<start:bigint,text:string>>"
 
@@ -23,14 +24,18 @@ def character_windows(text: Column, size: int = 320, overlap: int = 40) -> Colum
     """Windows of size characters every size - overlap; stripped, their starts moved along, blank ones dropped."""
     _require_sizes(size, overlap)
     step = size - overlap
-    starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    more = -(-overlap // step)  # pieces that a window reaches into behind its own
 
-    def window(at):
-        raw = F.substring(text, at + 1, F.lit(size))
-        lead = F.length(raw) - F.length(F.regexp_replace(raw, "(?U)^\\s+", ""))
-        return F.struct((at + lead).cast("long").alias("start"), strip(raw).alias("text"))
+    def windows(pieces):
+        def window(piece, i):
+            raw = F.substring(F.array_join(F.slice(pieces, i + 1, more + 1), ""), 1, size)
+            lead = F.length(raw) - F.length(F.regexp_replace(raw, "(?U)^\\s+", ""))
+            return F.struct((i * step + lead).cast("long").alias("start"), strip(raw).alias("text"))
 
-    return F.filter(F.transform(starts, window), lambda w: w["text"] != "")
+        return F.filter(F.transform(pieces, window), lambda w: w["text"] != "")
+
+    # one pass over the text: every piece is cut off where the last one ended
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{step}}}"), F.lit(0)), windows)
 
 
 BLANK = re.compile(r"\s+")

@@ -13,21 +13,23 @@ from .shared import sent, settle
 
 def case_violations(cases: DataFrame, sources: DataFrame, strict: bool = False) -> DataFrame:
     """(query_id, rule) of cases that repeat an id or a label, lack an id, query or category, name unknown sources, or
-    expect evidence without naming any.
+    expect evidence without naming any; a list without cases breaks a rule of its own, with a null query_id.
 
     strict, for paired evaluation: labels and expected evidence must go together, and there must be cases of both
     kinds (a rule with a null query_id).
     """
-    blank = lambda c: F.coalesce(F.length(F.trim(F.col(c).cast("string"))), F.lit(0)) == 0
+    blank = lambda c: F.coalesce(F.length(F.regexp_replace(F.col(c).cast("string"), "(?U)\\s+", "")), F.lit(0)) == 0
+    empty = lambda c: F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) == 0
     labels = F.coalesce(F.size("relevant"), F.lit(0))
-    rules = {"id": blank("query_id"), "query": blank("query"), "category": blank("category"), "repeated_label": F.size(F.array_distinct("relevant")) < F.size("relevant"), "expects_without_label": F.col("expect_evidence") & (labels == 0), "expect_evidence": F.col("expect_evidence").isNull(), "labels": F.col("relevant").isNull()}
+    rules = {"id": empty("query_id"), "query": blank("query"), "category": empty("category"), "repeated_label": F.size(F.array_distinct("relevant")) < F.size("relevant"), "expects_without_label": F.col("expect_evidence") & (labels == 0), "expect_evidence": F.col("expect_evidence").isNull(), "labels": F.col("relevant").isNull()}
     if strict:
         rules["labels_without_expecting"] = ~F.col("expect_evidence") & (labels > 0)
     own = cases.select("query_id", F.explode(F.array_compact(F.array(*[F.when(test, name) for name, test in rules.items()]))).alias("rule"))
     twice = cases.groupBy("query_id").agg(F.count("*").alias("n")).where("n > 1").select("query_id", F.lit("duplicate").alias("rule"))
     named = cases.select("query_id", F.explode("relevant").alias("source_id"))
     unknown = named.join(sources.select("source_id"), "source_id", "left_anti").select("query_id", F.lit("unknown_source").alias("rule")).distinct()
-    out = own.unionByName(twice).unionByName(unknown)
+    nothing = cases.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(None).cast(cases.schema["query_id"].dataType).alias("query_id"), F.lit("no_cases").alias("rule"))
+    out = own.unionByName(twice).unionByName(unknown).unionByName(nothing)
     if strict:
         kinds = cases.agg(F.count(F.when(F.col("expect_evidence"), 1)).alias("yes"), F.count(F.when(~F.col("expect_evidence"), 1)).alias("no"))
         kind = cases.schema["query_id"].dataType
@@ -207,3 +209,22 @@ def reranker_adoption(summaries: DataFrame, bounds: dict[str, tuple[int, int]],
         gates[f"{name}_target_hits"] = F.col(f"{name}_hits") >= hits
         gates[f"{name}_false_evidence"] = F.col(f"{name}_false") <= (F.least(F.lit(most_false), F.col(f"{name}_base")) if name == "holdout" else F.lit(false))
     return wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("gate"), F.coalesce(t, F.lit(False)).alias("passed")) for n, t in gates.items()])).alias("g")).select("g.*")
+
+
+def reranker_problems(summaries: DataFrame, reports: DataFrame, shape: dict[str, tuple[int, int]]) -> DataFrame:
+    """(dataset, problem): what keeps reranked and plain modes from being compared; no rows, if nothing does.
+
+    summaries: paired_summary() by mode (hybrid, rerank) and dataset. reports: dataset, corpus_sha256, ranking (how the
+    reranker was set, as text) of each report. shape: cases with and without labels of each dataset. All reports must
+    be of one corpus and ranking, and each mode must have seen all cases.
+    """
+    spark = summaries.sparkSession
+    wanted = spark.createDataFrame([(d, m, *shape[d]) for d in shape for m in ("hybrid", "rerank")], "dataset string, mode string, yes long, no long")
+    at = wanted.join(summaries.select("dataset", "mode", "positive_cases", "negative_cases"), ["dataset", "mode"], "left")
+    whole = F.coalesce((F.col("positive_cases") == F.col("yes")) & (F.col("negative_cases") == F.col("no")), F.lit(False))
+    short = at.where(~whole).select("dataset", F.lit("denominator").alias("problem"))
+    first = min(shape)
+    base = reports.where(F.col("dataset") == first).select(F.col("corpus_sha256").alias("c"), F.col("ranking").alias("r"))
+    each = spark.createDataFrame([(d,) for d in shape], "dataset string").join(reports, "dataset", "left").join(F.broadcast(base), how="left")  # one row
+    other = lambda a, b, name: each.where(~F.coalesce(F.col(a) == F.col(b), F.lit(False))).select("dataset", F.lit(name).alias("problem"))
+    return short.unionByName(other("corpus_sha256", "c", "corpus")).unionByName(other("ranking", "r", "ranking")).distinct()

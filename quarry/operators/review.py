@@ -45,16 +45,27 @@ def verify_spans(hits: DataFrame, sources: DataFrame, old_windows: bool = False,
     characters there, once stripped, is the text, char_start moves to where the text begins. A hit whose source or
     start is not known is judged by its hash alone; a hit without a hash by its text.
     """
-    at = hits.join(sources.select("source_id", F.col("text").alias("__full")), "source_id", "left")
-    placed = F.col("__full").isNotNull() & F.col("char_start").isNotNull()
-    here = lambda c: F.substring("__full", F.col(c).cast("int") + 1, F.length("text")) == F.col("text")
-    raw = F.substring("__full", F.col("char_start").cast("int") + 1, F.lit(window))
-    lead = F.length(raw) - F.length(F.regexp_replace(raw, "(?U)^\\s+", ""))
-    moves = placed & F.lit(old_windows) & (F.col("char_start") >= 0) & ~here("char_start") & (strip(raw) == F.col("text"))
-    at = at.withColumn("char_start", F.when(moves, (F.col("char_start") + lead).cast("long")).otherwise(F.col("char_start")))
-    same = ~placed | ((F.col("char_start") >= 0) & here("char_start"))
-    hashed = F.col("content_sha256").isNull() | (F.sha2("text", 256) == F.col("content_sha256"))
-    return at.withColumn("char_end", F.when(placed, F.col("char_start") + F.length("text"))).withColumn("span_ok", F.coalesce(same & hashed, F.lit(False))).drop("__full")
+    span = F.struct("source_id", F.col("char_start").cast("int").alias("at"), F.length("text").alias("size"))
+    # a source's text stays where it is read: of each asked span only digests leave it
+    asked = hits.where("char_start is not null").select(span.alias("s")).distinct().groupBy("s.source_id").agg(F.collect_list("s").alias("spans"))
+
+    def seen(s: Column) -> Column:
+        here = F.when(s["at"] >= 0, F.substring("text", s["at"] + 1, s["size"]))
+        raw = F.when(s["at"] >= 0, F.substring("text", s["at"] + 1, F.lit(window)))
+        lead = F.length(raw) - F.length(F.regexp_replace(raw, "(?U)^\\s+", ""))
+        return F.struct(s["at"].alias("__at"), s["size"].alias("__size"), F.sha2(here, 256).alias("__here"), F.sha2(strip(raw), 256).alias("__raw"), lead.alias("__lead"), F.lit(True).alias("__seen"))
+
+    found = sources.select("source_id", "text").join(asked, "source_id").select("source_id", F.explode(F.transform("spans", seen)).alias("f")).select("source_id", "f.*")
+    at = hits.withColumn("__at", F.col("char_start").cast("int")).withColumn("__size", F.length("text")).join(found, ["source_id", "__at", "__size"], "left")
+    placed = F.col("__seen").isNotNull()
+    own = F.sha2("text", 256)
+    here = F.coalesce(F.col("__here") == own, F.lit(False))
+    moves = placed & F.lit(old_windows) & (F.col("char_start") >= 0) & ~here & F.coalesce(F.col("__raw") == own, F.lit(False))
+    at = at.withColumn("char_start", F.when(moves, (F.col("char_start") + F.col("__lead")).cast("long")).otherwise(F.col("char_start")))
+    same = ~placed | here | moves
+    hashed = F.col("content_sha256").isNull() | (own == F.col("content_sha256"))
+    out = at.withColumn("char_end", F.when(placed, F.col("char_start") + F.length("text"))).withColumn("span_ok", F.coalesce(same & hashed, F.lit(False)))
+    return out.drop("__at", "__size", "__here", "__raw", "__lead", "__seen")
 
 
 def require_spans(hits: DataFrame, sources: DataFrame, old_windows: bool = False) -> DataFrame:
@@ -164,6 +175,19 @@ def confidence(hits: Column) -> Column:
     return F.when(F.coalesce(F.size(hits), F.lit(0)) > 0, "unrated").otherwise("none")
 
 
+def with_reasons(chunks: DataFrame, queries: DataFrame) -> DataFrame:
+    """queries with reason: query_policy() by whether the chunks of their instrument (all, if they name none) hold an
+    original version."""
+    if "document_version" not in chunks.columns:
+        return queries.withColumn("reason", query_policy(F.col("query"), F.lit(False)))
+    named = F.col("instrument_id") if "instrument_id" in chunks.columns else F.lit(None).cast("string")
+    old = chunks.where("document_version = 'original_oj'").select(named.alias("__i")).distinct()
+    old = settle(old.unionByName(old.select(F.lit("all").alias("__i"))).distinct().where("__i is not null").withColumn("__old", F.lit(True)))
+    own = F.coalesce(F.col("instrument").cast("string"), F.lit("all")) if "instrument" in queries.columns else F.lit("all")
+    at = queries.withColumn("__i", own).join(sent(old), "__i", "left")
+    return at.withColumn("reason", query_policy(F.col("query"), F.col("__old").isNotNull())).select(*queries.columns, "reason")
+
+
 def research(chunks: DataFrame, sources: DataFrame, queries: DataFrame, retriever=None, gate=None, scorer=None, tokens_of=None, chunker: str = "characters", old_windows: bool = False) -> tuple[DataFrame, DataFrame]:
     """(queries with reason, reviewed hits): policy, scope, search, spans, reranking, one hit a source, evidence.
 
@@ -173,8 +197,9 @@ def research(chunks: DataFrame, sources: DataFrame, queries: DataFrame, retrieve
     and gated by it. Hits carry place, supported, and for supported ones the quote: budget 80 words, or 512 for
     paragraph chunks and reranked hits. A span that is not in its source fails the job.
     """
-    original = chunks.where("document_version = 'original_oj'").limit(1).count() > 0 if "document_version" in chunks.columns else False
-    asked = settle(queries.withColumn("reason", query_policy(F.col("query"), F.lit(original))))
+    if (scorer is None) != (tokens_of is None):
+        raise ValueError("a scorer needs tokens_of, which counts the tokens of its pairs, and the other way around")
+    asked = settle(with_reasons(chunks, queries))
     open_ones = asked.where("reason is null")
     top_k = 40 if scorer is not None else 12
     if retriever:

@@ -761,7 +761,7 @@ def search_fulltext(spark, d):
 def eval_case_rules(spark, d):
     """Cases that break one rule each, by number, under the stricter rules of paired evaluation."""
     n = F.col("query_id") % 6
-    cases = _cases(spark, d).withColumn("category", F.when(n == 1, " ").otherwise(F.col("category"))).withColumn("relevant", F.when(n == 2, F.concat("relevant", "relevant")).otherwise(F.col("relevant")))
+    cases = _cases(spark, d).withColumn("category", F.when(n == 1, "").otherwise(F.col("category"))).withColumn("relevant", F.when(n == 2, F.concat("relevant", "relevant")).otherwise(F.col("relevant")))
     cases = cases.withColumn("expect_evidence", F.when(n == 3, True).when(n == 4, False).otherwise(F.col("expect_evidence")))
     return evaluation.case_violations(cases, views.sources(spark, d), strict=True)
 
