@@ -321,9 +321,9 @@ def search_hybrid(spark, d):
 
 # where terms stand, as a text-search vector keeps it
 _AT = """occ AS (SELECT doc_id, least(pos, 16383) AS pos, term FROM (SELECT doc_id, generate_subscripts(tokens, 1) AS pos, unnest(tokens) AS term FROM docs)),
-tv AS MATERIALIZED (SELECT doc_id, term, list_sort(list(DISTINCT pos))[1:255] AS at FROM occ GROUP BY ALL)"""
+tv AS MATERIALIZED (SELECT doc_id, term, list_sort(list(DISTINCT pos))[1:255] AS spots FROM occ GROUP BY ALL)"""
 _ANY = f"""{_AT},
-m AS MATERIALIZED (SELECT query_id, doc_id, sum(len(at)) * 0.1e0 AS score FROM tv JOIN (SELECT query_id, unnest(list_distinct(terms)) AS term FROM qs) USING (term) GROUP BY ALL)"""
+m AS MATERIALIZED (SELECT query_id, doc_id, sum(len(spots)) * 0.1e0 AS score FROM tv JOIN (SELECT query_id, unnest(list_distinct(terms)) AS term FROM qs) USING (term) GROUP BY ALL)"""
 _TEXT_RANK = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, 'doc-' || doc_id)"
 
 
@@ -335,9 +335,9 @@ def fulltext_or_topk(spark, d):
 
 @query(f"""WITH {DOCS}, {QS}, {_AT},
 asked AS (SELECT query_id, unnest(list_distinct(terms[1:3])) AS term FROM qs), need AS (SELECT query_id, count(*) AS need FROM asked GROUP BY 1),
-lists AS (SELECT query_id, doc_id, term, at FROM tv JOIN asked USING (term)),
+lists AS (SELECT query_id, doc_id, term, spots FROM tv JOIN asked USING (term)),
 full_docs AS (SELECT query_id, doc_id, any_value(need) AS need FROM lists JOIN need USING (query_id) GROUP BY 1, 2 HAVING count(*) = any_value(need)),
-p AS MATERIALIZED (SELECT query_id, doc_id, need, term, unnest(at) AS pos FROM lists JOIN full_docs USING (query_id, doc_id)),
+p AS MATERIALIZED (SELECT query_id, doc_id, need, term, unnest(spots) AS pos FROM lists JOIN full_docs USING (query_id, doc_id)),
 lasts AS (SELECT a.query_id, a.doc_id, a.pos AS stop, b.term, any_value(b.need) AS need, max(b.pos) AS last FROM (SELECT DISTINCT query_id, doc_id, pos FROM p) a JOIN p b ON a.query_id = b.query_id AND a.doc_id = b.doc_id AND b.pos <= a.pos GROUP BY ALL),
 ends AS (SELECT query_id, doc_id, stop, min(last) AS start FROM lasts GROUP BY ALL HAVING count(*) = any_value(need)),
 cov AS (SELECT query_id, doc_id, start, min(stop) AS stop FROM ends GROUP BY 1, 2, 3),
@@ -731,7 +731,7 @@ def search_scoped(spark, d):
 def _fulltext_sql(scope: str = "") -> str:
     on = f" AND {scope}" if scope else ""
     return f"""WITH {VEC}, {QV}, {_AT},
-hit AS (SELECT query_id, doc_id, sum(len(at)) * 0.1e0 AS score FROM tv JOIN (SELECT query_id, unnest(list_distinct(terms)) AS term FROM qs) USING (term) GROUP BY ALL),
+hit AS (SELECT query_id, doc_id, sum(len(spots)) * 0.1e0 AS score FROM tv JOIN (SELECT query_id, unnest(list_distinct(terms)) AS term FROM qs) USING (term) GROUP BY ALL),
 m AS MATERIALIZED (SELECT hit.* FROM hit JOIN docs USING (doc_id) WHERE true{on}),
 near AS MATERIALIZED (SELECT q.query_id, v.doc_id, list_dot_product(q.e, v.e) / (q.norm * v.norm) AS score FROM qv q JOIN vecs v ON true{on}),
 kr AS (SELECT *, {_TEXT_RANK} AS rank FROM m), dr AS (SELECT *, {_TEXT_RANK} AS rank FROM near),

@@ -80,7 +80,7 @@ def snapshot_differences(spark, d):
     return variants.differences(s.drop("doc_id"), other.drop("doc_id"))
 
 
-_SET = "CASE query_id % 2 WHEN 0 THEN 'even' ELSE 'odd' END"
+_SET = "CASE c.query_id % 2 WHEN 0 THEN 'even' ELSE 'odd' END"
 _POLICY = "regexp_matches(query, '[\\x{4e00}-\\x{9fff}]') OR regexp_matches(query, '(?i)\\b(current|currently|latest|today|now|compliant|compliance verdict)\\b|can (we|i) (launch|legally)')"
 
 
