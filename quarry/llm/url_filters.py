@@ -18,6 +18,8 @@ LINK = r"""(?i)(?:href|src|action)\s*=\s*["']?([^"'\s>]+)"""
 OWNER = r"(?:&copy;|©)\s*([A-Za-z0-9.-]+\.[A-Za-z0-9-]+(?::\d+)?)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 UNITS = 10**15
+#: How far distrust must be above trust, as a share of trust, to block a host.
+MARGIN = 0.1
 #: Weights are whole numbers, so that their sums do not depend on order.
 WEIGHT = 10**6
 
@@ -115,11 +117,12 @@ def host_scores(pages: DataFrame, tolerance: float = 0.05, damping: float = 0.85
     return now
 
 
-def filter_urls(pages: DataFrame, rules=RULES, tolerance: float = 0.05, damping: float = 0.85) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, tolerance: float = 0.05, damping: float = 0.85, margin: float = MARGIN) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust for every row of pages.
 
-    The longest fitting rule decides; where none fits, a host is blocked if its distrust is above its trust. A
-    null url, or one without ://, has an empty host and path, fits no rule and is allowed; so is a host that
+    The longest fitting rule decides; where none fits, a host is blocked if its distrust is above its trust by more
+    than margin times it: in a dense graph hosts far from all seeds get nearly equal shares of both, and which of these
+    is larger says nothing. A host that only distrust reaches is blocked whatever the margin. A null url, or one without ://, has an empty host and path, fits no rule and is allowed; so is a host that
     neither reaches. A null html names no host. Repeated rows are judged each; an empty table gives no rows;
     other columns are left out.
     """
@@ -127,7 +130,7 @@ def filter_urls(pages: DataFrame, rules=RULES, tolerance: float = 0.05, damping:
     scores = host_scores(rows, tolerance, damping)
     at = rows.drop("html", "url").join(scores, "host", "left")
     trust, distrust = F.coalesce("trust", F.lit(0)), F.coalesce("distrust", F.lit(0))
-    verdict = F.coalesce("ruled", F.when(distrust > trust, "block").otherwise("allow"))
+    verdict = F.coalesce("ruled", F.when(distrust > trust * F.lit(1 + margin), "block").otherwise("allow"))
     return at.select("page_id", "host", "path", "rule", verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
 
 
@@ -136,7 +139,7 @@ def op1_url_filters(spark, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
-def op1_sql(rules=RULES, tolerance: float = 0.05, damping: float = 0.85) -> str:
+def op1_sql(rules=RULES, tolerance: float = 0.05, damping: float = 0.85, margin: float = MARGIN) -> str:
     fits = [(h + p, f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", v) for h, p, v in sorted(rules, key=lambda r: -len(r[0] + r[1]))]
     rule = " ".join(f"WHEN {c} THEN '{r}'" for r, c, _ in fits)
     ruled = " ".join(f"WHEN {c} THEN '{v}'" for _, c, v in fits)
@@ -184,7 +187,7 @@ r0 AS MATERIALIZED (
          floor(bad * 1e15 / greatest((SELECT sum(bad) FROM seeds), 1)::DOUBLE)::BIGINT AS distrust FROM seeds),
 {steps}
 SELECT page_id, rows.host, path, rule,
-       coalesce(ruled, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict,
+       coalesce(ruled, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) * {1 + margin!r}::DOUBLE THEN 'block' ELSE 'allow' END) AS verdict,
        coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust
 FROM rows LEFT JOIN r{rounds} USING (host)
 """

@@ -84,6 +84,12 @@ def test_urls_by_rule_and_by_links(spark):
     assert {(e.host, e.target) for e in edges} == {("good.org", "/menu/x"), ("one.net", "/menu/x"), ("bad.com", "/shop"), ("two.net", "/shop"), ("10.0.0.1:80", "//two.net"), ("two.net", "//two.net")}
     by = {r.page_id: r for r in url_filters.filter_urls(judged).collect()}
     assert by[2].trust > 0 == by[2].distrust and by[4].distrust > 0 and by[6].verdict == "block" and by[5].verdict == "allow"
+    # a host as near to trusted as to blocked ones is blocked by no margin that asks for more distrust than trust
+    even = [(1, "http://good.org/a", '<a href="/menu/x">'), (2, "http://bad.com/de/", "<a href='/shop'>"), (3, "http://both.net/", '<a href="/menu/x"><a href="/shop">')]
+    even = url_filters.judged(spark.createDataFrame(even, "page_id long, url string, html string"))
+    verdicts = [{r.page_id: r for r in url_filters.filter_urls(even, margin=m).collect()}[3] for m in (url_filters.MARGIN, -0.5)]
+    assert abs(verdicts[0].trust - verdicts[0].distrust) * 10**6 < verdicts[0].trust
+    assert [v.verdict for v in verdicts] == ["allow", "block"]
     assert url_filters.host_edges(url_filters.judged(spark.read.parquet(f"{SF}/pages.parquet"))).count() > 0
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert url_filters.filter_urls(empty).count() == 0
