@@ -96,6 +96,16 @@ def paragraph_windows(text: Column, size: int = 1200, overlap: int = 160) -> Col
     return F.udf(lambda t: cut_paragraphs(t or "", size, overlap), PIECES, useArrow=True)(text)
 
 
+def distinct_windows(windows: Column) -> Column:
+    """Windows by start, of equal texts the first: equal ones stand together once sorted."""
+
+    def firsts(s: Column) -> Column:
+        new = F.filter(s, lambda x, i: (i == 0) | (x["text"] != F.get(s, i - 1)["text"]))
+        return F.array_sort(F.transform(new, lambda x: F.struct(x["start"].alias("start"), x["text"].alias("text"))))
+
+    return let(F.array_sort(F.transform(windows, lambda w: F.struct(w["text"].alias("text"), w["start"].alias("start")))), firsts)
+
+
 def markdown_pieces(body: Column, most: int = 900, gap: str = "\n\n") -> Column:
     """Paragraphs packed in order into pieces of at most `most` characters; a longer paragraph stays whole."""
     paragraphs = F.filter(F.transform(F.split(body, gap), strip), lambda p: p != "")

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.dates import is_iso
 from ..functions.text import chunk_id, clean, unit
 from ..sources.writers import corpus_digest
-from .chunking import character_windows, explode_windows, paragraph_windows
-from .shared import sent, settle
+from .chunking import character_windows, distinct_windows, explode_windows, paragraph_windows
+from .shared import let, sent, settle
 
 # What a source must have, what its status may be, and how its id and locator must look.
 REQUIRED = ("source_id", "source_title", "source_url", "retrieved_at", "text")
@@ -55,12 +55,19 @@ def chunks(docs: DataFrame, chunker: str = "characters", ascii_only: bool = Fals
     if chunker not in ("characters", "paragraphs"):
         raise ValueError(f"unknown chunker {chunker}")
     cleaned = docs.withColumn("text", clean(F.col("text"), ascii_only))
-    windows = character_windows(F.col("text")) if chunker == "characters" else paragraph_windows(F.col("text"))
-    out = explode_windows(cleaned, windows)
-    out = out.withColumn("content_sha256", F.sha2("text", 256)).withColumn("chunk_id", chunk_id(F.col("source_id"), F.col("char_start"), F.col("text")))
+    cut = character_windows if chunker == "characters" else paragraph_windows
+    private = F.coalesce(field(docs, "source_kind"), F.lit("")) == "private_book"
+    hashed = lambda rows: rows.withColumn("content_sha256", F.sha2("text", 256)).withColumn("chunk_id", chunk_id(F.col("source_id"), F.col("char_start"), F.col("text")))
+    twice = settle(docs.groupBy(F.col("source_id").alias("__s")).agg(F.count("*").alias("n")).where("n > 1").select("__s"))
+    shared, same = not twice.isEmpty(), F.col("source_id").eqNullSafe(F.col("__s"))
+    # a source that is one row repeats its texts within that row, so none of its windows is moved to see that
+    once = cleaned.join(sent(twice), same, "left_anti") if shared else cleaned
+    out = hashed(explode_windows(once, let(cut(F.col("text")), lambda w: F.when(private, w).otherwise(distinct_windows(w)))))
+    if not shared:
+        return out
+    again = hashed(explode_windows(cleaned.join(sent(twice), same, "left_semi"), cut(F.col("text"))))
     nth = F.row_number().over(W.partitionBy("source_id", "content_sha256").orderBy("char_start"))
-    keep = (F.col("nth") == 1) | (F.coalesce(field(docs, "source_kind"), F.lit("")) == "private_book")
-    return out.withColumn("nth", nth).where(keep).drop("nth")
+    return out.unionByName(again.withColumn("nth", nth).where((F.col("nth") == 1) | private).drop("nth"))
 
 
 def prepare(docs: DataFrame, chunker: str = "characters") -> DataFrame:
