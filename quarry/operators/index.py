@@ -10,6 +10,9 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions.text import clean, retrieval_text, tokens
 from ..sources.writers import require_vectors
 from . import prepare, retrieval
+from .lexical import Best, Terms, Weights
 from .retrieval import B, K1, KEYS, NATIONAL, fuse, ranked
 from .shared import exists, let, numbered, publish, sent, settle
 
@@ -147,8 +151,9 @@ class Lexical:
     counts and mean lengths are those of the scope. An unknown instrument is an error.
     """
 
-    def __init__(self, index: Index, queries: DataFrame):
-        self.index = index
+    def __init__(self, index: Index, queries: DataFrame, most: int = 500_000):
+        """most: asked terms that go to every task; more are joined to the lists instead."""
+        self.index, self.most = index, most
         self.scoped = bool({"instrument", "region"} & set(queries.columns))
         one = lambda c: F.col(c).cast("string") if c in queries.columns else F.lit(None).cast("string")
         named = queries.withColumn("__i", F.coalesce(one("instrument"), F.lit("all"))).withColumn("__r", F.coalesce(one("region"), F.lit("")))
@@ -210,7 +215,61 @@ class Lexical:
     def best(self, k: int) -> DataFrame:
         """(query_id, ord, score, rank): the k best chunks of each query, ties to the smaller ord."""
         wanted = settle(self.asked.join(sent(settle(self._promising(k))), "query_id"))
-        return ranked(self._scored(self._lists(wanted).join(sent(wanted), list(BLOCK))), k)
+        if self.asked.count() > self.most:
+            return ranked(self._scored(self._lists(wanted).join(sent(wanted), list(BLOCK))), k)
+        return ranked(self._candidates(wanted, k), k)
+
+    def _candidates(self, wanted: DataFrame, k: int) -> DataFrame:
+        """(query_id, ord, score): the k best of each query in each task. The wanted lists of a stretch meet in one task;
+        a query that does not want it may be given too low a score there, which is none of its k best either way."""
+        spark, kind = wanted.sparkSession, self.asked.schema["query_id"].dataType
+        schema = f"query_id {kind.simpleString()}, ord long, score double"
+        rows = self.asked.join(sent(self.known), ["scope", "term"]).select("query_id", "scope", "term", "idf", "mean").toArrow()
+        if not len(rows):
+            return spark.createDataFrame([], schema)
+        terms = Terms(rows.select(["scope", "term"]))
+        weights = Weights(terms, rows, rows["query_id"].combine_chunks().unique())
+        groups: dict[str, list] = {}
+        for r in self.held.select("scope", "code").collect():  # few: instruments by jurisdictions, for each scope
+            groups.setdefault(r.scope, []).append(r.code)
+        inside = [np.array(groups.get(s.as_py(), []), np.int64) for s in terms.scopes]
+
+        def score(best, parts):
+            table = pa.Table.from_batches(parts)
+            lists = table["rows"].combine_chunks()
+            p = lists.flatten()
+            ords, tf, length, group = (p.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("ord", "tf", "len", "code"))
+            code = pc.index_in(table["term"].combine_chunks(), value_set=terms.vocabulary).to_numpy(zero_copy_only=False).astype(np.int64)
+            code = code[pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)]
+            names, first, row = np.unique(ords, return_index=True, return_inverse=True)
+            order = np.lexsort((code, row))
+            row, code, tf, length, group = row[order], code[order], tf[order], length[first], group[first]
+            for s, codes in enumerate(inside):
+                at = terms.places(s, code)
+                own = (at >= 0) & np.isin(group, codes)[row]
+                weights.score(best, s, np.unique(row[own]), length, row[own], at[own], tf[own], names, pa.array(names))
+
+        def run(batches):
+            best, held, stretch = Best(k, len(weights.questions)), [], None
+            for batch in batches:
+                at = batch.column("stretch").to_numpy(zero_copy_only=False)
+                cuts = np.flatnonzero(at[1:] != at[:-1]) + 1
+                for a, b in zip([0, *cuts], [*cuts, len(at)]):
+                    if a < b:
+                        if held and at[a] != stretch:
+                            score(best, held)
+                            held = []
+                        stretch = at[a]
+                        held.append(batch.slice(a, b - a))
+            if held:
+                score(best, held)
+            best.shrink()
+            for q, _, ords, scores, _ in best.parts:
+                yield pa.RecordBatch.from_arrays([weights.questions.take(pa.array(q)), pa.array(ords), pa.array(scores)], ["query_id", "ord", "score"])
+
+        blocks = self.postings.select(*BLOCK, "rows").join(sent(wanted.select(*BLOCK).distinct()), list(BLOCK), "left_semi")
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return blocks.repartition(n, "stretch").sortWithinPartitions("stretch").mapInArrow(run, schema)
 
     def of(self, pairs: DataFrame) -> DataFrame:
         """(query_id, ord, score) of the named pairs (query_id, ord) that hold a term of their query."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import index as indexes
 from . import review
-from .shared import let, sent, settle
+from .shared import let, met, sent, settle
 
 MODEL = ("model_id", "dimension", "query_prefix")
 
@@ -84,7 +84,7 @@ def compare(variants: dict[str, indexes.Index], datasets: dict[str, DataFrame],
             asked = settle(cases)
             got = settle(indexes.search(index, asked.where("reason is null"), mode, top_k))
             about = index.chunks.select("chunk_id", "source_id", "review_status", tokens(F.col("text")).alias("body"))
-            hits = sent(got).join(about, "chunk_id").join(sent(asked.select("query_id", "terms")), "query_id")
+            hits = settle(met(got, about, "chunk_id")).join(sent(asked.select("query_id", "terms")), "query_id")
             one = review.diverse(hits, most)
             one = one.withColumn("good", F.coalesce(review.supported(one, h_terms="body"), F.lit(False)))
             named = lambda rows: F.transform(F.array_sort(rows), lambda x: x["source_id"])

@@ -11,7 +11,7 @@ from ..functions.dates import is_iso
 from ..functions.schema import CHUNK, RESULT, broken
 from ..operators import evaluation, index, prepare, retrieval, review, variants
 from ..operators.model_scorer import model_scorer
-from ..operators.shared import scratch, sent, settle
+from ..operators.shared import met, scratch, settle
 from ..sources.corpus import Corpus
 from . import catalogue, views
 from .catalogue import _CTX, _QRELS, DOCS, GATE, ORACLE, QS, _bm25, _r, _tokens, query
@@ -168,7 +168,7 @@ def rerank_model_review(spark, d):
     """Forty hits of the index scored by a model in batches of 16, longest pairs first, then ranked and gated by it."""
     q = settle(views.questions(spark, d))
     ix = views.indexed(spark, d)
-    hits = sent(settle(index.search(ix, q, "hybrid", 40))).join(ix.chunks.select("chunk_id", "source_id", "review_status", "text"), "chunk_id").join(q.select("query_id", "query"), "query_id")
+    hits = met(settle(index.search(ix, q, "hybrid", 40)), ix.chunks.select("chunk_id", "source_id", "review_status", "text"), "chunk_id").join(q.select("query_id", "query"), "query_id")
     score = model_scorer("shared words", SharedWords, F.col("query"), F.col("text"), limit=1 << 20)
     rows = review.diverse(review.rerank(hits.drop("text", "query").withColumn("rerank_score", F.lit(0.0)).join(settle(hits.select("query_id", "chunk_id", score.alias("s"))), ["query_id", "chunk_id"]), F.col("s")))
     return rows.select("query_id", "source_id", F.col("place").cast("long").alias("place"), review.rerank_supported().alias("kept"))

@@ -120,3 +120,26 @@ def test_build_chains_all_steps(spark, tmp_path):
     with pytest.raises(Exception, match="over 5 tokens"):
         index.build(df, str(tmp_path / "long"), MODEL, encoder, words, limit=5)
     assert not (tmp_path / "long").exists()
+
+
+def test_best_of_lists_is_what_their_join_ranks(spark, tmp_path, monkeypatch):
+    """Every posting met every question that asks for it in a shuffle; now a stretch's lists are scored in one task."""
+    import random
+
+    from quarry.operators import index, lexical
+
+    monkeypatch.setattr(lexical, "WAITING", 50)
+    dice, words = random.Random(3), [f"w{i}" for i in range(25)]
+    rows = [(f"c{i}", i, "ab"[i % 2], "en" if i % 3 else "fr", [w for w in words if dice.random() < 0.3], None) for i in range(300)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, ord long, instrument_id string, jurisdiction string, tokens array<string>, vector array<double>")
+    path = str(tmp_path / "ix")
+    index.write(path, chunks, chunks.select("chunk_id"), spark.createDataFrame([("m",)], "model_id string"), buckets=4, span=32)
+    ix = index.read(spark, path)
+    asked = [(i, [None, "all", "a"][i % 3], [None, "en"][i % 2], dice.sample([*words, "unknown"], 1 + i % 5)) for i in range(20)]
+    queries = spark.createDataFrame(asked, "query_id long, instrument string, region string, terms array<string>")
+    for q in (queries, queries.drop("instrument", "region")):
+        want, got = (sorted((r.query_id, r.rank, r.ord, round(r.score, 9)) for r in index.Lexical(ix, q, most).best(4).collect()) for most in (1, 500_000))
+        assert want and got == want
+        monkeypatch.setattr(index.Lexical, "_scored", lambda *_: 1 / 0)
+        assert index.Lexical(ix, q).best(4).count() == len(want)
+        monkeypatch.undo()
