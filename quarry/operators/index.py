@@ -27,6 +27,9 @@ from .shared import exists, let, numbered, publish, sent, settle
 SCOPE = ("instrument_id", "jurisdiction")
 PARTS = ("chunks", "sources", "postings", "frequencies", "groups", "manifest")
 BLOCK = ("term", "stretch")
+HEAD = [*BLOCK, "n", "max_tf", "min_len", "best"]
+#: A posting as it is shuffled.
+POSTING = np.dtype([("ord", "<i8"), ("tf", "<i4"), ("len", "<i8"), ("code", "<i4")])
 #: The scope of queries that ask for nothing in particular.
 WHOLE = "all|"
 
@@ -57,24 +60,103 @@ def counted(words: Column) -> Column:
 
 def posting_blocks(chunks: DataFrame, buckets: int, span: int) -> DataFrame:
     """(bucket, *BLOCK, n, max_tf, min_len, best, rows) of chunks (ord, code, tokens): rows are (ord, tf, len, code) by
-    ord, span of them at most; best is (tf, len) of one with the highest tf."""
-    at = chunks.select("ord", "code", F.size("tokens").cast("long").alias("len"), F.floor(F.col("ord") / span).alias("stretch"), F.explode(counted(F.col("tokens"))).alias("c"))
-    rows = at.select("c.term", "stretch", F.struct("ord", F.col("c.tf").alias("tf"), "len", "code").alias("p"))
-    blocks = rows.groupBy(*BLOCK).agg(
-        F.count("*").alias("n"), F.max("p.tf").alias("max_tf"), F.min("p.len").alias("min_len"),
-        F.max(F.struct(F.col("p.tf").alias("tf"), (-F.col("p.len")).alias("shorter"))).alias("best"), F.array_sort(F.collect_list("p")).alias("rows"),
-    )
-    best = F.struct(F.col("best.tf").alias("tf"), (-F.col("best.shorter")).alias("len")).alias("best")
-    return blocks.select(_bucket(buckets), *BLOCK, "n", "max_tf", "min_len", best, "rows")
+    ord, span of them at most; best is (tf, len) of one with the highest tf.
+
+    Chunks are shuffled by stretch with each term once, and blocks by bucket as packed numbers; no posting is a row.
+    """
+
+    def count(batches):
+        for batch in batches:
+            for a in range(0, len(batch), 1024):
+                yield _counts(batch.slice(a, 1024), span)
+
+    def block(batches):
+        held, at = [], None
+        for batch in batches:
+            stretch = batch.column("stretch").to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(stretch[1:] != stretch[:-1]) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(stretch)]):
+                if a < b:
+                    if held and stretch[a] != at:
+                        yield from _blocks(pa.Table.from_batches(held))
+                        held = []
+                    at = stretch[a]
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield from _blocks(pa.Table.from_batches(held))
+
+    def unpack(batches):
+        for batch in batches:
+            yield _unpacked(batch)
+
+    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    head = "term string, stretch long, n long, max_tf long, min_len long, best struct<tf:long,len:long>"
+    counts = chunks.select("ord", F.col("code").cast("int").alias("code"), "tokens").mapInArrow(count, "stretch long, ord long, code int, len long, terms array<string>, tf array<int>")
+    blocks = counts.repartition(n, "stretch").sortWithinPartitions("stretch", "ord").mapInArrow(block, "term string, stretch long, packed binary")
+    near = F.floor(F.col("stretch") / 64)  # a term of very many chunks is written by several tasks
+    dealt = blocks.withColumn("bucket", _bucket(buckets)).repartition("bucket", near).sortWithinPartitions("bucket", *BLOCK)
+    return dealt.drop("bucket").mapInArrow(unpack, f"{head}, rows array<struct<ord:long,tf:long,len:long,code:int>>").select(_bucket(buckets), *HEAD, "rows")
+
+
+def _counts(batch: pa.RecordBatch, span: int) -> pa.RecordBatch:
+    """A row a chunk with each of its terms once; chunks without tokens are in no block."""
+    tokens = batch.column("tokens")
+    words = tokens.flatten().dictionary_encode()
+    row = pc.list_parent_indices(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+    n = max(1, len(words.dictionary))
+    key, tf = np.unique(row * n + words.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    has, size = np.unique(key // n, return_counts=True)
+    ends = pa.array(np.r_[0, np.cumsum(size)], pa.int32())
+    has = pa.array(has)
+    ords = batch.column("ord").take(has)
+    terms, tfs = pa.ListArray.from_arrays(ends, words.dictionary.take(pa.array(key % n))), pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32()))
+    stretch = pa.array(ords.to_numpy(zero_copy_only=False) // span)
+    return pa.RecordBatch.from_arrays([stretch, ords, batch.column("code").take(has), pc.list_value_length(tokens).cast(pa.int64()).take(has), terms, tfs], ["stretch", "ord", "code", "len", "terms", "tf"])
+
+
+def _blocks(chunks: pa.Table, most: int = 1 << 20):
+    """The blocks of one stretch's chunks, which are in ord's order; batches of about `most` postings."""
+    lists = chunks["terms"].combine_chunks()
+    words = lists.flatten().dictionary_encode()
+    term, row = words.indices.to_numpy(zero_copy_only=False), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+    order = np.argsort(term, kind="stable")
+    term, row = term[order], row[order]
+    rows = np.empty(len(term), POSTING)
+    rows["tf"] = chunks["tf"].combine_chunks().flatten().to_numpy(zero_copy_only=False)[order]
+    for c in ("ord", "len", "code"):
+        rows[c] = chunks[c].to_numpy()[row]
+    first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
+    ends = np.r_[first[1:], len(term)]
+    cuts = np.searchsorted(first, np.arange(most, len(term), most))
+    for a, b in zip([0, *cuts], [*cuts, len(first)]):
+        if a < b:
+            packed = pa.array([rows[i:k].tobytes() for i, k in zip(first[a:b], ends[a:b])], pa.binary())
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(term[first[a:b]])), pa.array(np.full(b - a, chunks["stretch"][0].as_py())), packed], [*BLOCK, "packed"])
+
+
+def _unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Packed blocks with their statistics and lists."""
+    p = np.frombuffer(b"".join(batch.column("packed").to_pylist()), POSTING)
+    n = pc.binary_length(batch.column("packed")).to_numpy(zero_copy_only=False).astype(np.int64) // POSTING.itemsize
+    first, tf, length = np.cumsum(n) - n, p["tf"].astype(np.int64), p["len"]
+    most, shortest = (f.reduceat(x, first) if len(n) else x for f, x in ((np.maximum, tf), (np.minimum, length)))
+    # of those with the highest tf the shortest
+    best = np.where(tf == np.repeat(most, n), length, np.iinfo(np.int64).max)
+    best = np.minimum.reduceat(best, first) if len(n) else best
+    cols = [pa.array(x) for x in (p["ord"].copy(), tf, length.copy(), p["code"].copy())]
+    rows = pa.ListArray.from_arrays(pa.array(np.r_[first, len(p)], pa.int32()), pa.StructArray.from_arrays(cols, ["ord", "tf", "len", "code"]))
+    top = pa.StructArray.from_arrays([pa.array(most), pa.array(best)], ["tf", "len"])
+    return pa.RecordBatch.from_arrays([*batch.select(list(BLOCK)).columns, *(pa.array(x) for x in (n, most, shortest)), top, rows], [*HEAD, "rows"])
 
 
 def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
 
 
-def write(path: str, chunks: DataFrame, sources: DataFrame, manifest: DataFrame, dimension: int | None = None, buckets: int = 64, span: int = 4096) -> None:
+def write(path: str, chunks: DataFrame, sources: DataFrame, manifest, dimension: int | None = None, buckets: int = 64, span: int = 4096) -> None:
     """The index of chunks (chunk_id, ord, tokens, vector and more) under path, all of it or nothing.
 
+    manifest is a row, or a function that makes it of the written chunks, so that these are not computed again.
     Everything is staged beside path and renamed once it is whole; an existing index fails the write. With dimension,
     a vector that is not of it fails the job; a chunk without a vector then fails too.
     """
@@ -91,11 +173,10 @@ def write(path: str, chunks: DataFrame, sources: DataFrame, manifest: DataFrame,
     put(groups.withColumn("code", F.row_number().over(W.orderBy(*SCOPE))), "groups")  # few: instruments by jurisdictions
     groups = spark.read.parquet(f"{staged}/groups").select(*SCOPE, "code")
     coded = kept.select("ord", "tokens", *SCOPE).alias("c").join(sent(groups).alias("g"), _same("c", "g", SCOPE)).select("c.ord", "c.tokens", "g.code")
-    near = F.floor(F.col("stretch") / 64)  # a term of very many chunks is written by several tasks
-    blocks = posting_blocks(coded, buckets, span).repartition("bucket", near).sortWithinPartitions("bucket", *BLOCK)
-    blocks.write.partitionBy("bucket").parquet(f"{staged}/postings")
+    posting_blocks(coded, buckets, span).write.partitionBy("bucket").parquet(f"{staged}/postings")
     counts = spark.read.parquet(f"{staged}/postings").select("bucket", "term", F.explode("rows.code").alias("code")).groupBy("bucket", "term", "code").agg(F.count("*").alias("df"))
     counts.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{staged}/frequencies")
+    manifest = manifest(kept) if callable(manifest) else manifest
     put(manifest.select("*", F.lit(buckets).alias("buckets"), F.lit(span).alias("span")), "manifest")
     publish(spark, staged, path)
 
@@ -129,7 +210,7 @@ def build(docs: DataFrame, path: str, model: dict, encoder, tokens_of, chunker:
     own = F.col("text") if context == "none" else retrieval_text(prepare.field(chunks, "source_title"), prepare.field(chunks, "section"), F.col("text"))
     ready = prepare.encoded(chunks, own, encoder, tokens_of, model["dimension"], limit).withColumn("tokens", tokens(own))
     sources = docs.withColumn("text", clean(F.col("text")))
-    write(path, numbered(ready, ["source_id", "char_start"], "ord"), sources, prepare.manifest(chunks, model, chunker, context), model["dimension"], **layout)
+    write(path, numbered(ready, ["source_id", "char_start"], "ord"), sources, lambda c: prepare.manifest(c, model, chunker, context), model["dimension"], **layout)
 
 
 def _same(a: str, b: str, cols) -> Column:
@@ -239,7 +320,7 @@ class Lexical:
             lists = table["rows"].combine_chunks()
             p = lists.flatten()
             ords, tf, length, group = (p.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("ord", "tf", "len", "code"))
-            code = pc.index_in(table["term"].combine_chunks(), value_set=terms.vocabulary).to_numpy(zero_copy_only=False).astype(np.int64)
+            code = pc.fill_null(pc.index_in(table["term"].combine_chunks(), value_set=terms.vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
             code = code[pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)]
             names, first, row = np.unique(ords, return_index=True, return_inverse=True)
             order = np.lexsort((code, row))
