@@ -1,7 +1,7 @@
 """SimHash near-duplicates: a binary trie of fingerprints joined with itself under a Hamming error budget.
 
 near_duplicates() links fingerprints of three-word shingles by their differing bits alone. near_copies() takes the
-links that the trie join proposes as candidates and settles each by the texts: five words, a similarity of 0.8.
+links that the trie join proposes as candidates and settles what they connect by the texts: five words, a similarity of 0.8.
 """
 
 from __future__ import annotations
@@ -346,6 +346,7 @@ def _forest(texts: DataFrame, hot: int = 200_000) -> DataFrame:
 def _candidates(texts: DataFrame, hot: int = 200_000) -> DataFrame:
     """(a, b): all pairs of texts with different roots that have ERRORS or fewer differing bits in one of their words.
 
+    For counts of proposals: near_copies() needs only what they connect, as their number may be the square of a group's.
     The tries hold each word once for every root that has it; only pairs of these are made into pairs of texts.
     """
     words = settle(_words(texts))
@@ -394,6 +395,72 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def _met(members: DataFrame, sets: DataFrame, texts: int, most: int) -> DataFrame:
+    """(key, side, n, root, shingles): texts of members (n, clump, root, size) once for each two blocks that they are in.
+
+    A clump is dealt into blocks of about `texts` texts and `most` shingles at most; each two blocks of it, and each
+    with itself, are a key. Clumps of one root, and of two texts, which met before, are left out.
+    """
+    stats = members.groupBy("clump").agg(F.count("*").alias("__q_n"), F.sum("size").alias("s"), F.min("root").alias("low"), F.max("root").alias("high"))
+    blocks = F.greatest(F.ceil(F.col("__q_n") / texts), F.ceil(F.col("s") / most)).cast("int").alias("blocks")
+    open_ = settle(stats.where("__q_n > 2 and low != high").select("clump", blocks, "__q_n"))
+    placed = join_hot(members, open_, ["clump"], "__q_n").withColumn("side", F.pmod(F.xxhash64("n"), F.col("blocks")).cast("int"))
+    rows = placed.select("n", "clump", "root", "side", "blocks").join(sets.select("n", "shingles"), "n")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.concat_ws(":", "clump", F.least("side", "other"), F.greatest("side", "other"))
+    return rows.select(key.alias("key"), "side", "n", "root", "shingles")
+
+
+def _within(members: DataFrame, sets: DataFrame, least: float, texts: int = 512, most: int = 1 << 20) -> DataFrame:
+    """(a, b): edges that connect members (n, clump, root, size) of a clump as all links between its roots do.
+
+    All pairs of different roots are judged by their shingles, in tasks of two blocks of a clump each; a task hands on
+    fewer edges than it has texts, so no pair is a row.
+    """
+
+    def solve(t):
+        key = t.column("key").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        side, n, root = (t.column(c).to_numpy() for c in ("side", "n", "root"))
+        order = np.lexsort((side, key))
+        cuts = np.flatnonzero(np.diff(key[order])) + 1
+        held = t.column("shingles")
+        for own in np.split(order, cuts) if len(order) else []:
+            found = linked([np.frombuffer(held[int(i)].as_py(), "<u8") for i in own], side[own], root[own], least)
+            if found:
+                a, b = np.array(found).T
+                yield pa.RecordBatch.from_arrays([pa.array(n[own[a]]), pa.array(n[own[b]])], ["a", "b"])
+
+    return by_key(_met(members, sets, texts, most), solve, "a long, b long")
+
+
+def linked(sets: list[np.ndarray], side: np.ndarray, root: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Places (i, k) that connect the roots as all pairs with a similarity of least or more do: at most one for each set.
+
+    sets are sorted by side; of two sides only pairs across them are judged. Sets are of distinct hashes.
+    """
+    size = np.array([len(x) for x in sets])
+    ends = np.cumsum(size)
+    starts = ends - size
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(int(code.max(initial=-1)) + 1, np.int64)
+    across = int(np.searchsorted(side, side[0], "right"))
+    label, out = root.copy(), []
+    for i in range(across if across < len(sets) else len(sets)):
+        k = np.arange(across if across < len(sets) else i + 1, len(sets))
+        k = k[(label[k] != label[i]) & (np.minimum(size[k], size[i]) >= least * np.maximum(size[k], size[i]) - 1e-6) & (size[k] > 0)]
+        if not len(k):
+            continue
+        mark[code[starts[i] : ends[i]]] = 1
+        first = np.cumsum(size[k]) - size[k]
+        both = np.add.reduceat(mark[code[np.repeat(starts[k] - first, size[k]) + np.arange(int(size[k].sum()))]], first)
+        mark[code[starts[i] : ends[i]]] = 0
+        near = k[both / (size[i] + size[k] - both) >= least]
+        roots, at = np.unique(label[near], return_index=True)
+        out += [(i, int(near[j])) for j in at]
+        label[np.isin(label, roots)] = label[i]
+    return out
+
+
 def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     """(__q_id, __q_text, digest, root) for every row of docs; rows of one near-duplicate group share a root.
 
@@ -403,8 +470,9 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
     for ERRORS bits, with a chance of 0.29, so of all 16 in one at least with 0.995, whatever the edit; texts that share
     nothing do in one of 10^13 pairs, so proposals follow the number of texts and not its square. Groups are what links
     connect. First each text is checked against some of its proposals, at most two for each trie that it is in, so that
-    a large group of copies becomes one; then all proposals between different groups. Null and blank texts are one
-    group; repeated rows share a group; an empty table gives no rows.
+    a large group of copies becomes one. What proposals connect is a clump, which holds both texts of every proposal;
+    then all pairs of a clump between different groups are judged, proposed or not, in tasks of two blocks of texts.
+    Null and blank texts are one group; repeated rows share a group; an empty table gives no rows.
     """
 
     def read(batches):
@@ -432,8 +500,9 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
 
     first = settle(_alike(forest, sets, least))
     group = components(first)
-    joined = settle(alone.drop("root").join(touched, "n").join(group, F.col("n") == F.col("node"), "left").select("n", "mins", F.coalesce("root", "n").alias("root")))
-    rest = settle(_alike(_candidates(joined), sets, least))
+    clump = components(forest).select(F.col("node").alias("n"), F.col("root").alias("clump"))
+    members = clump.join(sets.select("n", "size"), "n").join(group, F.col("n") == F.col("node"), "left")
+    rest = settle(_within(settle(members.select("n", "clump", "size", F.coalesce("root", "n").alias("root"))), sets, least))
     group = components(first.unionByName(rest))
     named = texts.join(group, texts.n == group.node, "left").select("digest", F.coalesce("root", "n").alias("root"), "__q_n")
     return join_hot(rows.drop("mins"), settle(named), ["digest"], "__q_n")

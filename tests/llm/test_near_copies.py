@@ -90,3 +90,32 @@ def test_large_tries_are_dealt_out_again(spark):
     spanned = [simhash.components(simhash._forest(df, hot)) for hot in (100, 200_000)]
     assert [c.select("root").distinct().count() for c in spanned] == [1, 1] and [c.count() for c in spanned] == [120, 120]
     assert simhash._candidates(df.withColumn("root", F.lit(0).cast("long"))).count() == 0
+
+
+def test_pairs_of_a_clump_that_do_not_link_are_judged_without_being_rows(spark):
+    rng = random.Random(14)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for i in range(240):  # most lie below 0.8 of each other, and some link
+        words = list(base)
+        for at in rng.sample(range(120), rng.choice((1, 3, 4, 5))):
+            words[at] = f"x{rng.random()}"
+        texts.append(" ".join(words))
+    five_of = [five(t.split()) for t in texts]
+    links = [(i, k) for i in range(240) for k in range(i) if len(five_of[i] & five_of[k]) / len(five_of[i] | five_of[k]) >= 0.8]
+    root = list(range(240))
+    for _ in range(240):
+        for i, k in links:
+            root[i] = root[k] = min(root[i], root[k])
+    assert 20 < len(set(root)) < 220
+    sets = spark.createDataFrame([(i, len(h), bytearray(h.tobytes())) for i, h in enumerate(simhash.hashes(t, 5)[1] for t in texts)], "n long, size long, shingles binary")
+    members = sets.select("n", F.lit(0).cast("long").alias("clump"), F.col("n").alias("root"), "size")
+    for many in (512, 64):  # one task, and ten of two blocks each
+        met = simhash._met(members, sets, many, 1 << 20)
+        assert met.count() == 240 * -(-240 // many) < 240 * 239 / 2 / 20
+        edges = simhash._within(members, sets, 0.8, many)
+        assert edges.count() <= met.count()
+        got = {r.node: r.root for r in simhash.components(edges).collect()}
+        assert [got.get(i, i) for i in range(240)] == root
+    whole = {r["__q_id"]: r.root for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert len(set(zip((whole[i] for i in range(240)), root))) == len(set(root)) == len(set(whole.values()))
