@@ -46,6 +46,8 @@ class Index:
     manifest: DataFrame
     buckets: int
     span: int
+    #: (chunk_id, ord, vector, *SCOPE); the chunks themselves if they were written with their vectors
+    vectors: DataFrame
 
 
 def counted(words: Column) -> Column:
@@ -58,41 +60,41 @@ def counted(words: Column) -> Column:
     return F.when(F.size(words) > 0, let(F.array_sort(words), runs)).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
 
 
-def posting_blocks(chunks: DataFrame, buckets: int, span: int) -> DataFrame:
+def posting_blocks(chunks: DataFrame, buckets: int, span: int, most: int = 1 << 20) -> DataFrame:
     """(bucket, *BLOCK, n, max_tf, min_len, best, rows) of chunks (ord, code, tokens): rows are (ord, tf, len, code) by
     ord, span of them at most; best is (tf, len) of one with the highest tf.
 
-    Chunks are shuffled by stretch with each term once, and blocks by bucket as packed numbers; no posting is a row.
+    A task packs about `most` postings of the chunks that it reads into pieces of blocks, one for each term and stretch;
+    pieces are shuffled once, by bucket, and those of a block joined there. No posting is a row, if chunks lie about in
+    ord's order, as written ones do; others make more and shorter pieces.
     """
 
-    def count(batches):
+    def pieces(batches):
+        held, n = [], 0
         for batch in batches:
             for a in range(0, len(batch), 1024):
-                yield _counts(batch.slice(a, 1024), span)
-
-    def block(batches):
-        held, at = [], None
-        for batch in batches:
-            stretch = batch.column("stretch").to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(stretch[1:] != stretch[:-1]) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(stretch)]):
-                if a < b:
-                    if held and stretch[a] != at:
-                        yield from _blocks(pa.Table.from_batches(held))
-                        held = []
-                    at = stretch[a]
-                    held.append(batch.slice(a, b - a))
-        if held:
+                part = _counts(batch.slice(a, 1024), span)
+                held.append(part)
+                n += len(part.column("tf").flatten())
+                if n >= most:
+                    yield from _blocks(pa.Table.from_batches(held))
+                    held, n = [], 0
+        if n:
             yield from _blocks(pa.Table.from_batches(held))
 
     def unpack(batches):
+        held = None
         for batch in batches:
-            yield _unpacked(batch)
+            t = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            first = int(np.flatnonzero(_heads(t))[-1]) if len(t) else 0  # the last block may go on
+            if first:
+                yield _unpacked(t.slice(0, first))
+            held = t.slice(first).to_batches()[0] if len(t) else None
+        if held is not None:
+            yield _unpacked(pa.Table.from_batches([held]))
 
-    n = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     head = "term string, stretch long, n long, max_tf long, min_len long, best struct<tf:long,len:long>"
-    counts = chunks.select("ord", F.col("code").cast("int").alias("code"), "tokens").mapInArrow(count, "stretch long, ord long, code int, len long, terms array<string>, tf array<int>")
-    blocks = counts.repartition(n, "stretch").sortWithinPartitions("stretch", "ord").mapInArrow(block, "term string, stretch long, packed binary")
+    blocks = chunks.select(F.col("ord").cast("long").alias("ord"), F.col("code").cast("int").alias("code"), "tokens").mapInArrow(pieces, "term string, stretch long, packed binary")
     near = F.floor(F.col("stretch") / 64)  # a term of very many chunks is written by several tasks
     dealt = blocks.withColumn("bucket", _bucket(buckets)).repartition("bucket", near).sortWithinPartitions("bucket", *BLOCK)
     return dealt.drop("bucket").mapInArrow(unpack, f"{head}, rows array<struct<ord:long,tf:long,len:long,code:int>>").select(_bucket(buckets), *HEAD, "rows")
@@ -115,47 +117,76 @@ def _counts(batch: pa.RecordBatch, span: int) -> pa.RecordBatch:
 
 
 def _blocks(chunks: pa.Table, most: int = 1 << 20):
-    """The blocks of one stretch's chunks, which are in ord's order; batches of about `most` postings."""
-    lists = chunks["terms"].combine_chunks()
+    """Pieces of blocks of some chunks; batches of about `most` postings."""
+    chunks = chunks.take(pa.array(np.argsort(chunks["ord"].to_numpy(), kind="stable"))).combine_chunks()
+    stretches, at = np.unique(chunks["stretch"].to_numpy(), return_inverse=True)
+    lists = chunks["terms"].chunk(0)
     words = lists.flatten().dictionary_encode()
-    term, row = words.indices.to_numpy(zero_copy_only=False), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
-    order = np.argsort(term, kind="stable")
-    term, row = term[order], row[order]
-    rows = np.empty(len(term), POSTING)
-    rows["tf"] = chunks["tf"].combine_chunks().flatten().to_numpy(zero_copy_only=False)[order]
+    row = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
+    key = words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * len(stretches) + at[row]
+    order = np.argsort(key, kind="stable")
+    key, row = key[order], row[order]
+    rows = np.empty(len(key), POSTING)
+    rows["tf"] = chunks["tf"].chunk(0).flatten().to_numpy(zero_copy_only=False)[order]
     for c in ("ord", "len", "code"):
         rows[c] = chunks[c].to_numpy()[row]
-    first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
-    ends = np.r_[first[1:], len(term)]
-    cuts = np.searchsorted(first, np.arange(most, len(term), most))
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    ends = np.r_[first[1:], len(key)]
+    cuts = np.searchsorted(first, np.arange(most, len(key), most))
     for a, b in zip([0, *cuts], [*cuts, len(first)]):
         if a < b:
             packed = pa.array([rows[i:k].tobytes() for i, k in zip(first[a:b], ends[a:b])], pa.binary())
-            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(term[first[a:b]])), pa.array(np.full(b - a, chunks["stretch"][0].as_py())), packed], [*BLOCK, "packed"])
-
-
-def _unpacked(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Packed blocks with their statistics and lists."""
-    p = np.frombuffer(b"".join(batch.column("packed").to_pylist()), POSTING)
-    n = pc.binary_length(batch.column("packed")).to_numpy(zero_copy_only=False).astype(np.int64) // POSTING.itemsize
+            own = key[first[a:b]]
+            yield pa.RecordBatch.from_arrays([words.dictionary.take(pa.array(own // len(stretches))), pa.array(stretches[own % len(stretches)]), packed], [*BLOCK, "packed"])
+
+
+def _heads(pieces: pa.Table) -> np.ndarray:
+    """Whether each piece, sorted by block, is the first of its block."""
+    term = pieces["term"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    stretch = pieces["stretch"].to_numpy()
+    return np.r_[True, (term[1:] != term[:-1]) | (stretch[1:] != stretch[:-1])]
+
+
+def _unpacked(pieces: pa.Table) -> pa.RecordBatch:
+    """Whole blocks of pieces sorted by block, with their statistics and lists."""
+    packed = pieces["packed"].combine_chunks()
+    p = np.frombuffer(b"".join(packed.to_pylist()), POSTING)
+    heads = _heads(pieces)
+    start = np.flatnonzero(heads)
+    n = pc.binary_length(packed).to_numpy(zero_copy_only=False).astype(np.int64) // POSTING.itemsize
+    if len(start) < len(n):
+        p = p[np.lexsort((p["ord"], np.repeat(np.cumsum(heads), n)))]
+        n = np.add.reduceat(n, start)
     first, tf, length = np.cumsum(n) - n, p["tf"].astype(np.int64), p["len"]
-    most, shortest = (f.reduceat(x, first) if len(n) else x for f, x in ((np.maximum, tf), (np.minimum, length)))
+    most, shortest = np.maximum.reduceat(tf, first), np.minimum.reduceat(length, first)
     # of those with the highest tf the shortest
-    best = np.where(tf == np.repeat(most, n), length, np.iinfo(np.int64).max)
-    best = np.minimum.reduceat(best, first) if len(n) else best
+    best = np.minimum.reduceat(np.where(tf == np.repeat(most, n), length, np.iinfo(np.int64).max), first)
     cols = [pa.array(x) for x in (p["ord"].copy(), tf, length.copy(), p["code"].copy())]
     rows = pa.ListArray.from_arrays(pa.array(np.r_[first, len(p)], pa.int32()), pa.StructArray.from_arrays(cols, ["ord", "tf", "len", "code"]))
     top = pa.StructArray.from_arrays([pa.array(most), pa.array(best)], ["tf", "len"])
-    return pa.RecordBatch.from_arrays([*batch.select(list(BLOCK)).columns, *(pa.array(x) for x in (n, most, shortest)), top, rows], [*HEAD, "rows"])
+    names = [pieces[c].combine_chunks().take(pa.array(start)) for c in BLOCK]
+    return pa.RecordBatch.from_arrays([*names, *(pa.array(x) for x in (n, most, shortest)), top, rows], [*HEAD, "rows"])
+
+
+def _frequencies(batches):
+    """How many chunks of each group a block holds, from the codes of its postings."""
+    for batch in batches:
+        lists = batch.column("codes")
+        code = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        key, df = np.unique((pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64) << 32) | code, return_counts=True)
+        at = pa.array(key >> 32)
+        yield pa.RecordBatch.from_arrays([batch.column("bucket").take(at), batch.column("term").take(at), pa.array((key & 0xFFFFFFFF).astype(np.int32)), pa.array(df.astype(np.int64))], ["bucket", "term", "code", "df"])
 
 
 def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")
 
 
-def write(path: str, chunks: DataFrame, sources: DataFrame, manifest, dimension: int | None = None, buckets: int = 64, span: int = 4096) -> None:
+def write(path: str, chunks: DataFrame, sources: DataFrame, manifest, dimension: int | None = None, buckets: int = 64, span: int = 4096, vectors: DataFrame | None = None) -> None:
     """The index of chunks (chunk_id, ord, tokens, vector and more) under path, all of it or nothing.
 
+    vectors: (chunk_id, ord, vector, *SCOPE) of the chunks that have one, if chunks have no column for it; so no text is
+    shuffled to its vector.
     manifest is a row, or a function that makes it of the written chunks, so that these are not computed again.
     Everything is staged beside path and renamed once it is whole; an existing index fails the write. With dimension,
     a vector that is not of it fails the job; a chunk without a vector then fails too.
@@ -169,13 +200,16 @@ def write(path: str, chunks: DataFrame, sources: DataFrame, manifest, dimension:
     put(kept.withColumns({c: F.lit(None).cast("string") for c in SCOPE if c not in chunks.columns}), "chunks")
     kept = spark.read.parquet(f"{staged}/chunks")
     put(sources, "sources")
+    if vectors is not None:
+        put(vectors.select("chunk_id", "ord", "vector", *SCOPE), "vectors")
     groups = kept.groupBy(*SCOPE).agg(F.count("*").alias("n"), F.sum(F.size("tokens")).cast("long").alias("len"))
     put(groups.withColumn("code", F.row_number().over(W.orderBy(*SCOPE))), "groups")  # few: instruments by jurisdictions
     groups = spark.read.parquet(f"{staged}/groups").select(*SCOPE, "code")
     coded = kept.select("ord", "tokens", *SCOPE).alias("c").join(sent(groups).alias("g"), _same("c", "g", SCOPE)).select("c.ord", "c.tokens", "g.code")
     posting_blocks(coded, buckets, span).write.partitionBy("bucket").parquet(f"{staged}/postings")
-    counts = spark.read.parquet(f"{staged}/postings").select("bucket", "term", F.explode("rows.code").alias("code")).groupBy("bucket", "term", "code").agg(F.count("*").alias("df"))
-    counts.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{staged}/frequencies")
+    codes = spark.read.parquet(f"{staged}/postings").select("bucket", "term", F.col("rows.code").alias("codes"))
+    counts = codes.mapInArrow(_frequencies, "bucket int, term string, code int, df long").repartition("bucket").groupBy("bucket", "term", "code").agg(F.sum("df").alias("df"))
+    counts.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{staged}/frequencies")
     manifest = manifest(kept) if callable(manifest) else manifest
     put(manifest.select("*", F.lit(buckets).alias("buckets"), F.lit(span).alias("span")), "manifest")
     publish(spark, staged, path)
@@ -187,7 +221,8 @@ def read(spark: SparkSession, path: str) -> Index:
         raise ValueError(f"there is no whole index in {path}")
     tables = {part: spark.read.parquet(f"{path}/{part}") for part in PARTS}
     m = tables["manifest"].select("buckets", "span").first()
-    return Index(**tables, buckets=m.buckets, span=m.span)
+    own = spark.read.parquet(f"{path}/vectors") if exists(spark, f"{path}/vectors/_SUCCESS") else tables["chunks"]
+    return Index(**tables, buckets=m.buckets, span=m.span, vectors=own)
 
 
 def build(docs: DataFrame, path: str, model: dict, encoder, tokens_of, chunker: str = "characters", context: str = "none", limit: int = 512, **layout) -> None:
@@ -383,7 +418,7 @@ def search(index: Index, queries: DataFrame, mode: str = "hybrid", top_k: int =
         got = lexical.best(top_k).select(*cols, none.alias("rrf_score"), F.col("score").alias("keyword_score"), none.alias("cosine_similarity"))
         return _named(got, index, mode)
     k = depth if mode == "hybrid" else top_k
-    chunks, asked = index.chunks.select("chunk_id", "ord", "vector", *SCOPE), queries
+    chunks, asked = index.vectors.select("chunk_id", "ord", "vector", *SCOPE), queries
     scope = None
     if {"instrument", "region"} & set(queries.columns):
         chunks, asked = retrieval.scoped(chunks, queries)
@@ -396,7 +431,8 @@ def search(index: Index, queries: DataFrame, mode: str = "hybrid", top_k: int =
     else:
         keyword = near.limit(0)
         got = near.select(*cols, none.alias("rrf_score"))
-    named = settle(index.chunks.select("chunk_id", "ord", F.col("vector").alias("__c")).join(sent(got), "ord"))
+    some = index.vectors.select("ord", F.col("vector").alias("__c")).join(sent(got.select("ord").distinct()), "ord", "left_semi")
+    named = settle(index.chunks.select("chunk_id", "ord").join(sent(got), "ord").join(some, "ord", "left"))
     known = keyword.select("query_id", "ord", F.col("score").alias("keyword_score"))
     rest = lexical.of(named.join(sent(known), ["query_id", "ord"], "left_anti")).withColumnRenamed("score", "keyword_score")
     out = named.join(sent(queries.select("query_id", F.col("vector").alias("__q"))), "query_id").withColumn("cosine_similarity", retrieval.dot(F.col("__c"), F.col("__q")))

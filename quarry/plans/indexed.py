@@ -108,7 +108,7 @@ pairs AS (
 
 def _variants(spark, d):
     """(variants, datasets): whole texts, texts behind title and language, and first 80 words, each an index of its own."""
-    base = views.with_vectors(spark, d)
+    base = views.whole(spark, d)
     lead = fx.first_words(F.col("text"), F.lit(80))
     made = {
         "whole": base,
@@ -118,7 +118,7 @@ def _variants(spark, d):
     out = {}
     for name, chunks in made.items():
         path = scratch(spark, f"index-{name}")
-        index.write(path, chunks, views.sources(spark, d), lambda c: prepare.manifest(c.select("chunk_id", "text"), views.MODEL))
+        index.write(path, chunks, views.sources(spark, d), lambda c: prepare.manifest(c.select("chunk_id", "text"), views.MODEL), vectors=views.vectors(spark, d))
         out[name] = index.read(spark, path)
     cases = catalogue._cases(spark, d).drop("jurisdiction").join(views.questions(spark, d).select("query_id", "terms", "vector"), "query_id")
     cases = settle(cases.withColumn("reason", review.query_policy(F.col("query"), F.lit(True))))

@@ -30,3 +30,14 @@ def test_blocks_of_postings_are_those_of_counted_tokens(spark):
         assert (r.best.tf, -r.best.len) == max((x[1], -x[2]) for x in own)
     assert made.select(F.pmod(F.xxhash64("term"), F.lit(8)) == F.col("bucket")).distinct().collect()[0][0]
     assert index.posting_blocks(chunks.limit(0), 8, 64).count() == 0
+
+
+def test_postings_are_shuffled_once_and_pieces_of_a_block_joined(spark):
+    rows = [(i, i % 3, [f"w{(i * j) % 7}" for j in range(9)]) for i in range(500)]
+    chunks = spark.createDataFrame(rows, "ord long, code int, tokens array<string>").repartition(6)  # scattered on purpose
+    whole, pieces = index.posting_blocks(chunks, 4, 128), index.posting_blocks(chunks, 4, 128, most=40)
+    assert plan(index.posting_blocks(spark.createDataFrame(rows, "ord long, code int, tokens array<string>"), 4, 128)).count("Exchange") == 1
+    got = sorted(pieces.collect(), key=lambda r: (r.term, r.stretch))
+    assert got == sorted(whole.collect(), key=lambda r: (r.term, r.stretch))
+    assert len({(r.term, r.stretch) for r in got}) == len(got) == 28 and sum(r.n for r in got) == sum(len(set(t)) for *_, t in rows)
+    assert all([x.ord for x in r.rows] == sorted(x.ord for x in r.rows) for r in got)
