@@ -41,6 +41,14 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fewer(df: DataFrame, rows: int, size: int = 50_000, least: int = 8) -> DataFrame:
+    """df in so many tasks as its rows need at `size` rows each, at least `least`; never in more than it has.
+
+    Each task that writes to a shuffle leaves files however little it writes, and what goes through many shuffles leaves them in each.
+    """
+    return df.coalesce(max(least, -(-rows // size)))
+
+
 def key_of(doc_id: str = "doc_id", text: str = "text") -> list:
     """Join keys of a document: its id, null made comparable, and a hash of its text.
 
@@ -104,7 +112,7 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, root), root the smallest node of the component.
 
     Alternates the large-star and small-star steps until nothing changes; each round is settled. Nodes without an
-    edge to another node do not appear.
+    edge to another node do not appear. Each step runs in as many tasks as its edges need.
     """
 
     def state(e: DataFrame):
@@ -113,13 +121,17 @@ def components(edges: DataFrame) -> DataFrame:
     now = settle(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = state(now)
     while seen[0]:
+        rows = 2 * seen[0]
+        now = fewer(now, rows)
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        large = fewer(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b"), rows)
+        large = fewer(large.distinct(), rows)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        now = settle(small.select("e.*").where("a != b").distinct())
+        now = settle(fewer(fewer(small.select("e.*").where("a != b"), rows).distinct(), rows))
         if (then := state(now)) == seen:
             break
         seen = then
+    now = fewer(now, 2 * seen[0])
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
