@@ -22,16 +22,17 @@ def field(docs: DataFrame, name: str) -> Column:
     return F.col(name) if name in docs.columns else F.lit(None).cast("string")
 
 
-def violations(docs: DataFrame) -> DataFrame:
+def violations(docs: DataFrame, needs_text: bool = True) -> DataFrame:
     """docs with the column broken: the names of the rules that a row breaks.
 
+    needs_text: off, a document may be without text (null or blank; it gives no chunks), and every other rule holds.
     Ids are counted on their own; the few that stand twice are joined back, so texts are not shuffled.
     """
     col = lambda name: field(docs, name)
     status = F.coalesce(col("review_status"), F.lit("pending"))
     official = (F.coalesce(col("source_kind"), F.lit("")) == "official_legal_text") & (F.coalesce(col("document_version"), F.lit("")) == "original_oj") & (F.coalesce(col("celex"), F.lit("")) != "")
     rules = {
-        "required": ~F.expr(" AND ".join(f"coalesce(regexp_replace({c}, '(?U)\\\\s+', ''), '') != ''" for c in REQUIRED)),
+        "required": ~F.expr(" AND ".join(f"coalesce(regexp_replace({c}, '(?U)\\\\s+', ''), '') != ''" for c in REQUIRED if needs_text or c != "text")),
         "source_id": ~F.coalesce(col("source_id"), F.lit("")).rlike(ID),
         "source_url": ~F.coalesce(col("source_url"), F.lit("")).rlike(LOCATOR),
         "retrieved_at": ~is_iso(col("retrieved_at")),
@@ -43,10 +44,10 @@ def violations(docs: DataFrame) -> DataFrame:
     return docs.join(sent(twice), "source_id", "left").withColumn("broken", F.filter(F.array(*[F.when(test, name) for name, test in rules.items()]), lambda x: x.isNotNull())).select(*docs.columns, "broken")
 
 
-def require_valid(docs: DataFrame) -> DataFrame:
-    """docs; a row that breaks a rule fails the whole job."""
+def require_valid(docs: DataFrame, needs_text: bool = True) -> DataFrame:
+    """docs; a row that breaks a rule fails the whole job. needs_text: as in violations()."""
     told = F.concat(F.lit("source "), F.coalesce("source_id", F.lit("null")), F.lit(" breaks: "), F.array_join("broken", ", "))
-    checked = violations(docs).withColumn("broken", F.when(F.size("broken") > 0, F.raise_error(told)).otherwise(F.lit(True)))
+    checked = violations(docs, needs_text).withColumn("broken", F.when(F.size("broken") > 0, F.raise_error(told)).otherwise(F.lit(True)))
     return checked.where("broken").drop("broken")
 
 
@@ -70,8 +71,8 @@ def chunks(docs: DataFrame, chunker: str = "characters", ascii_only: bool = Fals
     return out.unionByName(again.withColumn("nth", nth).where((F.col("nth") == 1) | private).drop("nth"))
 
 
-def prepare(docs: DataFrame, chunker: str = "characters") -> DataFrame:
-    return chunks(require_valid(docs), chunker)
+def prepare(docs: DataFrame, chunker: str = "characters", needs_text: bool = True) -> DataFrame:
+    return chunks(require_valid(docs, needs_text), chunker)
 
 
 def coverage(chunk_rows: DataFrame) -> DataFrame:
