@@ -88,13 +88,14 @@ CHUNK_FIELDS = ("chunk_id", "source_id", "source_title", "source_url", "retrieve
 CHUNK_EXTRA = ("schema_version", "section", "page", "language", "jurisdiction", "source_kind", "source_sha256", "instrument_id", "celex", "publication_date", "document_version", "version_notice")
 
 
-def chunk_violations(rows: DataFrame, most: int = 1200) -> DataFrame:
-    """Chunks with the column broken: what keeps a row from being a chunk of the closed schema."""
+def chunk_violations(rows: DataFrame, most: int = 1200, needs_text: bool = True) -> DataFrame:
+    """Chunks with the column broken: what keeps a row from being a chunk of the closed schema. needs_text: off, a
+    chunk's text may be null or blank, but the column must be there."""
     strange = sorted(set(rows.columns) - {*CHUNK_FIELDS, *CHUNK_EXTRA})
     absent = [c for c in CHUNK_FIELDS if c not in rows.columns]
     col = lambda c: field(rows, c)
     blank = lambda c: F.coalesce(F.regexp_replace(col(c).cast("string"), "(?U)\\s+", ""), F.lit("")) == ""
-    rules = {f"no {c}": blank(c) for c in CHUNK_FIELDS if c not in absent} | {f"no {c}": F.lit(True) for c in absent} | {f"unknown {c}": F.lit(True) for c in strange}
+    rules = {f"no {c}": blank(c) for c in CHUNK_FIELDS if c not in absent and (needs_text or c != "text")} | {f"no {c}": F.lit(True) for c in absent} | {f"unknown {c}": F.lit(True) for c in strange}
     rules |= {
         "text is too long": F.length(col("text")) > most,
         "content_sha256 is no digest": ~F.coalesce(col("content_sha256"), F.lit("")).rlike("^[0-9a-f]{64}\\z"),

@@ -40,3 +40,10 @@ def test_chunks_of_documents_without_text(spark, folder):
         prepare.prepare(docs.where("doc_id >= 1000")).collect()
     with pytest.raises(Exception, match="breaks: required"):
         prepare.prepare(docs.withColumn("source_title", F.lit(" ")), needs_text=False).collect()
+
+
+def test_chunk_schema_of_documents_without_text(spark, folder):
+    got, want = both(spark, folder, "chunk_schema_violations")
+    assert got == want and got
+    rows = views.whole(spark, folder).where("doc_id >= 1000").select(*[c for c in prepare.CHUNK_FIELDS if c != "content_sha256"], F.sha2(F.lit(""), 256).alias("content_sha256"))
+    assert {tuple(r.broken) for r in prepare.chunk_violations(rows).collect()} == {("no text",)}
