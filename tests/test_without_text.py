@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from quarry.functions import text as fx
 from quarry.operators import prepare
 from quarry.plans import views
 
@@ -47,3 +48,20 @@ def test_chunk_schema_of_documents_without_text(spark, folder):
     assert got == want and got
     rows = views.whole(spark, folder).where("doc_id >= 1000").select(*[c for c in prepare.CHUNK_FIELDS if c != "content_sha256"], F.sha2(F.lit(""), 256).alias("content_sha256"))
     assert {tuple(r.broken) for r in prepare.chunk_violations(rows).collect()} == {("no text",)}
+
+
+def test_retrieval_text_keeps_the_lines_of_empty_parts(spark, folder):
+    got, want = both(spark, folder, "retrieval_text_context")
+    assert got == want and any("\\nen\\n'" in row for row in got)
+    skipped = spark.createDataFrame([("T", "", "x"), ("T", "s", "")], "a string, b string, c string").select(fx.retrieval_text(*map(F.col, "abc")))
+    assert [r[0] for r in skipped.collect()] == ["T\nx", "T\ns"]
+
+
+@pytest.mark.parametrize("column", ["lang", "source", "text"])
+def test_retrieval_text_of_null_parts(spark, folder, tmp_path, column):
+    kind = spark.read.parquet(f"{folder}/documents.parquet").schema[column].dataType
+    rows = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 3").withColumn(column, F.lit(None).cast(kind))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    got, want = both(spark, str(tmp_path), "retrieval_text_context")
+    assert got == want and all("None" in row for row in got)
