@@ -65,3 +65,10 @@ def test_retrieval_text_of_null_parts(spark, folder, tmp_path, column):
     spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
     got, want = both(spark, str(tmp_path), "retrieval_text_context")
     assert got == want and all("None" in row for row in got)
+
+
+@pytest.mark.parametrize("name", ["source_validation_report", "source_violations"])
+def test_sources_without_text_break_no_rule(spark, folder, name):
+    got, want = both(spark, folder, name)
+    assert got == want and got
+    assert prepare.violations(views.sources(spark, folder)).where("array_contains(broken, 'required')").count() == 28
